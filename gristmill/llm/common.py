@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +96,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: Column
     return [(r.y, bytes(r.body)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
-def arrow_column(batch, name: str) -> Iterator[bytes]:
-    """The values of a binary column as bytes."""
-    return (x.as_py() for x in batch.column(name))
+class BoundedCache(dict):
+    """What make() gave, for the keys used lately: two generations of at most size entries, so that memory is bounded."""
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm.common import materialise, text_bytes
+from gristmill.llm.common import BoundedCache, materialise, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
@@ -54,8 +54,8 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-        self.parts = _Cache(self._part)
-        self.chunks = _Cache(self._chunk)
+        self.parts = BoundedCache(self._part, CACHE)
+        self.chunks = BoundedCache(self._chunk, CACHE)
 
     def _part(self, part: str) -> bytes:
         return np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
@@ -72,24 +72,6 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-class _Cache(dict):
-    """What make() gave, for the keys used lately: two generations, so that memory is bounded."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        self[key] = value = self.make(key) if value is None else value
-        return value
-
-    def turn(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-
-
 _encoders: dict[str, Encoder] = {}
 
 

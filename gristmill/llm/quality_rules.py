@@ -166,5 +166,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged where it stands, so that no text moves and rows with equal or no ids are judged each by itself.
     """
     cutoffs = _cutoffs(materialise(_measured(docs, "doc_id"), "statistics"), labels)
-    rows = _measured(docs, "__row").join(cutoffs, "stratum", "left")
-    return rows.filter(~base_failed() & ~rejected_by(F.col("cutoffs"))).select("__row.*")
+    # The id keeps the filter above the measuring: pushed below, it would repeat the statistics' expressions many times over.
+    rows = _measured(docs, "__row").withColumn("__id", F.monotonically_increasing_id()).join(cutoffs, "stratum", "left")
+    return rows.filter((F.col("__id") >= 0) & ~base_failed() & ~rejected_by(F.col("cutoffs"))).select("__row.*")
