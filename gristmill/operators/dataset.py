@@ -30,7 +30,7 @@ def trace(status: Column, family: Column, predicted: Column) -> Column:
 
 def assembled(puzzles: DataFrame) -> DataFrame:
     """id, family, status, prompt, trace, extracted_answer, gold_answer for every puzzle."""
-    df = solve_all(puzzles).withColumn("trace", trace(F.col("status"), F.col("family"), F.col("predicted")))
+    df = solve_all(puzzles).persist().withColumn("trace", trace(F.col("status"), F.col("family"), F.col("predicted")))
     return df.select("id", "family", "status", "prompt", "trace", F.when(F.col("status").startswith("derived"), extract_answer(F.col("trace"))).alias("extracted_answer"), F.col("answer").alias("gold_answer"))
 
 
