@@ -1,3 +1,3 @@
 """Importing this fills the catalogue."""
 
-from gristmill.plans import queries_rules, queries_scoring  # noqa: F401
+from gristmill.plans import queries_generate, queries_rules, queries_scoring  # noqa: F401
