@@ -65,17 +65,110 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op1_quality_rules")
+#: SQL of the statistics and of the cutoffs: ladders are tested with the exact binomial tail, as the sum of its terms.
+_OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS q FROM twice) GROUP BY 1),
+st AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_capitals,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+v AS (SELECT doc_id, stratum, unnest([{'rule': 'symbols', 'v': n_symbols / nullif(word_chars, 0)}, {'rule': 'dup_lines', 'v': n_dup_lines / nullif(n_lines, 0)}, {'rule': 'repeats', 'v': n_repeat_words / nullif(n_words, 0)},
+ {'rule': 'capitals', 'v': n_capitals / nullif(word_chars, 0)}, {'rule': 'word_length', 'v': word_chars / nullif(n_words, 0)}]) AS r FROM st),
+rv AS (SELECT doc_id, stratum, r.rule AS rule, coalesce(r.v, 0) AS v FROM v),
+ladder AS (SELECT rule, unnest(cs) AS cutoff FROM (VALUES LADDERS) l(rule, cs)),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
+kn AS (SELECT stratum, l.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM rv SEMI JOIN good USING (doc_id) JOIN ladder l ON l.rule = rv.rule GROUP BY 1, 2, 3),
+tail AS (SELECT *, k <= n * SHARE AND coalesce(list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(SHARE) + (n - i) * ln(1 - SHARE)))), 0) <= DELTA / (greatest((SELECT count(DISTINCT stratum) FROM kn), 1) * RULES) AS ok FROM kn),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS held FROM tail) WHERE held GROUP BY 1, 2),
+bad AS (SELECT DISTINCT doc_id FROM rv JOIN cut USING (stratum, rule) WHERE v > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM st
+""".replace("LADDERS", ", ".join(f"('{r}', {list(cs)})" for r, cs in quality_rules.LADDERS.items())).replace("SHARE", f"CAST({quality_rules.ALPHA / len(quality_rules.LADDERS)!r} AS DOUBLE)").replace("DELTA", repr(quality_rules.DELTA)).replace("RULES", str(len(quality_rules.LADDERS)))
+
+_WORD_LISTS = ", ".join(f"({k}, '{label}', {sorted(set(text.split(' ')))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
+_PLACES = ", ".join("list_filter(range(1, len(ws) + 1), lambda i: " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split(" "))) + ")" for phrase, _ in licenses.PHRASES)
+
+_OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+p AS (SELECT rid, doc_id, ws, [{_PLACES}] AS ps FROM w),
+b AS (SELECT *, flatten(ps) AS places, list_sort(list_filter([{', '.join(f"CASE WHEN len(ps[{k}]) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES, 1))}], lambda x: x IS NOT NULL)) AS base FROM p),
+tpl AS (SELECT * FROM (VALUES {_WORD_LISTS}) v(k, label, tw)),
+ln AS (SELECT DISTINCT rid, list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)),
+hit AS (SELECT rid, label, len(list_intersect(lw, tw)) / len(tw) AS share FROM ln, tpl WHERE 100 * len(list_intersect(lw, tw)) >= {round(100 * licenses.THRESHOLD)} * len(tw)),
+f AS (SELECT rid, list(DISTINCT label) AS found, max(share) AS share FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ','), '') AS labels, CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score FROM b LEFT JOIN f USING (rid)
+"""
+
+_OP8 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, greatest(1, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) + {chat.OVERHEAD} AS tokens, row_number() OVER o AS nth,
+ length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + {len(chat.TEXT) + len(chat.END)} AS chars FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens) AS before FROM t),
+x AS (SELECT *, before // {max(1, (chat.BUDGET - chat.HISTORY) // 2)} AS win, nth = 1 AND role = 'system' AS sys FROM s),
+fw AS (SELECT conv_id, win, min(before) AS start FROM x GROUP BY 1, 2),
+nx AS (SELECT conv_id, win, lead(start) OVER (PARTITION BY conv_id ORDER BY win) AS start FROM fw),
+again AS (SELECT x.conv_id, sum(x.chars + {len(chat.AGAIN)}) AS n FROM x JOIN nx ON x.conv_id IS NOT DISTINCT FROM nx.conv_id AND x.win = nx.win WHERE nx.start - x.before <= {chat.HISTORY} AND NOT x.sys GROUP BY 1),
+head AS (SELECT x.conv_id, sum(x.chars + {len(chat.AGAIN)}) AS n FROM x JOIN fw ON x.conv_id IS NOT DISTINCT FROM fw.conv_id AND fw.win > 0 WHERE x.sys GROUP BY 1),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth) AS said, coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '') AS loss, sum(chars + {len(chat.TURN)}) AS n FROM x GROUP BY 1)
+SELECT g.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(g.n + coalesce(again.n, 0) + coalesce(head.n, 0) AS BIGINT) AS formatted_chars
+FROM g LEFT JOIN again ON g.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN head ON g.conv_id IS NOT DISTINCT FROM head.conv_id
+"""
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM o
+"""
+
+
+def _op10_sql(rules) -> str:
+    """Links of pages are found tag by tag; aliases are what a recursive walk over them reaches."""
+
+    def parts(url: str) -> str:
+        rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+        return f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) AS after"
+
+    def first(value: str) -> str:
+        ordered = sorted(rules, key=lambda r: (-len(r.name), r.verdict != "allow", r.name))
+        return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, value)}'" for r in ordered) + " END"
+
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, {parts('url')} FROM pages),
+q AS (SELECT *, regexp_extract(after, '^[^?]*') AS path, CASE WHEN host <> '' THEN host || after END AS node FROM u),
+tags AS (SELECT node, host, path, regexp_extract(url, '^[^:/?#]*') AS scheme, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM q WHERE node IS NOT NULL AND html IS NOT NULL),
+l AS (SELECT node, host, path, scheme, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*[\"'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)
+ WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\bcontent\\s*=\\s*[\"''][^\"''>]*?url\\s*=\\s*([^\"''\\s>;]+)', 1) ELSE '' END, '&amp;', '&') AS link FROM tags),
+target AS (SELECT node AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link
+ WHEN NOT regexp_matches(link, '^[?#]|^[A-Za-z][A-Za-z0-9+.-]*:') THEN '://' || host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || link END AS url FROM l WHERE link <> ''),
+ends AS (SELECT a, CASE WHEN host <> '' THEN host || after END AS b FROM (SELECT a, {parts('url')} FROM target WHERE url IS NOT NULL)),
+e AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
+reach AS (SELECT a AS x, a AS y FROM e UNION SELECT x, b FROM reach JOIN e ON y = a),
+nodes AS (SELECT y AS node, regexp_extract(y, '^[^/?#]*') AS host, regexp_extract(y, '^[^/?#]*([^?]*)', 1) AS path FROM (SELECT DISTINCT y FROM reach)),
+judged AS (SELECT node, {first('verdict')} AS verdict FROM nodes),
+blocked AS (SELECT x AS node FROM reach JOIN judged ON y = judged.node GROUP BY 1 HAVING bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false))
+SELECT page_id, host, path, {first('name')} AS rule, coalesce({first('verdict')}, CASE WHEN node IN (SELECT node FROM blocked) THEN 'block' END, 'allow') AS verdict FROM q
+"""
+
+
+@query("op1_quality_rules", _OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op5_license_scans")
+@query("op5_license_scans", _OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op8_chat_formatting")
+@query("op8_chat_formatting", _OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -92,7 +185,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [url_filters.Rule("block", "com", "/en/"), url_filters.Rule("allow", "example.com", "/en/7"), url_filters.Rule("allow", "net", "/de/"), url_filters.Rule("block", "example.net", "/de/8"), url_filters.Rule("block", "org", "/es/")]
 
 
-@query("op10_url_filters")
+@query("op10_url_filters", _op10_sql(URL_RULES))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -102,7 +195,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op3_warc_source")
+@query("op3_warc_source", _OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
