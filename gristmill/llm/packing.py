@@ -4,7 +4,8 @@ Documents become ids and an end id; longer ones are cut into pieces. How many pi
 histogram of at most `capacity` rows, whatever the corpus. Over it a configuration linear program is solved: columns are
 multisets of lengths that fit into one sequence, found by a knapsack dynamic program under prices that multiplicative
 weights keep for each length class. The program's solution is rounded down to whole sequences, solved again for what
-is left, and the rest goes best-fit-decreasing (in bulk, by histogram) into the gaps and into new sequences. The plan's
+is left, and the rest goes best-fit-decreasing (in bulk, by histogram) into the gaps and into new sequences; sequences that
+rounding left with wide gaps are taken apart for that where it needs fewer in all. The plan's
 size follows the histogram, not the corpus; each piece then finds its place by its rank among the pieces of its length.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each for itself; an empty table
@@ -173,7 +174,7 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, room: int, roun
     return {c: x / scale for c, x in used.items()}
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_classes: int = 96, unit: int = 8, rounds: int = 400, solves: int = 4) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_classes: int = 192, unit: int = 4, rounds: int = 1200, solves: int = 4) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(number of sequences, ((length, pieces of it), ...)) with exactly the pieces of the histogram.
 
     n_classes, unit, rounds and solves bound the linear programs; they are the same for every corpus.
@@ -204,7 +205,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_classes: int = 9
         left = {s: n for s, n in left.items() if n > 0}
         if sum(left.values()) > 0.9 * before:
             break
-    return [(n, tuple(sorted({s: c.count(s) for s in c}.items(), reverse=True))) for n, c in _best_fit(done, left, capacity)]
+    # Sequences that rounding left with a wide gap are taken apart again, as far as that needs fewer sequences in all.
+    tried = (_best_fit(*_kept(done, left, capacity, capacity >> k), capacity) for k in range(capacity.bit_length()))
+    return [(n, tuple(sorted({s: c.count(s) for s in c}.items(), reverse=True))) for n, c in min(tried, key=lambda runs: sum(n for n, _ in runs))]
+
+
+def _kept(done: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int, gap: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """The sequences whose gap is at most `gap`, and the pieces of all others with those left."""
+    kept, free = [], dict(left)
+    for n, content in done:
+        if capacity - sum(content) <= gap:
+            kept.append((n, content))
+        else:
+            for s in content:
+                free[s] = free.get(s, 0) + n
+    return kept, free
 
 
 def _filled(slots: list[list[int]], m: int, left: dict[int, int]) -> list[tuple[int, tuple[int, ...]]]:
