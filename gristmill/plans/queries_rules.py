@@ -119,7 +119,6 @@ def _solved(family: str):
 for _family in ("gravitational", "unit_conversion", "numeral"):
     query(f"{_family}_solve", f"SELECT 'derived_match' AS status, count(*) AS n FROM ({view_sql(_family)})")(_solved(_family))
 query("encrypt_solve")(lambda spark, sf_dir: rules.SOLVERS["encrypt"].solve(view(spark, sf_dir, "encrypt")).select("id", "predicted", "status"))
-query("bitmanip_solve")(lambda spark, sf_dir: rules.SOLVERS["bitmanip"].solve(view(spark, sf_dir, "bitmanip")).select("id", "predicted", "status"))
 query("symbol_solve")(lambda spark, sf_dir: rules.SOLVERS["symbol"].solve(view(spark, sf_dir, "symbol")).select("id", "predicted", "status"))
 
 _BITS = r"""p AS ({view}), e AS (SELECT id, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 1)) AS i, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 2)) AS o FROM p),
@@ -131,6 +130,24 @@ def gf2_solution_count(spark, sf_dir):
     return rules.solution_counts(view(spark, sf_dir, "bitmanip"))
 
 
+_SUPPORTS = ", ".join(f"({k}, {m})" for k, m in enumerate(bits.SUPPORTS))
+
+
+@query(
+    "bitmanip_solve",
+    f"""WITH {_BITS}, q AS (SELECT id, (SELECT sum(CAST(substr(s, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS q FROM (SELECT id, regexp_extract(prompt, 'output for: ([01]+)', 1) AS s FROM p)),
+y AS (SELECT id, CAST(b AS INTEGER) AS b, CAST(x AS BIGINT) AS x, CAST(q AS BIGINT) AS q, CAST(substr(o, CAST(b AS INTEGER) + 1, 1) AS INTEGER) AS t FROM x JOIN q USING (id), range(8) r(b)),
+aff AS (SELECT id, b, min(w) AS w FROM (SELECT id, b, w FROM y, range(512) s(w) GROUP BY 1, 2, 3 HAVING bool_and(bit_count(x & w) % 2 = t)) GROUP BY 1, 2),
+tab AS (SELECT id, b, arg_min(v, nth) AS v FROM (SELECT id, b, nth, max(t) FILTER (x & m = q & m) AS v FROM y ANTI JOIN aff USING (id, b), (VALUES {_SUPPORTS}) s(nth, m)
+ GROUP BY 1, 2, 3 HAVING count(DISTINCT x & m) = count(DISTINCT (x & m) * 2 + t) AND bool_or(x & m = q & m)) GROUP BY 1, 2),
+one AS (SELECT DISTINCT y.id, y.b, coalesce(bit_count(y.q & w) % 2, v) AS v FROM y LEFT JOIN aff USING (id, b) LEFT JOIN tab USING (id, b)),
+a AS (SELECT id, CASE WHEN count(v) = 8 THEN string_agg(CAST(v AS VARCHAR), '' ORDER BY b) END AS predicted FROM one GROUP BY 1)
+SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN predicted = answer THEN 'derived_match' ELSE 'derived_mismatch' END AS status FROM a JOIN p USING (id)""",
+)
+def bitmanip_solve(spark, sf_dir):
+    return rules.SOLVERS["bitmanip"].solve(view(spark, sf_dir, "bitmanip")).select("id", "predicted", "status")
+
+
 @query("status_counts")
 def status_counts(spark, sf_dir):
     return dataset.status_counts(dataset.assembled(puzzles(spark, sf_dir)))

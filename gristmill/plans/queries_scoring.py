@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import classify, scoring
 from gristmill.functions.classify import DOMAIN_KEYWORDS, EVAL_KEYWORDS, EXPECTED_FORMATS
-from gristmill.operators import dataset, evaluate, profile
+from gristmill.operators import dataset, evaluate, profile, report
 from gristmill.plans.catalog import query, table
 from gristmill.plans.puzzles import puzzles, puzzles_sql
 
@@ -166,6 +166,18 @@ def template_topk(spark, sf_dir):
     return profile.most_common(profile.profiled(puzzles(spark, sf_dir)), "signature", 5)
 
 
+@query(
+    "recon_report",
+    f"""WITH r AS ({_PROFILED}), f AS (SELECT domain, format, count(*) AS n, min(pos) AS first_pos FROM r GROUP BY 1, 2), w AS (SELECT domain, length(answer) AS width, count(*) AS n FROM r WHERE format = 'binary' GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, first_pos) AS rank FROM (SELECT domain, signature, count(*) AS n, min(pos) AS first_pos FROM r GROUP BY 1, 2))
+SELECT domain, CAST(sum(n) AS BIGINT) AS n, string_agg(format || '=' || n, ', ' ORDER BY n DESC, first_pos) AS answer_formats, coalesce((SELECT string_agg(width || '=' || n, ', ' ORDER BY width) FROM w WHERE w.domain = f.domain), '') AS binary_widths,
+ (SELECT count(*) FROM t WHERE t.domain = f.domain) AS distinct_templates, (SELECT string_agg(signature || '=' || n, ', ' ORDER BY rank) FROM t WHERE t.domain = f.domain AND rank <= 5) AS top_templates FROM f GROUP BY domain""",
+)
+def recon_report(spark, sf_dir):
+    df = report.domain_report(profile.profiled(puzzles(spark, sf_dir)))
+    return df.select("domain", "n", report.listed("answer_formats").alias("answer_formats"), report.listed("binary_widths").alias("binary_widths"), "distinct_templates", report.listed("top_templates").alias("top_templates"))
+
+
 _KNOWN = ", ".join(f"('{d}')" for d, _ in EXPECTED_FORMATS)
 _KNOWN_FORMATS = ", ".join(f"('{d}', '{f}')" for d, fs in EXPECTED_FORMATS for f in fs)
 
