@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text, a set of words. It meets a template if it holds at least THRESHOLD of the template's words.
+A block is a line of a text, or a run of as many words as the template has, over line ends; both are sets of words. A block
+meets a template if it holds at least THRESHOLD of the template's words.
 One pass over the texts keeps, of each document, which words of the templates' vocabulary it has, the places of base
 phrases, and those blocks that have as many vocabulary words as the least template needs (length filter). Words are
 ordered by how many documents have them, rarest first. A block can only meet a template if it shares one of the
 template's rarest words (prefix filter: so many that fewer words remain than are needed), and if from the place of the
-first shared word in either order enough words remain (positional filter). What passes is verified. No filter loses a
-block that meets the threshold.
+first shared word in either order enough words remain (positional filter). What passes is verified. Runs are held against
+each template beside the row, where a document has enough of its words: a run begins at a word of the template, and only
+where as many of them as are needed stand close enough is it verified. No filter loses a block that meets the threshold.
 
 Defined results: null and empty texts have no words and no labels; repeated rows are scanned each; an empty table gives no
 rows; other columns are left alone.
@@ -74,6 +76,21 @@ def _needed(tokens: Sequence[str], threshold: float) -> int:
     return math.ceil(threshold * len(tokens) - 1e-9)
 
 
+def _run_overlap(hits: Column, text: str, threshold: float) -> Column:
+    """The most words of a template that a run of its length holds, null if too few; hits: the (at, word) of a text in its order."""
+    n, ws = len(text.split(" ")), sorted(set(text.split(" ")))
+    needed = _needed(ws, threshold)
+
+    def run(own: Column) -> Column:
+        begun = F.transform(own, lambda x, i: F.struct(i.alias("i"), x["at"].alias("at")))
+        near = F.filter(begun, lambda x: F.get(own, x["i"] + (needed - 1))["at"] < x["at"] + n)
+        held = F.transform(near, lambda x: F.size(F.array_distinct(F.transform(F.filter(F.slice(own, x["i"] + 1, n), lambda y: y["at"] < x["at"] + n), lambda y: y["word"]))))
+        return F.array_max(F.filter(held, lambda k: k >= needed))
+
+    own = F.filter(hits, lambda x: x["word"].isin(*ws))
+    return F.transform(F.array(own), run)[0]  # own is a variable in run(), so it is found once for a row
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every document."""
     sets = [(label, sorted(set(text.split(" ")))) for label, text in templates]
@@ -84,12 +101,16 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     d = d.select("doc_id", "low", "words", F.array_intersect("words", _strings(vocabulary)).alias("present"))
     none = F.array().cast("array<bigint>")
     places = [F.when(F.size(F.array_intersect("present", _strings(ps := p.split(" ")))) == len(ps), _places(F.col("words"), p)).otherwise(none) for p, _ in phrases]
+    enough = [F.size(F.array_intersect("present", _strings(ws))) >= _needed(ws, threshold) for _, ws in sets]
     could = F.lit(False)
-    for _, ws in sets:
-        could = could | (F.size(F.array_intersect("present", _strings(ws))) >= _needed(ws, threshold))
+    for e in enough:
+        could = could | e
     lines = F.transform(F.split("low", "\n"), lambda x: F.array_sort(F.array_intersect(F.split(x, NOT_ALNUM + "+"), _strings(vocabulary))))
     blocks = F.when(could, F.array_distinct(F.filter(lines, lambda x: F.size(x) >= least))).otherwise(F.array().cast("array<array<string>>"))
-    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", _word_count(F.col("words")).cast("long").alias("n_words"), "present", F.array(*places).alias("places"), blocks.alias("blocks"))
+    shift = (F.col("words")[0] == "").cast("int")
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*vocabulary), F.struct((i - shift).alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    runs = F.transform(F.array(hits), lambda h: F.array(*(F.when(e, _run_overlap(h, text, threshold)) for e, (_, text) in zip(enough, templates, strict=True))))[0]
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", _word_count(F.col("words")).cast("long").alias("n_words"), "present", F.array(*places).alias("places"), blocks.alias("blocks"), F.when(could, runs).alias("runs"))
     d = materialise(d, "licenses")
     # The global order: how many documents have each word.
     seen = d.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
@@ -112,7 +133,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     all_places = F.flatten("places")
     base = F.array_compact(F.array(*(F.when(F.size(F.col("places")[k]) > 0, F.lit(label)) for k, (_, label) in enumerate(phrases))))
     out = d.join(found, "row", "left").withColumn("at", all_places).withColumn("base", F.array_sort(F.array_distinct(base)))
-    labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
+    by_run = F.array_compact(F.array(*(F.when(F.col("runs")[k].isNotNull(), F.lit(label)) for k, (label, _) in enumerate(sets))))
+    run_share = F.array_max(F.array(*(F.col("runs")[k] / len(ws) for k, (_, ws) in enumerate(sets))))
+    labels = F.array_sort(F.array_union(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))), by_run))
     return out.select(
         "doc_id",
         "n_words",
@@ -121,5 +144,5 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
         F.array_max("at").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.greatest("share", run_share), F.lit(0.0))).alias("score"),
     )

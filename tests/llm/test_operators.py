@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -161,6 +162,29 @@ def test_licenses(docs):
     assert got[11].labels == "cc-by-nc" and got[2].n_words == 0 and got[2].first_word is None and got[0].labels == ""
 
 
+def test_licenses_over_line_ends(spark):
+    wrapped = [
+        "Intro.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+        "# The above copyright notice and this permission notice shall be included in\n# all copies or substantial portions of the Software.",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "Permission to use, copy, modify, and/or distribute this software for any\ndnl purpose with or without fee is hereby granted, provided",
+        " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0.",
+        "this is free\n" + "word " * 40 + "\nand unencumbered software released into the public domain",
+        "this is free free free free free free free free and unencumbered software\nreleased into the public domain",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(wrapped)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(wrapped):
+        words, best = re.findall("[a-z0-9]+", text.lower()), {}
+        for label, template in licenses.TEMPLATES:
+            n, ws = len(template.split()), set(template.split())
+            blocks = [re.findall("[a-z0-9]+", x) for x in text.lower().split("\n")] + [words[k : k + n] for k in range(len(words))]
+            share = max(len(ws & set(b)) / len(ws) for b in blocks)
+            if share >= 0.8:
+                best[label] = max(share, best.get(label, 0.0))
+        assert (got[i].labels, got[i].score) == (",".join(sorted(best)), max(best.values(), default=0.0)), text
+    assert [got[i].labels for i in range(7)] == ["mit", "mit", "bsd", "isc", "mpl", "", "unlicense"]
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "system", "be &amp; <b>"), (None, 0, "user", None)]
