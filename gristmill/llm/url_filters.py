@@ -73,13 +73,38 @@ def with_rule(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.join(best.select("host", "path", F.struct("best.rule", "best.verdict").alias("fit")), ["host", "path"], "left")
 
 
+def unquoted(value: Column) -> Column:
+    """An attribute's value without the quotes around it."""
+    return F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
+
+
+def unescaped(value: Column) -> Column:
+    """value with the characters that references name, by number or as one of XML's five; other references stay as they are."""
+
+    def character(token: Column) -> Column:
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(token, "^&#([0-9]{1,7});$", 1), F.lit("")), 10, 10), F.conv(F.nullif(F.regexp_extract(token, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10)).cast("long")
+        out = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(token)
+        for name, sign in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            out = F.when(token == f"&{name};", sign).otherwise(out)
+        return out
+
+    return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)&#?[0-9A-Za-z]+;|&|[^&]+"), F.lit(0)), character), "")).otherwise(value)
+
+
+def refresh_target(content: Column) -> Column:
+    """The URL of a refresh's content: what follows the time and 'url=', up to the end or, if a quote opens it, to that quote."""
+    url = F.regexp_extract(content, r"(?is)^\s*(?:[\d.]+[;,\s]+|[^\"']*?(?=\burl\s*=))(?:url\s*=\s*)?(.*?)\s*$", 1)
+    return F.regexp_replace(url, r"(?s)^([\"'])(.*?)(?:\1.*)?$", "$2")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes that a canonical link or a meta refresh joins; b is null for a link that can't be resolved."""
     canonical = F.regexp_extract("html", r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>;]+)", 1)
-    found = pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.array(canonical, refresh).alias("links"))
+    content = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)", 1)
+    refresh = refresh_target(unescaped(unquoted(content)))
+    found = pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.array(unescaped(canonical), refresh).alias("links"))
     found = found.select("url", F.explode("links").alias("link")).filter("link <> ''")
-    found = materialise(found.select("url", F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link")), "found")
+    found = materialise(found, "found")
     found = with_parts(found, "url").filter("node is not null").withColumn("scheme", F.regexp_extract("url", r"^[^:/?#]*", 0))
     folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^.*/", 0), F.lit("")), F.lit("/"))
     target = (

@@ -205,6 +205,26 @@ def test_url_filters(spark):
     assert got == {0: ("a.example.com", "/en/1", "com/en/", "block"), 1: ("b.org", "/x", None, "block"), 2: ("example.com", "/en/7", "example.com/en/7", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("c.org", "/y", None, "block"), 6: ("d.org", "/z", None, "allow")}
 
 
+def test_url_filters_reads_whole_refresh_targets(spark):
+    meta = "<html><meta http-equiv='refresh' content={}>"
+    contents = {
+        "http://b.org/es/?a=1&b=2": '"0; url=http://b.org/es/?a=1&amp;b=2"',
+        "http://b.org/es/x;v=2": '"5;URL=http://b.org/es/x;v=2"',
+        "http://b.org/es/inner": "\"0; url='http://b.org/es/inner'\"",
+        "http://b.org/es/other": "'0; url = \"http://b.org/es/other\" '",
+        "http://b.org/es/unquoted": "0;url=http://b.org/es/unquoted",
+        "http://b.org/es/no-time": '"url=http://b.org/es/no-time"',
+        "http://b.org/es/no-name": '"0; http://b.org/es/no-name"',
+        "http://b.org/es/é?c='d'": '"0; url=http://b.org/es/&#233;?c&#x3D;&#39;d&apos;"',
+        "http://b.org/es/?a=&lt;": '"0; url=http://b.org/es/?a=&amp;lt;"',
+    }
+    rows = [(k, f"http://from{k}.test/", meta.format(c)) for k, c in enumerate(contents.values())]
+    pages = spark.createDataFrame([*rows, (99, "http://clean.test/", meta.format('"30"'))], "page_id long, url string, html string")
+    assert {(r.a, r.b) for r in url_filters.page_links(pages).collect()} == {(f"from{k}.test/", u.removeprefix("http://")) for k, u in enumerate(contents)}
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, URL_RULES).collect()}
+    assert got == {**{k: "block" for k in range(len(contents))}, 99: "allow"}
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "http://c", "<p>é</p>"), (4, "http://d", ""), (None, "http://e", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
