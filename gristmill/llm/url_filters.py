@@ -22,6 +22,9 @@ from gristmill.llm.components import components
 
 #: Rules that are tried in an expression beside the row; more rules are joined on hosts instead.
 MAX_INLINE = 200
+#: A tag ends at the first '>' outside a quoted value; group 1 of an attribute is its name, group 2 the value as it stands.
+_TAG = r"""(?i)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_ATTRIBUTE = r"""([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,15 +39,27 @@ class Rule:
         return self.host + self.path
 
 
+def without_dots(path: Column) -> Column:
+    """path with its segments '.' and '..' resolved, as RFC 3986 does."""
+    parts = F.split(path, "/")
+    dots = (F.element_at(parts, -1) == ".") | (F.element_at(parts, -1) == "..")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)),
+    )
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.when(dots, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))).otherwise(path)
+
+
 def with_parts(rows: DataFrame, url: str) -> DataFrame:
     """rows and host, path and node of a URL column, and after, the path and query; null or without '://': empty.
 
-    A node tells one page from another: host, path and query do, scheme and fragment don't.
+    A node tells one page from another: host, path without dot segments and query do, scheme and fragment don't.
     """
     at = F.instr(url, "://")
     rows = rows.withColumn("__rest", F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))))
     rows = rows.withColumn("host", F.coalesce(F.translate(F.regexp_extract("__rest", r"^[^/?#]*", 0), _UPPER, _LOWER), F.lit(""))).withColumn("after", F.coalesce(F.regexp_extract("__rest", r"^[^/?#]*([^#]*)", 1), F.lit("")))
-    return rows.withColumn("path", F.regexp_extract("after", r"^[^?]*", 0)).withColumn("node", F.when(F.col("host") != "", F.concat("host", "after"))).drop("__rest")
+    return rows.withColumn("path", F.regexp_extract("after", r"^[^?]*", 0)).withColumn("node", F.when(F.col("host") != "", F.concat("host", without_dots(F.col("path")), F.regexp_extract("after", r"(?s)\?.*", 0)))).drop("__rest")
 
 
 def _ordered(rules: Sequence[Rule]) -> list[Rule]:
@@ -98,12 +113,18 @@ def refresh_target(content: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes that a canonical link or a meta refresh joins; b is null for a link that can't be resolved."""
-    canonical = F.regexp_extract("html", r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    content = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)", 1)
-    refresh = refresh_target(unescaped(unquoted(content)))
-    found = pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.array(unescaped(canonical), refresh).alias("links"))
-    found = found.select("url", F.explode("links").alias("link")).filter("link <> ''")
+    """(a, b): nodes that canonical links and meta refreshes join, all of a page; b is null for a link that can't be resolved."""
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    found = pages.filter(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(tags).alias("tag"))
+    found = found.select("url", F.lower(F.substring("tag", 2, 4)).alias("kind"), F.transform(F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(1)), F.lower).alias("names"), F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(2)).alias("held"))
+
+    def value(name: str) -> Column:
+        return unescaped(unquoted(F.get("held", F.array_position("names", name).cast("int") - 1)))
+
+    canonical = F.when((F.col("kind") == "link") & F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical"), value("href"))
+    refresh = F.when((F.col("kind") == "meta") & (F.lower(F.btrim(value("http-equiv"))) == "refresh"), refresh_target(value("content")))
+    link = F.regexp_replace(F.regexp_replace(F.coalesce(canonical, refresh), r"^\s+|\s+$", ""), r"[\t\n\r]", "")
+    found = found.select("url", link.alias("link")).filter("link <> ''")
     found = materialise(found, "found")
     found = with_parts(found, "url").filter("node is not null").withColumn("scheme", F.regexp_extract("url", r"^[^:/?#]*", 0))
     folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^.*/", 0), F.lit("")), F.lit("/"))
@@ -111,7 +132,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.when(F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
         .when(F.startswith("link", F.lit("//")), F.concat("scheme", F.lit(":"), "link"))
         .when(F.startswith("link", F.lit("/")), F.concat("scheme", F.lit("://"), "host", "link"))
-        .when(~F.col("link").rlike(r"^[?#]|^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(F.lit("://"), "host", folder, "link"))
+        .when(F.startswith("link", F.lit("?")), F.concat(F.lit("://"), "host", "path", "link"))
+        .when(~F.col("link").rlike(r"^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(F.lit("://"), "host", folder, "link"))
     )
     ends = with_parts(found.select(F.col("node").alias("a"), target.alias("target")), "target")
     return ends.select("a", F.col("node").alias("b"))

@@ -225,6 +225,25 @@ def test_url_filters_reads_whole_refresh_targets(spark):
     assert got == {**{k: "block" for k in range(len(contents))}, 99: "allow"}
 
 
+def test_url_filters_takes_every_link_of_a_page(spark):
+    canonical, refresh = "<link rel={} href={}>".format, "<meta http-equiv=Refresh content='0;url={}'>".format
+    html = {
+        "http://a.test/d/e/p?x=1": "".join([canonical("canonical", "http://b.test/1"), "<meta charset=utf-8>", canonical('"nofollow canonical"', "'http://b.test/2'"), refresh("http://b.test/3"), refresh("http://b.test/4"), '<link title="a > rel=canonical" data-href="http://c.test/" rel="icon" href="/icon">']),
+        "http://q.test/d/p?x=1#f": canonical("canonical", '"?page=1"') + refresh("?page=2"),
+        "http://r.test/d/e/p": canonical("canonical", "../x") + canonical("canonical", "./y/") + canonical("canonical", "/a/../../z/.") + refresh("..") + canonical("canonical", "' http://r.test/a b\n'") + canonical("canonical", "mailto:x@y") + canonical("canonical", "#f"),
+        "http://s.test/u/../v": canonical("canonical", '"http://s.test/w>1"'),
+        "http://t.test": canonical("canonical", "x/../y"),
+        "http://z.test/": refresh("http://quiet.test/") + refresh("http://b.org/es/1") + refresh("http://b.org/es/2"),
+    }
+    want = {("a.test/d/e/p?x=1", f"b.test/{k}") for k in range(1, 5)} | {("q.test/d/p?x=1", f"q.test/d/p?page={k}") for k in (1, 2)}
+    want |= {("r.test/d/e/p", f"r.test/{x}") for x in ("d/x", "d/e/y/", "z/", "d/", "a b")} | {("s.test/v", "s.test/w>1"), ("t.test", "t.test/y")}
+    want |= {("z.test/", x) for x in ("quiet.test/", "b.org/es/1", "b.org/es/2")}
+    pages = spark.createDataFrame([*((k, u, h) for k, (u, h) in enumerate(html.items())), (9, "http://quiet.test/", "")], "page_id long, url string, html string")
+    assert {(r.a, r.b) for r in url_filters.page_links(pages).filter("b is not null").collect()} == want
+    blocked = {r.page_id for r in url_filters.judge(pages, URL_RULES).filter("verdict = 'block'").collect()}
+    assert blocked == {5, 9}  # joined through the first refresh of 5, blocked through the others
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "http://c", "<p>é</p>"), (4, "http://d", ""), (None, "http://e", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
