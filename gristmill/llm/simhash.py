@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.common import materialise, text_bytes
 from gristmill.llm.components import components
@@ -225,22 +226,43 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _rooted(own: DataFrame) -> DataFrame:
+    """fp, least_id (the least doc_id with it, null if none has an id) and root of its component, from the written table own."""
+    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(near_links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every document."""
     own = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(near_links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(own)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """docs and the fingerprint of each row, __fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column("text").cast(pa.binary())
+            fps = np.array([fingerprint(shingle_hashes(x.as_py() or b"")) for x in bodies], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the least of their component, with all their columns; of rows with one id, one stays.
+    """One row of each component, with all its columns: the one of least id, null last, and of that id the least fingerprint.
 
-    Ids are compared, so documents with a null id name no group: each of them stays.
+    A row is known by id and fingerprint, so an id may repeat with other texts; rows equal in both are copies and one stays.
     """
-    kept = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = materialise(_with_fingerprints(docs), "rows")
+    first = _rooted(rows.select("doc_id", F.col("__fp").alias("fp"))).groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), "fp")).alias("r"))
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    keys = ["__none", "__id", "__fp"]  # without nulls, so that rows can be joined on them
+    kept = first.select(F.col("r.none").alias("__none"), F.coalesce("r.id", none).alias("__id"), F.col("r.fp").alias("__fp"))
+    keyed = rows.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", none))
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

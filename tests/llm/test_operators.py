@@ -65,6 +65,24 @@ def test_simhash(docs, spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(3000)) for x in "abc")
+    rows = [(3, a, 0), (5, a + " end", 1), (5, b, 2), (5, b, 3), (7, b, 4), (None, a, 5), (None, c, 6), (None, c + " end", 7), (None, None, 8), (None, "", 9), (8, "alone", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    fp = {n: simhash.fingerprint(simhash.shingle_hashes((t or "").encode())) for _, t, n in rows}
+    group = {n: n for n in fp}
+    for x, y in itertools.combinations(fp, 2):
+        if (int(fp[x]) ^ int(fp[y])).bit_count() <= simhash.RADIUS:
+            group = {n: group[x] if g == group[y] else g for n, g in group.items()}
+    assert group[0] == group[1] == group[5] and group[6] == group[7] and len(set(group.values())) == 5
+    got = simhash.one_of_each(df).collect()
+    assert sorted(group[r.n] for r in got) == sorted(set(group.values()))  # one row of each component, none lost
+    for r in got:
+        ids = [i for i, _, n in rows if group[n] == group[r.n] and i is not None]
+        assert (r.doc_id, r.text) == rows[r.n][:2] and r.doc_id == min(ids, default=None)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_bit_sliced_comparison_finds_every_link():
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 62, 150, dtype=np.uint64)
