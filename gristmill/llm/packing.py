@@ -3,10 +3,11 @@
 Documents become ids and an end id; longer ones are cut into pieces. How many pieces of each length there are is a
 histogram of at most `capacity` rows, whatever the corpus. Over it a configuration linear program is solved: columns are
 multisets of lengths that fit into one sequence, found by a knapsack dynamic program under prices that multiplicative
-weights keep for each length class. The program's solution is rounded down to whole sequences, solved again for what
-is left, and the rest goes best-fit-decreasing (in bulk, by histogram) into the gaps and into new sequences; sequences that
-rounding left with wide gaps are taken apart for that where it needs fewer in all. The plan's
-size follows the histogram, not the corpus; each piece then finds its place by its rank among the pieces of its length.
+weights keep for each length class. The program's solution is rounded to whole sequences, solved again for what is left,
+and the rest goes best-fit-decreasing (in bulk, by histogram) into the gaps and into new sequences; sequences that
+rounding left with wide gaps, and short pieces, are taken apart for that where it needs fewer in all. Every length
+enters the program, and it is solved for every histogram, however small. The plan's size follows the histogram, not the
+corpus; each piece then finds its place by its rank among the pieces of its length.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each for itself; an empty table
 gives no pieces; other columns of the input are left alone.
@@ -21,10 +22,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gristmill.llm.common import BoundedCache, materialise, text_bytes
@@ -117,36 +118,40 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
 
 
 def length_classes(histogram: dict[int, int], n_classes: int) -> list[list[int]]:
-    """Lengths in ascending order, cut into classes that hold about as many pieces each (linear grouping)."""
-    total, out, held = sum(histogram.values()), [], 0
+    """Lengths in ascending order, cut into classes that hold about as many tokens each (linear grouping)."""
+    total, out, held = sum(s * n for s, n in histogram.items()), [], 0
     for s in sorted(histogram):
         if not out or held >= total / n_classes:
             out.append([])
             held = 0
         out[-1].append(s)
-        held += histogram[s]
+        held += s * histogram[s]
     return out
 
 
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[tuple[int, int], ...]:
-    """The multiset of classes of most worth that fits into room: an unbounded knapsack. sizes ascend."""
-    worth, take = np.zeros(room + 1), np.full(room + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(room + 1), "right")
-    for c in range(1, room + 1):
-        k = upto[c]
-        worth[c], take[c] = worth[c - 1], -2
-        if k:
-            tried = prices[:k] + worth[c - sizes[:k]]
-            best = int(tried.argmax())
-            if tried[best] > worth[c]:
-                worth[c], take[c] = tried[best], best
+    """The multiset of classes of most worth that fits into room: a knapsack, class by class over all fillings at once.
+
+    A class may be taken any number of times: it is offered once, twice, four times, ... as far as the room goes.
+    """
+    worth, offers, taken = np.zeros(room + 1), [], []
+    for k in range(len(sizes)):
+        left, n = room // int(sizes[k]), 1
+        while left > 0:
+            n = min(n, left)
+            width = n * int(sizes[k])
+            tried = worth[: room + 1 - width] + n * prices[k]
+            better = tried > worth[width:] + 1e-12
+            worth[width:][better] = tried[better]
+            offers.append((k, n, width))
+            taken.append(better)
+            left -= n
+            n *= 2
     found, c = defaultdict(int), room
-    while c > 0 and take[c] != -1:
-        if take[c] == -2:
-            c -= 1
-        else:
-            found[int(take[c])] += 1
-            c -= int(sizes[take[c]])
+    for (k, n, width), better in zip(reversed(offers), reversed(taken), strict=True):
+        if c >= width and better[c - width]:
+            found[k] += n
+            c -= width
     return tuple(sorted(found.items()))
 
 
@@ -160,8 +165,7 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, room: int, roun
     rate = np.log(max(2, len(sizes))) * 2
     for _ in range(rounds):
         prices = np.exp(-rate * (covered - covered.min())) / demand  # a piece of a class in small demand counts for more of it
-        prices *= 1 / prices.max()
-        config = best_configuration(sizes, prices * 1.0, room)
+        config = best_configuration(sizes, prices / prices.max(), room)
         if not config:
             break
         kinds, times = np.array([k for k, _ in config]), np.array([n for _, n in config])
@@ -174,51 +178,58 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, room: int, roun
     return {c: x / scale for c, x in used.items()}
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_classes: int = 192, unit: int = 4, rounds: int = 1200, solves: int = 4) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_classes: int = 128, rounds: int = 600, solves: int = 4) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(number of sequences, ((length, pieces of it), ...)) with exactly the pieces of the histogram.
 
-    n_classes, unit, rounds and solves bound the linear programs; they are the same for every corpus.
+    n_classes, rounds and solves bound the linear programs; they are the same for every corpus. Whole multiples of the
+    program's configurations are used; once all are below one, each is used once as far as pieces are left for it.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     if left and (min(left) < 1 or max(left) > capacity):
         raise ValueError("a piece has to have 1 to capacity tokens")
     done: list[tuple[int, tuple[int, ...]]] = [(left.pop(capacity), (capacity,))] if capacity in left else []
+    stages = []  # what stands and what is left after each solve
     for _ in range(solves):
-        if sum(left.values()) < 4 * n_classes:
+        if not left:
             break
-        before = sum(left.values())
-        large = {s: n for s, n in left.items() if s > capacity // 8}  # the small ones fill gaps at the end
-        if not large:
-            break
-        classes = length_classes(large, n_classes)
-        sizes = np.array([-(-max(c) // unit) for c in classes])
-        keep = sizes <= capacity // unit
-        order = np.flatnonzero(keep)
-        demand = np.array([sum(left[s] for s in classes[k]) for k in order], float)
-        solved = configuration_program(sizes[order], demand, capacity // unit, rounds)
-        for config, x in sorted(solved.items(), key=lambda i: (-i[1], i[0])):
-            *slots, last = [int(order[k]) for k, n in config for _ in range(n)][::-1]
+        classes = length_classes(left, n_classes)
+        sizes = np.array([max(c) for c in classes])
+        demand = np.array([sum(left[s] for s in c) for c in classes], float)
+        solved = sorted(configuration_program(sizes, demand, capacity, rounds).items(), key=lambda i: (-i[1], i[0]))
+        whole = any(x >= 1 for _, x in solved)
+        for config, x in solved:
+            *slots, last = [k for k, n in config for _ in range(n)][::-1]
             need = {k: slots.count(k) for k in set(slots)}
-            m = min(int(x), *(sum(left.get(s, 0) for s in classes[k]) // n for k, n in need.items()), *([sum(left.get(s, 0) for s in classes[last])] if not slots else []))
+            m = min(int(x) if whole else 1, *(sum(left.get(s, 0) for s in classes[k]) // n for k, n in need.items()), *([sum(left.get(s, 0) for s in classes[last])] if not slots else []))
             if m > 0:
-                done += _topped(_filled([classes[k] for k in slots], m, left) if slots else [(m, ())], left, capacity, capacity // 8)
+                done += _topped(_filled([classes[k] for k in slots], m, left) if slots else [(m, ())], left, capacity)
         left = {s: n for s, n in left.items() if n > 0}
-        if sum(left.values()) > 0.9 * before:
-            break
-    # Sequences that rounding left with a wide gap are taken apart again, as far as that needs fewer sequences in all.
-    tried = (_best_fit(*_kept(done, left, capacity, capacity >> k), capacity) for k in range(capacity.bit_length()))
-    return [(n, tuple(sorted({s: c.count(s) for s in c}.items(), reverse=True))) for n, c in min(tried, key=lambda runs: sum(n for n, _ in runs))]
-
-
-def _kept(done: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int, gap: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
-    """The sequences whose gap is at most `gap`, and the pieces of all others with those left."""
+        stages.append((list(done), dict(left)))
+    # Best fit for the rest. Sequences that rounding left with a gap, late solves and short pieces are taken apart again for
+    # it, as far as that needs fewer sequences in all.
+    best, least = None, -(-sum(s * n for s, n in histogram.items()) // capacity)
+    for held, free in reversed(stages or [(done, left)]):
+        for short in (0, *(capacity >> k for k in (7, 5, 3, 2, 1))):
+            for gap in (capacity, capacity >> 3, capacity >> 6, 0):
+                runs = _best_fit(*_kept(held, free, capacity, gap, short), capacity)
+                if best is None or sum(n for n, _ in runs) < sum(n for n, _ in best):
+                    best = runs
+                if sum(n for n, _ in best) == least:
+                    break  # as few as the tokens allow
+    return [(n, tuple(sorted({s: c.count(s) for s in c}.items(), reverse=True))) for n, c in best]
+
+
+def _kept(done: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int, gap: int, short: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """The sequences whose gap is at most `gap`, without pieces below `short`, and with those left the pieces of all others."""
     kept, free = [], dict(left)
     for n, content in done:
-        if capacity - sum(content) <= gap:
-            kept.append((n, content))
-        else:
-            for s in content:
-                free[s] = free.get(s, 0) + n
+        stay = content if capacity - sum(content) <= gap else ()
+        if short and stay:
+            stay = tuple(s for s in content if s >= short)
+        if stay:
+            kept.append((n, stay))
+        for s in content if not stay else (s for s in content if s < short):
+            free[s] = free.get(s, 0) + n
     return kept, free
 
 
@@ -245,9 +256,9 @@ def _filled(slots: list[list[int]], m: int, left: dict[int, int]) -> list[tuple[
     return out
 
 
-def _topped(runs: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int, above: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Each sequence's last slot takes the largest length left (longer than above) that fits: what rounding to classes wastes is used here."""
-    out, lengths = [], sorted(s for s, n in left.items() if n > 0 and s > above)
+def _topped(runs: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Each sequence's last slot takes the largest length left that fits: what rounding to classes wastes is used here."""
+    out, lengths = [], sorted(s for s, n in left.items() if n > 0)
     for n, content in runs:
         gap = capacity - sum(content)
         while n:
@@ -318,21 +329,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = sizes.select("length", "__salt", (F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
     ranked = salted.withColumn("__in", F.row_number().over(group.orderBy("doc_id", "piece", "ids_crc32")) - 1).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__in") + F.col("__before"))
-    names = [c for c in cut.columns]
+    names = cut.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = sent.value
-        for df in frames:
-            length, rank = df["length"].to_numpy(np.int64), df["__rank"].to_numpy(np.int64)
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
             k = np.searchsorted(at["key"], length << 44 | rank, "right") - 1
             within = rank - at["rank"][k]
-            out = df[names].copy()
-            out["sequence_id"] = at["first"][k] + within // at["each"][k]
-            out["offset"] = at["offset"][k] + within % at["each"][k] * length
-            yield out
+            places = at["first"][k] + within // at["each"][k], at["offset"][k] + within % at["each"][k] * length
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, places)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "__rank").mapInPandas(run, schema)
+    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.select(*names, "__rank").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

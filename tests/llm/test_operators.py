@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -151,7 +152,20 @@ def test_packing(docs):
     for t in [*TEXTS, odd]:
         assert np.frombuffer(encoder.encode((t or "").encode()), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
     got = packing.pack_documents(docs, tokenizer_file()).collect()
-    assert sum(r.length for r in got if r.doc_id == 6) == len(whole.encode(LONG, add_special_tokens=False).ids) + 1
+    want = Counter()
+    for row in docs.collect():
+        ids = [*whole.encode(row.text or "", add_special_tokens=False).ids, packing.END_ID]
+        for k in range(0, len(ids), packing.CAPACITY):
+            part = np.array(ids[k : k + packing.CAPACITY], "<u4").tobytes()
+            want[row.doc_id, k // packing.CAPACITY, k, len(part) // 4, zlib.crc32(part)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert_gapless(got)
+    assert packing.pack_documents(docs.limit(0), tokenizer_file()).collect() == []
+    texts = {r.doc_id: r.ids for r in packing.pieces(docs.filter("doc_id in (0, 3)"), tokenizer_file(), with_ids=True).collect()}
+    assert texts == {0: [*whole.encode(TEXTS[0], add_special_tokens=False).ids, 0], 3: [0]}
+
+
+def assert_gapless(got):
     for _, rows in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
         at = 0
         for r in rows:
@@ -160,17 +174,53 @@ def test_packing(docs):
         assert at <= packing.CAPACITY
 
 
-def test_packing_plan_is_whole_and_tight():
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    large = 9007199254740993  # no double has this value
+    df = spark.createDataFrame([(large, "a b c"), (None, "d"), (large, "a b c")], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, tokenizer_file()).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == [str(large), str(large), "None"]
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3
+    assert_gapless(got)
+
+
+def histograms():
     rng = np.random.default_rng(5)
-    histogram = {int(s): int(n) for s, n in zip(rng.integers(1, 2049, 600), rng.integers(1, 400, 600), strict=True)}
+
+    def counted(lengths):
+        return dict(Counter(min(2048, max(1, int(x))) for x in lengths))
+
+    yield {int(s): int(n) for s, n in zip(rng.integers(1, 2049, 600), rng.integers(1, 400, 600), strict=True)}
+    yield counted(rng.integers(1, 2049, 222))
+    yield counted(rng.integers(400, 1100, 20_000))
+    yield counted(rng.integers(1, 60, 300))
+    yield counted(rng.lognormal(6, 1, 4000))
+    yield {300: 1000, 700: 900, 1100: 800, 650: 333}
+    yield {2048: 5}
+    yield {1: 1}
+    yield {}
+
+
+@pytest.mark.parametrize("histogram", list(histograms()))
+def test_packing_plan_is_whole_and_tight(histogram):
     planned, held = packing.plan(histogram), Counter()
     for n, content in planned:
         assert sum(s * k for s, k in content) <= 2048
         for s, k in content:
             held[s] += n * k
     assert held == Counter(histogram)
-    plain = packing._best_fit([], histogram, 2048)
-    assert sum(n for n, _ in planned) <= 1.02 * sum(n for n, _ in plain)
+    needed = sum(n for n, _ in planned)
+    assert -(-sum(s * n for s, n in histogram.items()) // 2048) <= needed <= sum(n for n, _ in packing._best_fit([], histogram, 2048))
+
+
+def test_knapsack_finds_the_best_configuration():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, prices, room = rng.integers(3, 40, 6), rng.random(6), 60
+        worth = [0.0] * (room + 1)
+        for c in range(1, room + 1):
+            worth[c] = max([worth[c - 1], *(p + worth[c - s] for s, p in zip(sizes, prices, strict=True) if s <= c)])
+        found = packing.best_configuration(sizes, prices, room)
+        assert sum(n * sizes[k] for k, n in found) <= room and math.isclose(sum(n * prices[k] for k, n in found), worth[room])
 
 
 def test_licenses(docs):
