@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import decontaminate, packing, quality_rules, simhash, toxicity
-from gristmill.llm.common import materialise
+from gristmill.llm.common import materialise, release, written_so_far
 from gristmill.llm.queries import table, tokenizer_file
 
 
@@ -42,6 +42,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = table(spark, sf_dir, "documents")
+    mark = written_so_far(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, mark)  # the stage's input and all that it wrote on its way
     return docs

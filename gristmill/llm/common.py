@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 #: Only used where spark.checkpoint.dir is unset and Spark runs in one process.
 LOCAL_SHARED = "/tmp/checkpoints/gristmill"
 
+#: A key of more than one HOT_SHARE-th of the rows is hot; SALTS are the parts into which a salted join cuts a key.
+HOT_SHARE, SALTS = 1000, 16
+
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return LOCAL_SHARED
 
@@ -53,6 +57,42 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far(spark: SparkSession) -> int:
+    """How many paths shared_path() has given to this application: a mark for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int, but_last: bool = True) -> None:
+    """Delete what was written to shared paths after the mark, the last of them excepted."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths[since : len(paths) - but_last]:
+        delete(spark, path)
+    del paths[since : len(paths) - but_last]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key, of which n says how many rows have it.
+
+    A key that holds at least a HOT_SHARE-th of all `total` rows would be one task's work. There are HOT_SHARE such keys at
+    most, so their part of the table is broadcast and their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col(n) * HOT_SHARE >= F.lit(total)
+    few, many = table.filter(hot).drop(n), table.filter(~hot).drop(n)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")  # HOT_SHARE rows at most, here and below
+    return rows.join(F.broadcast(few), key).unionByName(others.join(many, key))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, spread_by: Column) -> DataFrame:
+    """rows joined, left or left_semi, with a table that is small beside it: its rows are repeated once for each salt.
+
+    Of a frequent key, each salt is a task of its own; rows without the key join nothing and are not all one task's.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.filter(F.col(key).isNotNull()).withColumn("__salt", salt).join(copies, [key, "__salt"], how).drop("__salt")
+    return met if how == "left_semi" else met.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 #: Fixed values of the contracts: what separates words.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -81,17 +121,16 @@ def labels_once(labels: DataFrame, value: str) -> DataFrame:
     return labels.filter(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("y"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: Column, per_class: int, max_chars: int) -> list[tuple[int, bytes]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: Column, per_class: int) -> list[tuple[int, bytes]]:
     """(label, text) of at most per_class documents of each label, for fitting a classifier on the driver.
 
     fold says which labelled rows may be learnt from. The ids of least hash are taken, so the same table gives the same
-    sample; texts above max_chars characters are passed over in fitting (they are scored like any other). At most
-    2 * per_class * max_chars characters reach the driver.
+    sample. Rows alone are bounded: texts are whole, however long.
     """
     once = labels_once(labels, value).filter(fold)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = once.filter("y = 0").orderBy(*order).limit(per_class).unionByName(once.filter("y = 1").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", text_bytes().alias("body")).filter(F.length("body") <= max_chars)
+    texts = docs.select("doc_id", text_bytes().alias("body"))
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("body").alias("body"))  # ids: 2 * per_class rows at most
     return [(r.y, bytes(r.body)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 

@@ -5,7 +5,7 @@ digits, repeated lines and words, lengths) go to buckets of their own, one for e
 w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j; the pairs are summed in linear time as half of the square of the sum
 less the sum of squares, factor by factor.
 
-Fitting takes at most 2 * SAMPLE documents of at most SAMPLE_CHARS characters to the driver. Scoring takes every document.
+Fitting takes at most 2 * SAMPLE labelled documents, whole, to the driver. Scoring takes every document.
 
 Defined results: null and empty texts have statistics but no words and a score like any other; without labels of both
 kinds every score is the share of good labels (one half without labels); repeated rows get equal scores; an empty table
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, labels_once, text_bytes
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE = 2500
 #: The fold that is held out: crc32(doc_id) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 WORD_BUCKETS = 1 << 15
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fitted to rows of labels.quality outside the held-out fold."""
     fold = fold_ids(F.col("doc_id")) % FOLDS != HELD_OUT
     counts = {r.y: r.n for r in labels_once(labels, "quality").filter(fold).groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
-    return fit(labelled_sample(docs, labels, "quality", fold, SAMPLE, SAMPLE_CHARS), (counts.get(0, 0), counts.get(1, 0)))
+    return fit(labelled_sample(docs, labels, "quality", fold, SAMPLE), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialise, text_bytes
+from gristmill.llm.common import materialise, spread_join, text_bytes
 from gristmill.llm.components import components
 
 RADIUS = 3
@@ -227,19 +227,22 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def _rooted(own: DataFrame) -> DataFrame:
-    """fp, least_id (the least doc_id with it, null if none has an id) and root of its component, from the written table own."""
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    """fp, n (rows with it), first (the struct column of own that is least among them) and root of its component.
+
+    own is a written table.
+    """
+    distinct = materialise(own.groupBy("fp").agg(F.count("*").alias("n"), F.min("first").alias("first")), "distinct")
     roots = components(near_links(distinct.select("fp")))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every document."""
     own = materialise(fingerprints(docs), "fingerprints")
-    rooted = _rooted(own)
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialise(_rooted(own.select("fp", F.col("doc_id").alias("first"))), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_fp"))
+    classes = spread_join(rooted.select("root", "fp", "n"), least, "root", "n_fp", rooted.count()).select("fp", "n", "component_id")
+    return spread_join(own, classes, "fp", "n", own.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -255,14 +258,14 @@ def _with_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: the one of least id, null last, and of that id the least fingerprint.
+    """One row of each component, with all its columns: the one of least id, null last; of equal ids any one.
 
-    A row is known by id and fingerprint, so an id may repeat with other texts; rows equal in both are copies and one stays.
+    Rows get a number of their own when they are written with their fingerprints, so ids may repeat or be null. The
+    numbers of the rows that go are a table of one column, whose known size tells the planner whether it is broadcast
+    or texts have to be shuffled.
     """
-    rows = materialise(_with_fingerprints(docs), "rows")
-    first = _rooted(rows.select("doc_id", F.col("__fp").alias("fp"))).groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), "fp")).alias("r"))
-    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
-    keys = ["__none", "__id", "__fp"]  # without nulls, so that rows can be joined on them
-    kept = first.select(F.col("r.none").alias("__none"), F.coalesce("r.id", none).alias("__id"), F.col("r.fp").alias("__fp"))
-    keyed = rows.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", none))
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    rows = materialise(_with_fingerprints(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("first")
+    stay = _rooted(rows.select(F.col("__fp").alias("fp"), order)).groupBy("root").agg(F.min("first")["row"].alias("__row"))
+    go = materialise(rows.select("__row").join(stay.select("__row"), "__row", "left_anti"), "go")
+    return rows.join(go, "__row", "left_anti").select(docs.columns)

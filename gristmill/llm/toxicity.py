@@ -7,7 +7,7 @@ forward-backward marginals over all of its tokens; runs of tokens without any we
 by the power of their transition matrix, which is exact. The marginals give the toxic spans with their offsets, and
 two sums of them, calibrated on the labelled documents, the document's score.
 
-Fitting takes at most 2 * SAMPLE documents of at most SAMPLE_CHARS characters to the driver. Scoring takes every document.
+Fitting takes at most 2 * SAMPLE labelled documents, whole, to the driver. Scoring takes every document.
 
 Defined results: null and empty texts have no tokens and get the score of a text without evidence; without labels of both
 kinds every score is 0; repeated rows get equal scores; an empty table gives no rows.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, text_bytes
 
-#: Documents of each label that fitting takes at most, and their greatest length.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+#: Documents of each label that fitting takes at most.
+SAMPLE = 2500
 #: The fold that is held out: crc32(doc_id) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -38,6 +38,11 @@ _WINDOW = 6
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words of UTF-8 text, A-Z lower-cased."""
+    return text.translate(ALNUM_TABLE).split()
+
+
 def features(word: bytes) -> list[bytes]:
     """The word itself and its beginnings, by characters."""
     text = word.decode("utf-8", "ignore")
@@ -108,26 +113,39 @@ class Field:
             back = back / back.sum()
         return at, np.clip(out, 0.0, 1.0)
 
-    def evidence_of(self, text: bytes) -> tuple[float, float]:
+    @staticmethod
+    def evidence_of(p: np.ndarray) -> tuple[float, float]:
         """What a document's marginals come to: the greatest in logits, and how many toxic tokens are expected."""
-        _, p = self.marginals(text.translate(ALNUM_TABLE).split())
         if not len(p):
             return -12.0, 0.0
         top = min(max(float(p.max()), 1e-6), 1 - 1e-6)
         return math.log(top / (1 - top)), math.log1p(float(p.sum()))
 
-    def score(self, text: bytes) -> float:
+    def score_of(self, p: np.ndarray) -> float:
         if self.calibration is None:
             return 0.0
         a, b, c = self.calibration
-        top, count = self.evidence_of(text)
+        top, count = self.evidence_of(p)
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a + b * top + c * count))))
 
-    def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of toxic tokens, as character offsets of the text."""
-        at, p = self.marginals(text.encode("utf-8", "surrogatepass").translate(ALNUM_TABLE).split())
-        where = [m.span() for m in _WORD.finditer(text)]
-        return [(*where[i], float(x)) for i, x in zip(at, p, strict=True) if x >= least]
+    def score(self, text: bytes) -> float:
+        return self.score_of(self.marginals(words_of(text))[1])
+
+    def judge(self, text: bytes, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score and the toxic spans: (start, end, greatest probability) of each run of toxic tokens, by characters."""
+        at, p = self.marginals(words_of(text))
+        spans: list[tuple[int, int, float]] = []
+        if len(p) and p.max() >= least:
+            where = [m.span() for m in _WORD.finditer(text.decode("utf-8", "surrogateescape"))]
+            last = -2
+            for i, x in zip(at.tolist(), p.tolist(), strict=True):
+                if x >= least:
+                    if i == last + 1:
+                        spans[-1] = (spans[-1][0], where[i][1], max(spans[-1][2], x))
+                    else:
+                        spans.append((*where[i], x))
+                    last = i
+        return self.score_of(p), spans
 
 
 # -- fitting
@@ -138,7 +156,7 @@ def _distinct_features(sample: list[tuple[int, bytes]]) -> tuple[list[Counter],
     df, n = [Counter(), Counter()], [0, 0]
     for y, text in sample:
         fs = set()
-        for w in set(text.translate(ALNUM_TABLE).split()):
+        for w in set(words_of(text)):
             if w not in known:
                 known[w] = features(w)
             fs.update(known[w])
@@ -162,11 +180,17 @@ def telling_features(sample: list[tuple[int, bytes]]) -> tuple[set[bytes], set[b
     return sure, wide
 
 
-def fit_chain(tokens: list[list[list[int]]], gold: list[list[int]], n_features: int, rounds: int = 60, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions by gradient ascent (Adam) on the mean log-likelihood of labelled windows."""
-    n, t_max = len(tokens), max(map(len, tokens))
-    mask = np.zeros((n, t_max), bool)
-    y = np.zeros((n, t_max), int)
+def fit_chain(windows: Counter, n_features: int, rounds: int = 60, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions by gradient ascent (Adam) on the mean log-likelihood of labelled windows.
+
+    windows counts (features of each token, label of each token): equal windows are one that weighs as many.
+    """
+    tokens, gold = zip(*windows, strict=True)
+    times = np.array([*windows.values()], float)
+    n, t_max = times.sum(), max(map(len, tokens))
+    times = times[:, None]
+    mask = np.zeros((len(tokens), t_max), bool)
+    y = np.zeros((len(tokens), t_max), int)
     place, feat = [], []
     for i, (ts, ys) in enumerate(zip(tokens, gold, strict=True)):
         mask[i, : len(ts)], y[i, : len(ts)] = True, ys
@@ -178,8 +202,8 @@ def fit_chain(tokens: list[list[list[int]]], gold: list[list[int]], n_features:
     m, v = np.zeros_like(params), np.zeros_like(params)
     for r in range(1, rounds + 1):
         w, b, a = params[:n_features], params[n_features], params[n_features + 1 :].reshape(2, 2)
-        e = np.zeros((n, t_max, 2))
-        e[:, :, 1] = b + np.bincount(place, w[feat], n * t_max).reshape(n, t_max)
+        e = np.zeros((*mask.shape, 2))
+        e[:, :, 1] = b + np.bincount(place, w[feat], mask.size).reshape(mask.shape)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for t in range(1, t_max):
@@ -191,15 +215,15 @@ def fit_chain(tokens: list[list[list[int]]], gold: list[list[int]], n_features:
             beta[:, t] = np.where(mask[:, t + 1, None], moved, 0.0)
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        off = (y - p[:, :, 1]) * mask
+        off = (y - p[:, :, 1]) * mask * times
         grad = np.zeros_like(params)
         grad[:n_features] = np.bincount(feat, off.reshape(-1)[place], n_features)
         grad[n_features] = off.sum()
         for i in (0, 1):
             for j in (0, 1):
-                both = mask[:, 1:]
+                both = mask[:, 1:] * times
                 pair = np.exp(alpha[:, :-1, i] + a[i, j] + e[:, 1:, j] + beta[:, 1:, j] - z[:, None]) * both
-                seen = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
+                seen = (((y[:, :-1] == i) & (y[:, 1:] == j)) * both).sum()
                 grad[n_features + 1 + 2 * i + j] = seen - pair.sum()
         grad = grad / n - decay * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -207,22 +231,20 @@ def fit_chain(tokens: list[list[list[int]]], gold: list[list[int]], n_features:
     return params[:n_features], float(params[n_features]), params[n_features + 1 :].reshape(2, 2)
 
 
-def _windows(sample: list[tuple[int, bytes]], sure: set[bytes], ids: dict[bytes, int], per_doc: int = 3) -> tuple[list, list]:
-    """Windows of labelled tokens: around tokens with a weighted feature, and the beginning of each text."""
-    tokens, gold, known = [], [], {}
+def _windows(sample: list[tuple[int, bytes]], sure: set[bytes], ids: dict[bytes, int]) -> Counter:
+    """Windows of labelled tokens and how often they occur: around every token with a weighted feature, and the beginning of each text."""
+    found, known = Counter(), {}
     for y, text in sample:
-        words = text.translate(ALNUM_TABLE).split()
+        words = words_of(text)
         for w in set(words):
             if w not in known:
                 fs = features(w)
-                known[w] = ([ids[f] for f in fs if f in ids], any(f in sure for f in fs))
-        told = [k for k, w in enumerate(words) if known[w][0]]
-        told = told[:: max(1, len(told) // per_doc)][:per_doc]
-        for k in [0, *told] if words else []:
-            part = words[max(0, k - _WINDOW) : k + _WINDOW + 1]
-            tokens.append([known[w][0] for w in part])
-            gold.append([int(y and known[w][1]) for w in part])
-    return tokens, gold
+                known[w] = (tuple(ids[f] for f in fs if f in ids), any(f in sure for f in fs))
+        of = [known[w] for w in words]
+        for k in [0, *(k for k, (told, _) in enumerate(of) if told)] if words else []:
+            part = of[max(0, k - _WINDOW) : k + _WINDOW + 1]
+            found[tuple(fs for fs, _ in part), tuple(int(y and hit) for _, hit in part)] += 1
+    return found
 
 
 def calibrated(evidence: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -248,9 +270,9 @@ def fit(sample: list[tuple[int, bytes]]) -> Field:
     ids = {f: k for k, f in enumerate(sorted(wide | sure))}
     if not ids:
         return Field()
-    w, b, a = fit_chain(*_windows(sample, sure, ids), len(ids))
+    w, b, a = fit_chain(_windows(sample, sure, ids), len(ids))
     model = Field({f: float(w[k]) for f, k in ids.items() if abs(w[k]) > 1e-4}, b, tuple(map(tuple, a.tolist())))
-    evidence = np.array([model.evidence_of(t) for _, t in sample])
+    evidence = np.array([model.evidence_of(model.marginals(words_of(t))[1]) for _, t in sample])
     y = np.array([y for y, _ in sample], float)
     # Many more documents are clean than toxic: the clean ones weigh more, so that a score of a half is not given lightly.
     weight = np.where(y == 1, 1.0, 5.0 * kinds[1] / kinds[0])
@@ -260,36 +282,31 @@ def fit(sample: list[tuple[int, bytes]]) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fitted to rows of labels.toxic outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "toxic", fold_ids(F.col("doc_id")) % FOLDS != HELD_OUT, SAMPLE, SAMPLE_CHARS))
+    return fit(labelled_sample(docs, labels, "toxic", fold_ids(F.col("doc_id")) % FOLDS != HELD_OUT, SAMPLE))
 
 
 # -- applying
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+    """doc_id, held_out, score, predicted and spans for every document.
+
+    spans are the toxic passages: array of start, end (characters of the original text, end exclusive) and probability.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(x.as_py()) for x in batch.column("body")], pa.float64())], ["doc_id", "score"])
-
-    scored = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", F.coalesce(fold_ids(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def toxic_spans(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, start, end and probability of each toxic token; offsets are characters of the original text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, *s) for k, x in enumerate(batch.column("body")) for s in sent.value.spans(x.as_py().decode("utf-8", "surrogateescape"))]
-            k, start, end, p = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(k, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "start", "end", "probability"])
-
-    return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long, probability double")
+            scores, found = zip(*(model.judge(x.as_py()) for x in batch.column("body")), strict=True) if len(batch) else ((), ())
+            flat = [s for spans in found for s in spans]
+            parts = [pa.array([s[k] for s in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["start", "end", "probability"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), spans], ["doc_id", "score", "spans"])
+
+    scored = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>")
+    return scored.select("doc_id", F.coalesce(fold_ids(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gristmill.llm import chat, components, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
+from gristmill.llm import chat, common, components, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
 from gristmill.llm.queries import URL_RULES, tokenizer_file
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(6000))
@@ -66,22 +66,62 @@ def test_simhash(docs, spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def classes_of(fps, links):
+    label = {x: x for x in fps}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return {x: find(x) for x in fps}
+
+
+@pytest.mark.parametrize(("bucket", "size"), [(simhash.BUCKET, 1), (8, 1), (8, (1 << 22) + 1), (simhash.BUCKET, (1 << 31) + 1)])
+def test_near_links_of_cut_buckets_and_all_tables(spark, monkeypatch, bucket, size):
+    """Buckets cut into parts, and the tables of larger corpora, link what every pair compared does."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    masks = simhash._tables(size)
+    assert len(masks) == (4 if size <= 1 << 22 else 10 if size <= 1 << 31 else 20)
+    monkeypatch.setattr(simhash, "_tables", lambda n: masks)
+    rng = np.random.default_rng(8)
+    fps = {int(s) ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for s in rng.integers(0, 1 << 62, 40, dtype=np.uint64) for n in range(6)}
+    fps = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    got = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= simhash.RADIUS]
+    assert classes_of(fps, [(r.a, r.b) for r in got]) == classes_of(fps, near)
+
+
 def test_one_of_each(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(3000)) for x in "abc")
-    rows = [(3, a, 0), (5, a + " end", 1), (5, b, 2), (5, b, 3), (7, b, 4), (None, a, 5), (None, c, 6), (None, c + " end", 7), (None, None, 8), (None, "", 9), (8, "alone", 10)]
+    rows = [(3, a, 0), (5, a + " end", 1), (5, b, 2), (5, b, 3), (7, b, 4), (None, a, 5), (None, c, 6), (None, c + " end", 7), (None, None, 8), (None, "", 9), (8, "alone", 10), (1, "T", 11), (2, "T", 12), (2, "U", 13)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
     fp = {n: simhash.fingerprint(simhash.shingle_hashes((t or "").encode())) for _, t, n in rows}
-    group = {n: n for n in fp}
-    for x, y in itertools.combinations(fp, 2):
-        if (int(fp[x]) ^ int(fp[y])).bit_count() <= simhash.RADIUS:
-            group = {n: group[x] if g == group[y] else g for n, g in group.items()}
-    assert group[0] == group[1] == group[5] and group[6] == group[7] and len(set(group.values())) == 5
+    near = [(x, y) for x, y in itertools.combinations(fp, 2) if (int(fp[x]) ^ int(fp[y])).bit_count() <= simhash.RADIUS]
+    group = classes_of(fp, near)
+    assert group[0] == group[1] == group[5] and group[6] == group[7] and group[11] == group[12] != group[13]
     got = simhash.one_of_each(df).collect()
     assert sorted(group[r.n] for r in got) == sorted(set(group.values()))  # one row of each component, none lost
     for r in got:
         ids = [i for i, _, n in rows if group[n] == group[r.n] and i is not None]
         assert (r.doc_id, r.text) == rows[r.n][:2] and r.doc_id == min(ids, default=None)
-    assert simhash.one_of_each(df.limit(0)).count() == 0
+    assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_joins_of_frequent_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = spark.createDataFrame([(k, 1 if k % 3 else k) for k in range(40)] + [(99, None)], "id long, key long")
+    table = rows.filter("key is not null and key <> 12").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    want = {(r.id, r.key, r.top) for r in rows.join(table, "key").select("id", "key", "top").collect()}
+    assert {(r.id, r.key, r.top) for r in common.spread_join(rows, table, "key", "n", rows.count()).collect()} == want
+    salted = common.salted_join(rows, table.select("key", "top"), "key", "left", F.col("id")).select("id", "key", "top").collect()
+    assert len(salted) == 41 and {tuple(r) for r in salted if r.top is not None} == want
+    assert {r.id for r in common.salted_join(rows, table.select("key"), "key", "left_semi", F.col("id")).collect()} == {i for i, _, _ in want}
 
 
 def test_bit_sliced_comparison_finds_every_link():
@@ -330,7 +370,7 @@ def test_toxic_field():
     sample = [(k % 2, (f"word{k} other{k % 7} thing " * 6 + ("vilething here" if k % 2 else "")).encode()) for k in range(120)]
     model = toxicity.fit(sample)
     assert model.score(b"some vilething text") > 0.5 > model.score(b"some other text") and model.score(b"") < 0.5
-    assert [("x vilething"[a:b]) for a, b, _ in model.spans("x vilething")] == ["vilething"]
+    assert [("x vilething"[a:b]) for a, b, _ in model.judge(b"x vilething")[1]] == ["vilething"]
     field = toxicity.Field({b"=p": 3.0, b"=q": 2.5}, -2.0, ((0.3, -0.2), (0.1, 0.5)))
     words = [b"aa", b"p", b"zz", b"zy", b"q", b"x"]
 
@@ -342,6 +382,62 @@ def test_toxic_field():
     assert np.allclose(p, [sum(weight(s) for s in every if s[i]) / sum(map(weight, every)) for i in at])
 
 
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Documents and labels that both classifiers can learn from, beside nulls, empty, very long and repeated rows."""
+    said = [f"Good wörds number {k} and other{k % 7} things of the day " * 8 + ("with a Vilething, vilething here $$$ ### " * 3 if k % 2 else "") for k in range(160)]
+    rows = [(k, t, "en", 9) for k, t in enumerate(said)]
+    rows += [(200, None, None, 1), (201, "", "en", 2), (202, said[1], "en", 3), (202, said[1], "en", 3), (203, "plain " * 200_000 + "Ünd vilething vilething", "en", 4), (None, said[2], "en", 5), (1 << 53 | 1, "a b", "en", 6)]
+    labels = [(k, (k + 1) % 2, k % 2) for k in range(160)] + [(5, None, None), (None, 1, 1), (7, 0, 1), (203, 0, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score long").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def fold(doc_id, n):
+    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_toxicity_on_tables(spark, marked):
+    docs, labels = marked
+    held = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    wanted = {r.doc_id: max(y for x, _, y in labels.collect() if x == r.doc_id and y is not None) for r in labels.filter("toxic is not null and doc_id is not null").collect() if fold(r.doc_id, 5) != 0}
+    model = toxicity.fit([(wanted[i], held[i]) for i in sorted(wanted)])  # fewer rows than the sample takes: all of them
+    got = toxicity.score(docs, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())
+    for r in got:
+        score, spans = model.judge(held[r.doc_id])
+        assert math.isclose(r.score, score, rel_tol=1e-9) and r.predicted == (r.score >= 0.5) and r.held_out == (fold(r.doc_id, 5) == 0)
+        assert [(s.start, s.end) for s in r.spans] == [s[:2] for s in spans]
+        text = held[r.doc_id].decode()
+        assert all("vilething" in text[s.start : s.end].lower() for s in r.spans)
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[k].predicted == k % 2 for k in range(160)) and by_id[203].predicted == by_id[202].predicted == 1
+    assert by_id[200].score == by_id[201].score < 0.5
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.score < 0.5)
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+    assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.drop_toxic(docs, labels.filter("toxic = 1")).count() == docs.count()
+
+
+def test_quality_model_on_tables(spark, marked):
+    docs, labels = marked
+    held = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    wanted = {r.doc_id: max(y for x, y, _ in labels.collect() if x == r.doc_id and y is not None) for r in labels.filter("quality is not null and doc_id is not null").collect() if fold(r.doc_id, 3) != 1}
+    kinds = Counter(wanted.values())
+    model = quality_model.fit([(wanted[i], held[i]) for i in sorted(wanted)], (kinds[0], kinds[1]))
+    got = quality_model.score(docs, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())
+    for r in got:
+        assert math.isclose(r.score, model.score(held[r.doc_id]), rel_tol=1e-9)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (fold(r.doc_id, 3) == 1)
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[k].predicted == (k + 1) % 2 for k in range(160))
+    assert quality_model.score(docs.limit(0), labels).count() == 0
+    assert {r.score for r in quality_model.score(docs, labels.limit(0)).collect()} == {0.5}
+    only = {r.score for r in quality_model.score(docs, labels.filter("quality = 1")).collect()}
+    assert len(only) == 1 and only.pop() > 0.5
+
+
 def test_factorisation_machine():
     sample = [(k % 2, ((f"good words number {k} " if k % 2 else f"$$$ ### {k} %%% ") * 10).encode()) for k in range(80)]
     model = quality_model.fit(sample, (40, 40))
