@@ -1,16 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Base statistics of the whole text fail a document outright. Beyond them, each rule compares a ratio with a cutoff that is
-chosen by test, for each stratum (language), from a ladder fixed beforehand. The hypothesis of a test is that the rule at
-that cutoff rejects more than its share of good documents; the labelled good documents of the stratum are the holdout (no
-cutoff is fitted to them), and the hypothesis falls if the exact binomial tail P(Bin(n, share) <= rejected) is at most the
-level. Levels are divided by the number of strata and rules (Bonferroni); along a ladder, cutoffs are tested from the
-most lenient on and the first that doesn't pass ends it (fixed sequence), so no further division is needed. With
-probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the rules. A stratum with too few labels
-gets no cutoff.
-
-Defined results: a null or empty text has no words and fails the base; a null stratum is a stratum of its own; repeated
-rows are judged each; labels with a null id or value are none; an empty table gives no rows.
+Base statistics of the whole text fail a document outright. Beyond them, rules compare ratios with cutoffs. Cutoffs of
+all rules together form one ladder of levels, fixed beforehand and stricter from level to level; a document's level is
+the first at which some rule rejects it. For each stratum (language), the level in force is chosen by test. The
+hypothesis at a level is that the rules together reject more than ALPHA of the stratum's good documents; the labelled
+good documents are the holdout (no cutoff is fitted to them), and the hypothesis falls if the exact binomial tail
+P(Bin(n, ALPHA) <= rejected) is at most DELTA divided by the number of strata (Bonferroni). Levels are tested from the
+most lenient on and the first that doesn't pass ends it (fixed sequence), so the levels need no further division. With
+probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the rules. With four strata, 217 good
+labels are enough; a stratum with fewer gets no level.
+
+Defined results: a null or empty text has no words and fails the base; a null stratum is a stratum of its own; a ratio
+equal to its cutoff is not rejected; repeated rows are judged each; labels with a null id or value are none, and a
+document labelled good counts as often as it stands in the table; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 #: Good documents of a stratum that all rules together may reject, as a share, and the risk of being wrong.
 ALPHA, DELTA = 0.02, 0.05
-#: Ladders of cutoffs, lenient first; a document is rejected above the cutoff.
-LADDERS: dict[str, tuple[float, ...]] = {
+#: The ladder of cutoffs, lenient first: at a level, each rule rejects a document above its cutoff.
+LEVELS: dict[str, tuple[float, ...]] = {
     "symbols": (0.50, 0.30, 0.20, 0.10, 0.05, 0.02),
     "dup_lines": (0.90, 0.70, 0.50, 0.30, 0.20, 0.10),
-    "repeats": (0.25, 0.20, 0.15, 0.10, 0.05),
-    "capitals": (0.95, 0.90, 0.70, 0.50, 0.30),
-    "word_length": (30.0, 20.0, 15.0, 12.0),
+    "repeats": (0.28, 0.25, 0.20, 0.15, 0.10, 0.05),
+    "capitals": (0.95, 0.90, 0.70, 0.50, 0.40, 0.30),
+    "word_length": (30.0, 25.0, 20.0, 17.0, 15.0, 12.0),
 }
+N_LEVELS = 6
 
 
 def _zipped(h: Column, n: Column, step: int) -> Column:
@@ -108,64 +111,58 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.exp(last) * terms
 
 
-def select_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs): a map from rule to the cutoff chosen, from the statistics of labelled good documents.
+def level() -> Column:
+    """The first level at which a rule rejects the document; N_LEVELS if none does."""
+    out = F.lit(N_LEVELS)
+    for k in reversed(range(N_LEVELS)):
+        above = F.lit(False)
+        for rule, value in ratios().items():
+            above = above | (value > LEVELS[rule][k])
+        out = F.when(above, k).otherwise(out)
+    return out
+
+
+def select_levels(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, in_force): the strictest level that passes, from (stratum, level) of labelled good documents.
 
-    Each document is reduced to how many cutoffs of each ladder it is above, and these are counted: the table of counts
-    has a row for each stratum, rule and step.
+    Strata without one are left out. Documents are counted first: what is tested has a row for each stratum and level.
     """
-    steps = F.array(*(F.struct(F.lit(r).alias("rule"), sum((F.when(v > c, 1).otherwise(0) for c in LADDERS[r]), F.lit(0)).alias("above")) for r, v in ratios().items()))
-    counts = good.select("stratum", F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.above").agg(F.count("*").alias("n"))
-    counts = materialise(counts, "counts")
+    counts = materialise(good.groupBy("stratum", "level").agg(F.count("*").alias("n")), "counts")
     strata = max(1, counts.select("stratum").distinct().count())
-    level, share = delta / (strata * len(LADDERS)), alpha / len(LADDERS)
-    by_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("above", "n")).alias("steps"))  # a ladder's length at most
-    ladder = F.create_map(*(x for r, cs in LADDERS.items() for x in (F.lit(r), F.array(*map(F.lit, cs)))))
-    tried = by_rule.select("stratum", "rule", "n", "steps", F.posexplode(ladder[F.col("rule")]).alias("step", "cutoff"))
-    # Of a ladder, a document is above cutoff number `step` if it is above so many of the lenient ones, which come first.
-    longest = F.size(ladder[F.col("rule")])
-    rejected = F.aggregate(F.filter("steps", lambda s: s["above"] >= longest - F.col("step")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    tried = tried.withColumn("k", rejected)
-    passes = F.when(F.col("k") > F.col("n") * share, F.lit(False)).otherwise(binomial_tail(F.col("n"), F.col("k"), share) <= level)
-    in_order = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    by_level = counts.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("level") <= k, F.col("n"))), F.lit(0)).alias(f"k{k}") for k in range(N_LEVELS)))
+    tried = by_level.select("stratum", "n", F.posexplode(F.array(*(f"k{k}" for k in range(N_LEVELS)))).alias("level", "k"))
+    passes = F.when(F.col("k") > F.col("n") * alpha, F.lit(False)).otherwise(binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / strata)
+    in_order = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     held = tried.withColumn("held", F.min(passes).over(in_order)).filter("held")
-    chosen = held.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "cutoff")))).alias("cutoffs"))
-
-
-def rejected_by(cutoffs: Column) -> Column:
-    out = F.lit(False)
-    for rule, value in ratios().items():
-        out = out | F.coalesce(value > cutoffs[rule], F.lit(False))
-    return out
+    return held.groupBy("stratum").agg(F.max("level").alias("in_force"))
 
 
 def _measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The statistics and stratum, beside internal columns in keep; other columns of docs may have any names."""
+    """The statistics, stratum and level, beside internal columns in keep; other columns of docs may have any names."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")
     return statistics(rows, "stratum", *keep)
 
 
-def _cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """The cutoffs as a written table, whose known size tells the planner how to join it."""
-    good = labels_once(labels, "quality").filter("y = 1").select("doc_id")
-    return materialise(select_cutoffs(measured.join(good, "doc_id", "left_semi")), "cutoffs")
+def _judged(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """measured, a written table, with base_failed and kept. Levels in force are a written table too: its known size tells the planner how to join it."""
+    good = materialise(labels_once(labels, "quality").filter("y = 1").select("doc_id"), "good")
+    levels = measured.withColumn("level", level())
+    in_force = materialise(select_levels(levels.select("doc_id", "stratum", "level").join(good, "doc_id", "left_semi")), "levels")
+    strict = F.col("level") <= F.coalesce("in_force", F.lit(-1))
+    return levels.join(in_force, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~strict)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept for every document."""
     measured = materialise(_measured(docs, "doc_id"), "statistics")
-    verdict = measured.withColumn("base_failed", base_failed()).join(_cutoffs(measured, labels), "stratum", "left")
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected_by(F.col("cutoffs"))).alias("kept"))
+    return _judged(measured, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents kept, with all their columns.
 
-    The cutoffs need the statistics of all labelled documents first; then each row is measured beside its text and
-    judged where it stands, so that no text moves and rows with equal or no ids are judged each by itself.
+    Each row is measured once and written beside its statistics; levels are chosen from the statistics alone, and each
+    row is judged where it stands, so that no text is shuffled and rows with equal or no ids are judged each by itself.
     """
-    cutoffs = _cutoffs(materialise(_measured(docs, "doc_id"), "statistics"), labels)
-    # The id keeps the filter above the measuring: pushed below, it would repeat the statistics' expressions many times over.
-    rows = _measured(docs, "__row").withColumn("__id", F.monotonically_increasing_id()).join(cutoffs, "stratum", "left")
-    return rows.filter((F.col("__id") >= 0) & ~base_failed() & ~rejected_by(F.col("cutoffs"))).select("__row.*")
+    measured = materialise(_measured(docs, "doc_id", "__row"), "statistics")
+    return _judged(measured, labels).filter("kept").select("__row.*")

@@ -65,7 +65,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: SQL of the statistics and of the cutoffs: ladders are tested with the exact binomial tail, as the sum of its terms.
+#: SQL of the statistics and of the levels: they are tested with the exact binomial tail, as the sum of its terms.
 _OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -77,16 +77,15 @@ st AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(r
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 v AS (SELECT doc_id, stratum, unnest([{'rule': 'symbols', 'v': n_symbols / nullif(word_chars, 0)}, {'rule': 'dup_lines', 'v': n_dup_lines / nullif(n_lines, 0)}, {'rule': 'repeats', 'v': n_repeat_words / nullif(n_words, 0)},
  {'rule': 'capitals', 'v': n_capitals / nullif(word_chars, 0)}, {'rule': 'word_length', 'v': word_chars / nullif(n_words, 0)}]) AS r FROM st),
-rv AS (SELECT doc_id, stratum, r.rule AS rule, coalesce(r.v, 0) AS v FROM v),
-ladder AS (SELECT rule, unnest(cs) AS cutoff FROM (VALUES LADDERS) l(rule, cs)),
+cut AS (SELECT rule, unnest(range(N_LEVELS)) AS level, unnest(cs) AS cutoff FROM (VALUES LADDER) l(rule, cs)),
+lv AS (SELECT doc_id, stratum, coalesce(min(level), N_LEVELS) AS level FROM v LEFT JOIN cut ON cut.rule = r.rule AND coalesce(r.v, 0) > cutoff GROUP BY 1, 2),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
-kn AS (SELECT stratum, l.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM rv SEMI JOIN good USING (doc_id) JOIN ladder l ON l.rule = rv.rule GROUP BY 1, 2, 3),
-tail AS (SELECT *, k <= n * SHARE AND coalesce(list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(SHARE) + (n - i) * ln(1 - SHARE)))), 0) <= DELTA / (greatest((SELECT count(DISTINCT stratum) FROM kn), 1) * RULES) AS ok FROM kn),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS held FROM tail) WHERE held GROUP BY 1, 2),
-bad AS (SELECT DISTINCT doc_id FROM rv JOIN cut USING (stratum, rule) WHERE v > cutoff)
+kn AS (SELECT stratum, l AS level, count(*) AS n, count(*) FILTER (lv.level <= l) AS k FROM lv SEMI JOIN good USING (doc_id), range(N_LEVELS) r(l) GROUP BY 1, 2),
+tail AS (SELECT *, k <= n * SHARE AND coalesce(list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(SHARE) + (n - i) * ln(1 - SHARE)))), 0) <= DELTA / greatest((SELECT count(DISTINCT stratum) FROM kn), 1) AS ok FROM kn),
+frc AS (SELECT stratum, max(level) AS in_force FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY level) AS held FROM tail) WHERE held GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
- NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM st
-""".replace("LADDERS", ", ".join(f"('{r}', {list(cs)})" for r, cs in quality_rules.LADDERS.items())).replace("SHARE", f"CAST({quality_rules.ALPHA / len(quality_rules.LADDERS)!r} AS DOUBLE)").replace("DELTA", repr(quality_rules.DELTA)).replace("RULES", str(len(quality_rules.LADDERS)))
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lv.level > coalesce(in_force, -1) AS kept FROM st JOIN lv USING (doc_id) LEFT JOIN frc ON frc.stratum = st.stratum
+""".replace("LADDER", ", ".join(f"('{r}', {list(cs)})" for r, cs in quality_rules.LEVELS.items())).replace("N_LEVELS", str(quality_rules.N_LEVELS)).replace("SHARE", f"CAST({quality_rules.ALPHA!r} AS DOUBLE)").replace("DELTA", repr(quality_rules.DELTA))
 
 _WORD_LISTS = ", ".join(f"({k}, '{label}', {sorted(set(text.split(' ')))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
 _PLACES = ", ".join("list_filter(range(1, len(ws) + 1), lambda i: " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split(" "))) + ")" for phrase, _ in licenses.PHRASES)

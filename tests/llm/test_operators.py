@@ -172,6 +172,46 @@ def test_binomial_tail(spark):
         assert math.isclose(r.p, sum(math.comb(r.n, i) * 0.02**i * 0.98 ** (r.n - i) for i in range(r.k + 1)), rel_tol=1e-9)
 
 
+def tested_level(rows, alpha, delta):
+    """{stratum: level in force} in plain Python, from (stratum, level) of good documents."""
+    strata, out = {s for s, _ in rows}, {}
+    for s in strata:
+        levels = [x for t, x in rows if t == s]
+        for k in range(quality_rules.N_LEVELS):
+            n, bad = len(levels), sum(x <= k for x in levels)
+            tail = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(bad + 1))
+            if bad > n * alpha or tail > delta / len(strata):
+                break
+            out[s] = k
+    return out
+
+
+def test_levels_in_force(spark):
+    rows = [("en", 6)] * 900 + [("en", 5)] * 3 + [("en", 2)] * 2 + [("en", 1)] * 4 + [("de", 6)] * 216 + [("fr", 6)] * 217 + [("es", 6)] * 500 + [("es", 3)] * 40
+    got = {r.stratum: r.in_force for r in quality_rules.select_levels(spark.createDataFrame(rows, "stratum string, level int")).collect()}
+    assert got == tested_level(rows, quality_rules.ALPHA, quality_rules.DELTA) == {"en": 4, "fr": 5, "es": 2}
+    assert quality_rules.select_levels(spark.createDataFrame([], "stratum string, level int")).count() == 0
+
+
+def test_quality_rules_with_levels_in_force(spark):
+    """Cutoffs that pass reject what is above them, and what stands exactly on one stays."""
+    clean = [(k, " ".join(f"word{k}x{i}" for i in range(30)), "en") for k in range(260)]
+    probes = {}
+    for n_symbols in (1, 2, 3):  # of 100 characters in words: 0.01, 0.02 (a cutoff) and 0.03
+        words = [f"{chr(97 + i)}bcd" for i in range(25)]
+        words[0] = "#" * n_symbols + "abcd"[n_symbols:]
+        probes[300 + n_symbols] = " ".join(words)
+    df = spark.createDataFrame([*clean, *((i, t, "en") for i, t in probes.items()), (400, probes[303], "de"), (401, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(260)] + [(303, 0), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.judge(df, labels).collect()}
+    assert all(got[k].kept for k in range(260))
+    assert [got[300 + k].n_symbols for k in (1, 2, 3)] == [1, 2, 3] and got[301].word_chars == 100
+    assert [got[300 + k].kept for k in (1, 2, 3)] == [True, True, False] and got[400].kept and got[401].base_failed and not got[401].kept
+    assert sorted(r.doc_id for r in quality_rules.keep_good(df, labels).collect()) == sorted(i for i, r in got.items() if r.kept)
+    assert quality_rules.keep_good(df.limit(0), labels).count() == 0 == quality_rules.judge(df.limit(0), labels).count()
+    assert all(r.kept != r.base_failed for r in quality_rules.judge(df, labels.limit(0)).collect())  # no labels, no level
+
+
 def test_decontamination(docs, spark):
     bench = spark.createDataFrame([(1, "QUICK, brown fox"), (2, None), (3, " ".join(f"w{i % 977}x{i}" for i in range(100, 120))), (1, "QUICK, brown fox"), (None, "lazy dog")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
