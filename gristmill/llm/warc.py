@@ -2,10 +2,12 @@
 
 Reading plans partitions of whole files up to `split_bytes`. Predicates on header columns (record type, URI, digest, ids)
 are pushed into the reader and tested on the headers of a record before anything of its payload is decompressed; a payload
-is decoded only if the schema asks for it or `verify` is set. Archives are compressed by record, and each gzip member
-says in its extra field 'sl' how long it is (the skip lengths of the format's annex), so an unwanted payload is stepped
-over; archives without that field, and uncompressed ones, are read too. Archives are opened through pyarrow's file
-systems, so they may stand in any store that it knows.
+is decoded only if the schema asks for it or `verify` is set, and its length is told from the headers. Archives are
+compressed by record, and each gzip member says in its extra field 'sl' how long it is (the skip lengths of the format's
+annex), so an unwanted payload is stepped over. Members without that field may hold any number of records, and
+uncompressed archives are read too. Archives are opened through pyarrow's file systems, so they may stand in any store
+that it knows; s3a:// and s3n:// name the same store as s3://. A URL that is no plain printable ASCII is written quoted,
+under a header that says so, and read back as it was.
 
 Writing gives files of at most about `file_bytes` for each task and a manifest once all tasks have succeeded; reading
 follows the manifests, so files of failed or repeated attempts count for nothing.
@@ -21,12 +23,13 @@ import hashlib
 import io
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -46,6 +49,8 @@ _IDS, _NUMBERS = {"page_id", "refers_to"}, {"content_length"}
 # Fixed values of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
+_QUOTED = "X-Target-URI-Quoted"
+_PLAIN_URL = re.compile(r"[!-~]+")
 
 
 def _id_uri(x: int) -> str:
@@ -73,8 +78,10 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, n: int,
     if page_id is not None:
         head.append(f"WARC-Record-ID: {_id_uri(page_id)}")
     head.append(f"WARC-Date: {_DATE}")
-    if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~", errors="replace"))
+    if url is not None and _PLAIN_URL.fullmatch(url):
+        head.append(f"WARC-Target-URI: {url}")
+    elif url is not None:
+        head += ["WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~", errors="replace"), f"{_QUOTED}: utf-8"]
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {_id_uri(refers_to)}", f"WARC-Profile: {_PROFILE}"]
@@ -97,6 +104,8 @@ def value_of(column: str, headers: dict[str, str]):
         return int(v) if v.lstrip("-").isdigit() else None
     if column in _NUMBERS:
         return int(v)
+    if column == "url" and _QUOTED in headers:
+        return unquote(v)
     return v.removeprefix("sha1:") if column == "payload_digest" else v
 
 
@@ -113,65 +122,126 @@ def _holds(f: Filter, headers: dict[str, str]) -> bool:
     return {StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: str.__contains__}[type(f)](v, f.value)
 
 
-def _compressed_records(f: io.BufferedReader, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the records of a file compressed by record; block only where wanted(headers) says 'block'."""
-    while True:
-        start = f.tell()
-        head = f.read(10)
-        if len(head) < 10:
-            return
-        extra = f.read(struct.unpack("<H", f.read(2))[0]) if head[3] & 4 else b""
-        if head[3] & ~4:
-            raise ValueError("gzip members with names or comments are not read")
+def _member_size(f: io.BufferedReader) -> int | None:
+    """Reads the header of a gzip member: its whole size if it has skip lengths, else 0; None at the end of the file."""
+    head = f.read(10)
+    if len(head) < 10:
+        return None
+    if head[:2] != b"\x1f\x8b":
+        raise ValueError("an archive has something else between its gzip members")
+    flags, size = head[3], 0
+    if flags & 4:
+        extra = f.read(struct.unpack("<H", f.read(2))[0])
         size = struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" else 0
-        opened, data = zlib.decompressobj(-15), b""
-        while b"\r\n\r\n" not in data and not opened.eof:
-            chunk = opened.unconsumed_tail or f.read(4096)
+    for flag in (8, 16):  # a name, a comment
+        while flags & flag and f.read(1) not in (b"\0", b""):
+            pass
+    if flags & 2:
+        f.read(2)
+    return size
+
+
+class _Inflated(io.RawIOBase):
+    """What a gzip member holds, from behind its header; once read, f stands behind the member."""
+
+    def __init__(self, f: io.BufferedReader):
+        self.f, self.opened, self.rest = f, zlib.decompressobj(-15), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest and not self.opened.eof:
+            chunk = self.opened.unconsumed_tail or self.f.read(4096)
             if not chunk:
                 raise ValueError("an archive ends within a record")
-            data += opened.decompress(chunk, 4096)
-        first, _, rest = data.partition(b"\r\n\r\n")
-        headers = parse_headers(first)
-        how = wanted(headers)
-        if how == "block" or not size:
-            parts, n = [rest], int(headers["Content-Length"])
-            while not opened.eof:
-                chunk = opened.unconsumed_tail or f.read(1 << 16)
-                if not chunk:
-                    raise ValueError("an archive ends within a record")
-                parts.append(opened.decompress(chunk))
-            end = f.tell() - len(opened.unused_data) + 8
-            f.seek(start + size if size else end)
-            if how:
-                yield headers, b"".join(parts)[:n] if how == "block" else None
-        else:
-            f.seek(start + size)
-            if how:
-                yield headers, None
+            self.rest = self.opened.decompress(chunk, 1 << 16)
+            if self.opened.eof:
+                self.f.seek(8 - len(self.opened.unused_data), io.SEEK_CUR)
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _passed_over(f: io.BufferedReader, n: int) -> None:
+    while n > 0:
+        part = len(f.read(min(n, 1 << 16)))
+        if not part:
+            raise ValueError("an archive ends within a record")
+        n -= part
+
+
+def _next_headers(f: io.BufferedReader) -> dict[str, str] | None:
+    """The headers of the next record, empty lines before them passed over; None at the end."""
+    lines = []
+    while (line := f.readline()) not in (b"\r\n", b"") or not lines and line:
+        if line != b"\r\n":
+            lines.append(line)
+    if lines and not line:
+        raise ValueError("an archive ends within a record")
+    return parse_headers(b"".join(lines)) if lines else None
+
 
+def _block(f: io.BufferedReader, headers: dict[str, str], how: str) -> tuple[bytes | None, int]:
+    """What of a record's block is wanted, and how much was read: nothing, the HTTP headers ('http') or all ('block')."""
+    n = int(headers.get("Content-Length", 0))
+    if how == "block":
+        data = f.read(n)
+        if len(data) < n:
+            raise ValueError("an archive ends within a record")
+        return data, n
+    if how == "http":
+        data = b""
+        while len(data) < n and not data.endswith(b"\r\n\r\n") and (line := f.readline(n - len(data))):
+            data += line
+        return data, len(data)
+    return None, 0
 
-def _plain_records(f: io.BufferedReader, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+
+Found = tuple[dict[str, str], bytes | None]
+
+
+def _compressed_records(f: io.BufferedReader, wanted) -> Iterator[Found]:
     while True:
-        lines = []
-        while (line := f.readline()) not in (b"\r\n", b""):
-            lines.append(line)
-        if not lines:
-            if not line:
-                return
-            continue
-        headers = parse_headers(b"".join(lines))
-        how, n = wanted(headers), int(headers.get("Content-Length", 0))
-        if how == "block":
-            yield headers, f.read(n)
-        else:
-            f.seek(n, io.SEEK_CUR)
+        start = f.tell()
+        size = _member_size(f)
+        if size is None:
+            return
+        inside = io.BufferedReader(_Inflated(f), 4096 if size else 1 << 16)
+        while (headers := _next_headers(inside)) is not None:
+            how = wanted(headers)
+            block, read = _block(inside, headers, how)
             if how:
-                yield headers, None
+                yield headers, block
+            if size:  # a member with skip lengths is one record: the rest of it is stepped over
+                break
+            _passed_over(inside, int(headers.get("Content-Length", 0)) - read)
+        if size:
+            f.seek(start + size)
 
 
-def records(path: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """The records of an archive. wanted(headers): '' to pass over, 'headers' or 'block'."""
-    store, at = fs.FileSystem.from_uri(path)
+def _plain_records(f: io.BufferedReader, wanted) -> Iterator[Found]:
+    while (headers := _next_headers(f)) is not None:
+        how = wanted(headers)
+        block, read = _block(f, headers, how)
+        f.seek(int(headers.get("Content-Length", 0)) - read, io.SEEK_CUR)
+        if how:
+            yield headers, block
+
+
+def uri_of(path: str) -> str:
+    """path under the scheme that pyarrow knows its store by; Hadoop's connectors have others."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(uri_of(path))
+
+
+def records(path: str, wanted) -> Iterator[Found]:
+    """The records of an archive. wanted(headers): '' to pass over, else how much of the block: 'headers', 'http' or 'block'."""
+    store, at = store_of(path)
     with io.BufferedReader(store.open_input_file(at), 1 << 18) as f:
         packed = f.peek(2)[:2] == b"\x1f\x8b"
         yield from (_compressed_records if packed else _plain_records)(f, wanted)
@@ -179,7 +249,8 @@ def records(path: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
 
 def _listed(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the archives in a folder that manifests name, or of all if there is none; or of one file."""
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = store_of(path)
+    path = uri_of(path)
     prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
@@ -231,8 +302,9 @@ class WarcReader(DataSourceReader):
     def _wanted(self, headers: dict[str, str]) -> str:
         if not all(_holds(f, headers) for f in self.filters):
             return ""
-        revisit = headers.get("WARC-Type") == "revisit"
-        return "block" if {"payload", "payload_bytes"} & {*self.columns} or self.verify and not revisit else "headers"
+        if "payload" in self.columns or self.verify and headers.get("WARC-Type") != "revisit":
+            return "block"
+        return "http" if "payload_bytes" in self.columns else "headers"
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -250,10 +322,11 @@ class WarcReader(DataSourceReader):
         if "headers" in self.columns:
             row["headers"] = list(headers.items())
         if block is not None:
-            http, _, payload = block.partition(b"\r\n\r\n")
+            http, end, payload = block.partition(b"\r\n\r\n")
             revisit = headers.get("WARC-Type") == "revisit"
-            if "payload_bytes" in self.columns:
-                row["payload_bytes"] = int(parse_headers(http).get("Content-Length", len(payload))) if revisit else len(payload)
+            held = int(headers.get("Content-Length", 0)) - len(http) - len(end)
+            if "payload_bytes" in self.columns:  # a revisit has none of its own: its HTTP headers say how long it was
+                row["payload_bytes"] = int(parse_headers(http).get("Content-Length", held)) if revisit else held
             if self.verify and not revisit and digest_of(payload) != value_of("payload_digest", headers):
                 raise ValueError(f"the payload of {headers.get('WARC-Record-ID')} isn't what its digest says")
             if "payload" in self.columns:
@@ -271,7 +344,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.limit = options["path"], int(options.get("file_bytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, at = fs.FileSystem.from_uri(self.path)
+        store, at = store_of(self.path)
         store.create_dir(at, recursive=True)
         names, out, size = [], None, 0
         try:
@@ -293,13 +366,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, at = fs.FileSystem.from_uri(self.path)
+        store, at = store_of(self.path)
         store.create_dir(at, recursive=True)
         with store.open_output_stream(posixpath.join(at, f"_manifest-{uuid.uuid4().hex}.json")) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.names)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, at = fs.FileSystem.from_uri(self.path)
+        store, at = store_of(self.path)
         for name in (x for m in messages if m for x in m.names):
             store.delete_file(posixpath.join(at, name))
 
@@ -317,7 +390,7 @@ class WarcSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         if overwrite:
-            store, at = fs.FileSystem.from_uri(self.options["path"])
+            store, at = store_of(self.options["path"])
             if store.get_file_info(at).type == fs.FileType.Directory:
                 store.delete_dir_contents(at)
         return WarcWriter(self.options)
@@ -361,8 +434,13 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read back from archives."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read back from archives.
+
+    Revisits are read by their headers alone, and the payloads of other records are stepped over; the payloads of responses
+    are decoded and held against their digests, and revisits stepped over.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     archive(pages, path, min_bytes)
-    return read(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", verify="true")
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return read(spark, path, columns).filter("record_type = 'revisit'").unionByName(read(spark, path, columns, verify="true").filter("record_type = 'response'"))

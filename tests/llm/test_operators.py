@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty texts, repeats and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -11,6 +12,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import types
+from pyspark.sql.datasource import EqualTo
 
 from gristmill.llm import chat, common, components, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
 from gristmill.llm.queries import URL_RULES, tokenizer_file
@@ -406,6 +409,78 @@ def test_warc(spark, tmp_path):
     assert {r.page_id: bytes(r.payload) for r in back.collect()} == {i: (h or "").encode() for i, _, h in rows if i not in (3, 4)}
 
 
+def test_warc_reads_any_member_layout(tmp_path):
+    """Records of one gzip member, of a member for each, of named members, of skip lengths and of no compression are all read."""
+    bodies = [b"", b"<p>x</p>", b"y" * 200_000, "é\r\n\r\nz".encode(), b"end"]
+    urls = ["http://a/", "http://a/ b%20c", "http://é/\n", None, "http://a/%C3%A9?x=1"]
+    raw = [warc.record("revisit" if k == 4 else "response", k, urls[k], warc.digest_of(b), len(b), None if k == 4 else b, 0 if k == 4 else None) for k, b in enumerate(bodies)]
+
+    def named(data):
+        packed = gzip.compress(data)
+        return packed[:3] + bytes([8 | 16 | 2]) + packed[4:10] + b"name\0a comment\0xx" + packed[10:]
+
+    layouts = {
+        "one": gzip.compress(b"".join(raw)),
+        "each": b"".join(map(gzip.compress, raw)),
+        "named": b"".join(map(named, raw)),
+        "skips": b"".join(map(warc.gzip_member, raw)),
+        "mixed": gzip.compress(raw[0] + raw[1]) + warc.gzip_member(raw[2]) + named(raw[3] + raw[4]),
+        "plain": b"".join(raw),
+    }
+    for name, data in layouts.items():
+        at = tmp_path / f"{name}.warc.gz"
+        at.write_bytes(data)
+        for how in ("block", "http", "headers"):
+            got = list(warc.records(str(at), lambda h, how=how: how))
+            assert [warc.value_of("page_id", h) for h, _ in got] == [0, 1, 2, 3, 4], (name, how)
+            assert [warc.value_of("url", h) for h, _ in got] == urls
+            if how == "block":
+                assert [b.partition(b"\r\n\r\n")[2] for _, b in got] == [*bodies[:4], b""]
+        assert [warc.value_of("page_id", h) for h, _ in warc.records(str(at), lambda h: "block" if h["WARC-Type"] == "revisit" else "")] == [4]
+    (tmp_path / "cut.warc.gz").write_bytes(layouts["one"][:-300])
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(str(tmp_path / "cut.warc.gz"), lambda h: "block"))
+
+
+def test_warc_skips_what_is_not_wanted(tmp_path, monkeypatch):
+    """With a pushed record type, nothing but the beginning of other records is decompressed."""
+    import random
+
+    noise = random.Random(1)
+    raw = [warc.record("response", k, None, "", 400_000, noise.randbytes(400_000), None) for k in range(10)] + [warc.record("revisit", 10, None, "", 400_000, None, 0)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.gzip_member, raw)))
+    inflated = []
+
+    class Counted(warc._Inflated):
+        def readinto(self, into):
+            n = super().readinto(into)
+            inflated.append(n)
+            return n
+
+    monkeypatch.setattr(warc, "_Inflated", Counted)
+    reader = warc.WarcReader(types.StructType.fromDDL("page_id long, payload_bytes long, record_type string"), {"path": str(tmp_path / "a.warc.gz")})
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), EqualTo(("payload_bytes",), 1)])) == [EqualTo(("payload_bytes",), 1)]
+    (part,) = reader.partitions()
+    rows = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert rows == [{"page_id": 10, "payload_bytes": 400_000, "record_type": "revisit"}] and sum(inflated) < 11 * 8192
+    inflated.clear()
+    lengths = warc.WarcReader(types.StructType.fromDDL("payload_bytes long"), {"path": str(tmp_path / "a.warc.gz")})
+    assert [r["payload_bytes"] for b in lengths.read(part) for r in b.to_pylist()] == [400_000] * 11 and sum(inflated) < 11 * 8192
+
+
+def test_warc_stores_and_urls(spark, tmp_path):
+    assert [warc.uri_of(x) for x in ("s3a://b/k", "s3n://b/k", "s3://b/k", "file:/s3a://x")] == ["s3://b/k"] * 3 + ["file:/s3a://x"]
+    urls = ["http://a/ b", "http://a/%20", "http://é/", "x", "", None]
+    pages = spark.createDataFrame([(k, u, "h", 1) for k, u in enumerate(urls)], "page_id long, url string, html string, payload int")
+    warc.archive(pages, str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w"), "page_id long, url string")
+    assert {r.page_id: r.url for r in back.collect()} == dict(enumerate(urls))
+    assert [r.page_id for r in back.filter("url = 'http://a/ b'").collect()] == [0]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+    twice = warc.round_trip(pages.unionByName(pages.filter("page_id = 3"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in twice) == [(0, "response", None), *((k, "revisit", 0) for k in (1, 2, 3, 3, 4, 5))]
+
+
 def test_toxic_field():
     sample = [(k % 2, (f"word{k} other{k % 7} thing " * 6 + ("vilething here" if k % 2 else "")).encode()) for k in range(120)]
     model = toxicity.fit(sample)
