@@ -104,17 +104,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
 """
 
 _OP8 = rf"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t AS (SELECT *, greatest(1, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) + {chat.OVERHEAD} AS tokens, row_number() OVER o AS nth,
+t AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z]{{1,3}}|[0-9]|[!-/:-@\[-`{{-~]')) + strlen(text) - length(regexp_replace(text, '[^\x00-\x7F]+', '', 'g')) + {chat.OVERHEAD} AS tokens, row_number() OVER o AS nth,
  length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + {len(chat.TEXT) + len(chat.END)} AS chars FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-s AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens) AS before FROM t),
-x AS (SELECT *, before // {max(1, (chat.BUDGET - chat.HISTORY) // 2)} AS win, nth = 1 AND role = 'system' AS sys FROM s),
-fw AS (SELECT conv_id, win, min(before) AS start FROM x GROUP BY 1, 2),
-nx AS (SELECT conv_id, win, lead(start) OVER (PARTITION BY conv_id ORDER BY win) AS start FROM fw),
-again AS (SELECT x.conv_id, sum(x.chars + {len(chat.AGAIN)}) AS n FROM x JOIN nx ON x.conv_id IS NOT DISTINCT FROM nx.conv_id AND x.win = nx.win WHERE nx.start - x.before <= {chat.HISTORY} AND NOT x.sys GROUP BY 1),
-head AS (SELECT x.conv_id, sum(x.chars + {len(chat.AGAIN)}) AS n FROM x JOIN fw ON x.conv_id IS NOT DISTINCT FROM fw.conv_id AND fw.win > 0 WHERE x.sys GROUP BY 1),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth) AS said, coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '') AS loss, sum(chars + {len(chat.TURN)}) AS n FROM x GROUP BY 1)
+x AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens AS BIGINT) AS before, nth = 1 AND role = 'system' AND tokens <= {chat.BUDGET // 4} AS sys FROM t),
+h AS (SELECT conv_id, tokens, chars FROM x WHERE sys),
+own AS (SELECT x.conv_id, x.before, x.tokens, x.chars, x.before // {chat.CHUNK * chat.BUDGET} AS chunk, {chat.BUDGET - chat.HISTORY} - coalesce(h.tokens, 0) AS room FROM x LEFT JOIN h ON x.conv_id IS NOT DISTINCT FROM h.conv_id WHERE NOT x.sys),
+w AS (SELECT conv_id, chunk, min(before) AS start FROM own GROUP BY 1, 2
+ UNION ALL SELECT conv_id, chunk, (SELECT min(o.before) FROM own o WHERE o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.chunk = w.chunk AND o.before > w.start AND o.before + o.tokens - w.start > o.room) AS start FROM w WHERE start IS NOT NULL),
+win AS (SELECT w.conv_id, w.start FROM w JOIN own ON own.conv_id IS NOT DISTINCT FROM w.conv_id AND own.before = w.start AND own.tokens <= own.room),
+again AS (SELECT win.conv_id, sum(own.chars + {len(chat.AGAIN)}) AS n FROM win JOIN own ON own.conv_id IS NOT DISTINCT FROM win.conv_id AND own.before < win.start AND own.before >= win.start - {chat.HISTORY} GROUP BY 1),
+head AS (SELECT h.conv_id, max(chars) * greatest(1, count(w.start)) + {len(chat.TURN)} + {len(chat.AGAIN)} * (greatest(1, count(w.start)) - 1) AS n FROM h LEFT JOIN w ON h.conv_id IS NOT DISTINCT FROM w.conv_id GROUP BY 1),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth) AS said, coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '') AS loss, coalesce(sum(chars + {len(chat.TURN)}) FILTER (NOT sys), 0) AS n FROM x GROUP BY 1)
 SELECT g.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(g.n + coalesce(again.n, 0) + coalesce(head.n, 0) AS BIGINT) AS formatted_chars
 FROM g LEFT JOIN again ON g.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN head ON g.conv_id IS NOT DISTINCT FROM head.conv_id
 """
@@ -170,8 +172,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chat_formatting", _OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
     return chat.digests(chat.format_windows(turns.unionByName(extra)))
 
 

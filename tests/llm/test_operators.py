@@ -336,17 +336,62 @@ def test_licenses_over_line_ends(spark):
     assert [got[i].labels for i in range(7)] == ["mit", "mit", "bsd", "isc", "mpl", "", "unlicense"]
 
 
-def test_chat(spark):
-    said = "</s>[INST] ok [/INST]"
-    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "system", "be &amp; <b>"), (None, 0, "user", None)]
-    rows += [(1, k, "assistant" if k % 2 == 0 else "user", f"turn {k} " + "word " * 300) for k in range(1, 12)]
-    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert windows.filter("conv_id = 1").count() > 1
-    for r in chat.digests(windows).collect():
-        turns = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: x[1])
-        loss = "".join(x[3] for x in turns if x[2] == "assistant")
+def counted(text):
+    return len(re.findall(r"[A-Za-z]{1,3}|[0-9]|[!-/:-@\[-`{-~]", text)) + sum(len(c.encode()) for c in text if c > "\x7f") + chat.OVERHEAD
+
+
+def windows_of(turns, budget, history):
+    """(role, text, again) of each window of a conversation's turns, in plain Python."""
+    sizes = [counted(x) for _, x in turns]
+    has = bool(turns) and turns[0][0] == "system" and sizes[0] <= budget // 4
+    room, at, out, chunk, start = budget - history - (sizes[0] if has else 0), sizes[0] if has else 0, [], None, 0
+    places = []
+    for k in range(int(has), len(turns)):
+        if not out or at // (chat.CHUNK * budget) != chunk or at + sizes[k] - start > room:
+            back = [turns[j] for j, p in places if p >= at - history] if sizes[k] <= room else []
+            out.append([(r, x, True) for r, x in back])
+            chunk, start = at // (chat.CHUNK * budget), at
+        out[-1].append((*turns[k], False))
+        places.append((k, at))
+        at += sizes[k]
+    return [([(*turns[0], i > 0)] if has else []) + w for i, w in enumerate(out or [[]])]
+
+
+@pytest.mark.parametrize(("budget", "history"), [(chat.BUDGET, chat.HISTORY), (120, 40), (64, 0)])
+def test_chat(spark, budget, history):
+    rng, said = np.random.default_rng(4), "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "system", "be &amp; <b>"), (None, 0, "user", None), (2, 0, "system", "only"), (3, 0, "system", "long " * 700), (3, 1, "user", "x")]
+    rows += [(1, k, "assistant" if k % 2 == 0 else "user", f"turn {k} " + "word " * int(rng.integers(0, 330))) for k in range(1, 60)]
+    rows += [(4, k, "assistant", "日本é " * int(rng.integers(0, 9))) for k in range(300)] + [(4, 100, "user", "y" * 70_000), (5, None, None, "a"), (5, 1, "user", "b"), (5, 1, "user", "b"), (6, 0, "assistant", "&lt;<|turn|>&amp;")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, window string").repartition(5)
+    made = chat.format_windows(df, budget, history)
+    by_conv = {}
+    for r in sorted(made.collect(), key=lambda r: r.window):
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for conv, got in by_conv.items():
+        turns = [(r or "", x or "") for _, r, x in sorted(((-1 if k is None else k, r or "", x or "") for c, k, r, x in rows if c == conv))]
+        want = windows_of(turns, budget, history)
+        assert len(got) == len(want)
+        for r, w in zip(got, want, strict=True):
+            text, spans = "", []
+            for role, x, again in w:
+                role, x = (v.replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;") for v in (role, x))
+                text += (chat.AGAIN if again else chat.TURN) + role + chat.TEXT
+                if role == "assistant" and not again:
+                    spans.append((len(text), len(x)))
+                text += x + chat.END
+            assert r.text == text and [tuple(s) for s in r.loss] == spans and r.tokens == sum(counted(x) for _, x, _ in w)
+            new = sum(not again for _, _, again in w)
+            new -= new > 1 and w[0][0] == "system"
+            assert r.tokens <= budget or new == 1 and not any(again and i for i, (_, _, again) in enumerate(w))  # only a turn that is too long by itself
+    assert {c for c, *_ in rows} == set(by_conv)
+    for r in chat.digests(made).collect():
+        turns = [x for x in sorted(((-1 if k is None else k, r2 or "", x or "") for c, k, r2, x in rows if c == r.conv_id))]
+        loss = "".join(x for _, role, x in turns if role == "assistant")
         assert r.n_turns == len(turns) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3] or ''}\n" for x in turns).encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(w.text) for w in by_conv[r.conv_id])
+    assert chat.digests(chat.format_windows(df.limit(0), budget, history)).count() == 0
 
 
 def test_url_filters(spark):
