@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
 A rule names a host and a path; it fits that host and its subdomains where the URL's path starts with the rule's, and the
-longest rule wins (allow before block among equals). Pages that canonical links, meta refreshes or given redirects
+longest rule wins (of equally long ones allow before block, then the least by name). Pages that canonical links, meta refreshes or given redirects
 join are aliases of each other: they are components of the graph of those links. A page that no rule fits is blocked if
 a rule blocks one of its aliases and none explicitly allows one of them.
 
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialise
+from gristmill.llm.common import materialise, salted_join
 from gristmill.llm.components import components
 
-#: Rules that are tried in an expression beside the row; more rules are joined on hosts instead.
+#: Rules that are tried in an expression beside the row; more rules are joined on hosts instead, and choose the same rule.
 MAX_INLINE = 200
 #: A tag ends at the first '>' outside a quoted value; group 1 of an attribute is its name, group 2 the value as it stands.
 _TAG = r"""(?i)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
@@ -80,12 +80,14 @@ def with_rule(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if len(rules) <= MAX_INLINE:
         return rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     table = rows.sparkSession.createDataFrame([(r.host, r.path, r.name, r.verdict) for r in rules], "r_host string, r_path string, rule string, verdict string")
-    urls = rows.select("host", "path").distinct()
+    urls = rows.filter("host <> ''").select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     fits = urls.select("host", "path", F.explode(suffixes).alias("r_host")).join(table, "r_host").filter(F.startswith("path", "r_path"))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "allow").alias("a"), "rule", "verdict")).alias("best"))
-    return rows.join(best.select("host", "path", F.struct("best.rule", "best.verdict").alias("fit")), ["host", "path"], "left")
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), (F.col("verdict") != "allow").alias("a"), "rule", "verdict")).alias("best"))
+    fit = best.select(F.concat("host", F.lit("\n"), "path").alias("__url"), F.struct("best.rule", "best.verdict").alias("fit"))  # a host ends before any line end
+    keyed = rows.withColumn("__url", F.when(F.col("host") != "", F.concat("host", F.lit("\n"), "path")))
+    return salted_join(keyed, fit, "__url", "left", F.struct(*rows.columns)).drop("__url")
 
 
 def unquoted(value: Column) -> Column:
@@ -148,7 +150,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     classes = components(materialise(links, "ends"))
     judged = with_rule(with_parts(classes.select("root", F.concat(F.lit("://"), "node").alias("url")), "url"), rules)
     blocked = judged.groupBy("root").agg(F.max(F.expr("fit.verdict = 'block'")).alias("block"), F.max(F.expr("fit.verdict = 'allow'")).alias("allow")).filter("block and not coalesce(allow, false)")
-    aliases = classes.join(blocked.select("root"), "root", "left_semi").select("node", F.lit("block").alias("by_alias"))
+    aliases = salted_join(classes, blocked.select("root"), "root", "left_semi", F.col("node")).select("node", F.lit("block").alias("by_alias"))
     rows = with_rule(with_parts(pages.select("page_id", "url"), "url").select("page_id", "host", "path", "node"), rules)
-    out = rows.join(aliases, "node", "left")
+    out = salted_join(rows, aliases, "node", "left", F.col("page_id"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "by_alias", F.lit("allow")).alias("verdict"))

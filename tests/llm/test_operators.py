@@ -440,6 +440,62 @@ def test_url_filters_takes_every_link_of_a_page(spark):
     assert blocked == {5, 9}  # joined through the first refresh of 5, blocked through the others
 
 
+def test_rules_in_an_expression_and_in_a_join_choose_alike(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    hosts, paths = ["com", "a.com", "b.a.com", "xa.com", "net", "a.net", ""], ["", "/", "/x", "/xy", "/xy/z", "/y"]
+    urls = [f"http://{'S.' if k % 5 == 0 else ''}{h}{p}?q" for k, (h, p) in enumerate(itertools.product(hosts, paths))] + ["http://a.com/xy", None, "no url", "http://h\nx/ y"]
+    rules = [url_filters.Rule(["allow", "block"][int(rng.integers(2))], hosts[int(rng.integers(6))], paths[int(rng.integers(1, 6))]) for _ in range(40)]
+    rules += [url_filters.Rule("block", "a.com", "/"), url_filters.Rule("block", "com", "/xy"), url_filters.Rule("allow", "com", "/xy")]
+    rows = url_filters.with_parts(spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *urls[:9]])], "k long, url string"), "url")
+
+    def best(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return min(((-len(r.name), r.verdict != "allow", r.name, r.verdict) for r in fits), default=(None,) * 4)[2:]
+
+    inline = url_filters.with_rule(rows, rules).collect()
+    monkeypatch.setattr(url_filters, "MAX_INLINE", 0)
+    joined = url_filters.with_rule(rows, rules).collect()
+    for got in (inline, joined):
+        assert {r.k: tuple(r.fit) if r.fit else (None, None) for r in got} == {r.k: best(r.host, r.path) for r in rows.collect()} and len(got) == len(urls) + 9
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_url_filters_over_a_graph_with_hubs(spark, monkeypatch, hot):
+    """A generated graph with hubs, chains, repeated and null pages, against a search in plain Python."""
+    monkeypatch.setattr(common, "HOT_SHARE", hot)
+    rng = np.random.default_rng(9)
+    urls = [f"http://h{k % 37}.{('com', 'net', 'org', 'example.net', 'test')[k % 5]}/{('en', 'de', 'es')[k % 3]}/{k}" for k in range(400)]
+    hubs = [(0, k) for k in range(1, 120)] + [(k, 150) for k in range(151, 200)]
+    chain = [(k, k + 1) for k in range(210, 260)]
+    links = hubs + chain + [tuple(map(int, x)) for x in rng.integers(260, 400, (60, 2))]
+    html = {k: "" for k in range(400)}
+    given = []
+    for n, (a, b) in enumerate(links):
+        if n % 3 == 0:
+            given.append((urls[a], urls[b]))
+        else:
+            html[a] += f"<link rel=canonical href='{urls[b]}'>" if n % 3 == 1 else f"<meta http-equiv=refresh content='0; url={urls[b]}'>"
+    rows = [(k, urls[k], html[k]) for k in range(400)] + [(k, urls[5], None) for k in range(1000, 1040)] + [(None, None, "x"), (2000, None, None), (2000, None, None), (2001, "nothing", html[0])]
+    redirects = spark.createDataFrame([*given, (None, urls[3]), (urls[3], None)], "source string, target string")
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), URL_RULES, redirects).collect()
+    assert len(got) == len(rows)
+    classes = classes_of(range(400), links)
+
+    def fits(u):
+        host, path = re.match("http://([^/]*)(.*)", u).groups()
+        best = max(((len(r.name), r.verdict == "allow", r) for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda x: x[:2], default=None)
+        return best and best[2].verdict
+
+    verdicts = {}
+    for k, root in classes.items():
+        verdicts.setdefault(root, set()).add(fits(urls[k]))
+    for r in got:
+        k = r.page_id if r.page_id is not None and r.page_id < 400 else 5 if r.host else None
+        of = verdicts[classes[k]] if k is not None else set()
+        assert r.verdict == ((fits(urls[k]) if k is not None else None) or ("block" if "block" in of and "allow" not in of else "allow"))
+    assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "http://c", "<p>é</p>"), (4, "http://d", ""), (None, "http://e", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
