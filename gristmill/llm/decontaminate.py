@@ -1,8 +1,14 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of a benchmark.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised questions and answers of a benchmark.
 
 Normalising lower-cases A-Z and keeps words of ASCII letters, digits and non-ASCII characters. A window is 13
-consecutive words of an item, or a shorter item whole. Each text is scanned once; a match in the normalised text is
-mapped to words and, where spans are asked for, to character offsets of the original text.
+consecutive words of an item, or a shorter item whole. Every window of a longer item holds one of its blocks, 7 words that
+begin at a multiple of 7; the automaton holds those and the short items, so it has about as many nodes as the benchmark
+has letters. Each text is scanned once; from a block that is found, what the text and the item have in common is
+followed to both sides, and a run of 13 words or more is just what windows hit. Hits are mapped to words and, where spans
+are asked for, to character offsets of the original text.
+
+A benchmark is an evaluation set and so small. Its bytes are summed before any of it is read: beyond MAX_BENCHMARK_BYTES
+the operators refuse it with ValueError, since each worker holds its automaton, of up to 50 bytes for each byte of it.
 
 Defined results: null or empty text has no words, no hits and is clean; items without words have no window; items with a
 null id are not listed but their windows count; repeated documents are judged each by itself; repeated items count once.
@@ -26,8 +32,10 @@ from gristmill.llm.common import ALNUM_TABLE, text_bytes
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned in several passes.
-MAX_AUTOMATON_BYTES = 16 << 20
+#: Words of a block: each WINDOW of words holds a whole one that begins at a multiple of BLOCK.
+BLOCK = (WINDOW + 1) // 2
+#: Bytes of benchmark text that are taken at most.
+MAX_BENCHMARK_BYTES = 8 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -41,22 +49,40 @@ def words_of(text: bytes) -> list[bytes]:
 class Matcher:
     """The automaton; a pattern is ' w1 w2 ... ', so that it begins and ends at words."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        held: dict[str, tuple[int, set]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]]):
+        held: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        self.ids, self.words, self.short = [], [], []
+        known: dict[bytes, bytes] = {}
         for item, text in items:
-            words = words_of(text)
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[k : k + window]
-                held.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), set()))[1].add(item)
+            words = [known.setdefault(w, w) for w in words_of(text)]
+            if not words:
+                continue
+            short = len(words) <= WINDOW
+            for k in (0,) if short else range(0, len(words) - BLOCK + 1, BLOCK):
+                part = words if short else words[k : k + BLOCK]
+                held.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), []))[1].append((len(self.ids), k))
+            self.ids.append(item)
+            self.words.append(words)
+            self.short.append(short)
         self.automaton = ahocorasick.Automaton()
-        for pattern, (n, ids) in held.items():
-            self.automaton.add_word(pattern, (len(pattern), n, ids))
+        for pattern, (n, places) in held.items():
+            self.automaton.add_word(pattern, (len(pattern), n, places))
         if held:
             self.automaton.make_automaton()
         self.empty = not held
 
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, set]]:
-        """(first word, number of words, item ids) of each occurrence of a window."""
+    def _run(self, words: list[bytes], at: int, item: int, k: int) -> tuple[int, int]:
+        """Words (start, end) that a text has in common with an item, around a block at word `at` of the one and k of the other."""
+        own = self.words[item]
+        start, end, j = at, at + BLOCK, k + BLOCK
+        while start > 0 and k > 0 and words[start - 1] == own[k - 1]:
+            start, k = start - 1, k - 1
+        while end < len(words) and j < len(own) and words[end] == own[j]:
+            end, j = end + 1, j + 1
+        return start, end
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, str | None]]:
+        """(first word, end, item id) of runs of words that windows hit."""
         if self.empty or not words:
             return []
         text = f" {b' '.join(words).decode('latin-1')} "  # one character for each byte
@@ -65,7 +91,17 @@ class Matcher:
             return []
         spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
         starts = np.searchsorted(spaces, [end - size + 1 for end, (size, _, _) in found])
-        return [(int(s), n, ids) for s, (_, (_, n, ids)) in zip(starts, found, strict=True)]
+        out, followed = [], {}
+        for s, (_, (_, n, places)) in sorted(zip(starts.tolist(), found, strict=True), key=lambda x: x[0]):
+            for item, k in places:
+                if self.short[item]:
+                    out.append((s, s + n, self.ids[item]))
+                elif followed.get((item, s - k), -1) <= s:  # else within a run that is known
+                    start, end = self._run(words, s, item, k)
+                    followed[item, s - k] = end
+                    if end - start >= WINDOW:
+                        out.append((start, end, self.ids[item]))
+        return out
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -73,26 +109,25 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
 
 
-_matchers: dict[str, list[Matcher]] = {}
+_matchers: dict[str, Matcher] = {}
 
 
-def _matchers_of(key: str, shards: list) -> list[Matcher]:
-    """The automata are built once in each Python worker."""
+def _matcher_of(key: str, items: list) -> Matcher:
+    """The automaton is built once in each Python worker."""
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = [Matcher(x) for x in shards]
+        _matchers[key] = Matcher(items)
     return _matchers[key]
 
 
-def judge(text: bytes, matchers: list[Matcher]) -> tuple[int, np.ndarray | None, set]:
+def judge(text: bytes, matcher: Matcher) -> tuple[int, np.ndarray | None, set]:
     """Number of words, which of them are hit (None: none), ids of the items found."""
     words, hit, items = words_of(text), None, set()
-    for m in matchers:
-        for start, n, ids in m.scan(words):
-            if hit is None:
-                hit = np.zeros(len(words), bool)
-            hit[start : start + n] = True
-            items |= ids
+    for start, end, item in matcher.scan(words):
+        if hit is None:
+            hit = np.zeros(len(words), bool)
+        hit[start:end] = True
+        items.add(item)
     return len(words), hit, items
 
 
@@ -100,37 +135,28 @@ def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and HIT_SHARE * n_hit >= n_words
 
 
-def load_items(benchmark: DataFrame) -> tuple[str, list[list[tuple[str | None, bytes]]]]:
-    """The benchmark's items in shards of bounded size.
-
-    A benchmark is an evaluation set and so small; its bytes are summed first, and beyond MAX_AUTOMATON_BYTES it is
-    cut into several automata of that size, with which each text is scanned in turn, so a worker's memory follows the
-    benchmark and not the corpus.
-    """
+def load_items(benchmark: DataFrame) -> tuple[str, list[tuple[str | None, bytes]]]:
+    """The benchmark's distinct items and a key for them; ValueError beyond MAX_BENCHMARK_BYTES, before they are read."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), text_bytes().alias("body")).distinct()
-    shards, size = [[]], 0
-    for r in items.toLocalIterator():
-        if size + len(r.body) > MAX_AUTOMATON_BYTES and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append((r.id, bytes(r.body)))
-        size += len(r.body)
-    key = hashlib.sha256(repr(sorted((str(i), b) for s in shards for i, b in s)).encode()).hexdigest()
-    return key, shards
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    if size > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than {MAX_BENCHMARK_BYTES}: judge it in parts")
+    held = sorted(((r.id, bytes(r.body)) for r in items.collect()), key=lambda x: (x[0] is None, x))  # of the size just summed
+    return hashlib.sha256(repr(held).encode()).hexdigest(), held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and RESULT for every document."""
-    key, shards = load_items(benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(shards)  # bounded by the benchmark, see load_items
+    key, items = load_items(benchmark)
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # of MAX_BENCHMARK_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = _matchers_of(key, sent.value)
+        matcher = _matcher_of(key, sent.value)
         for batch in batches:
             rows = []
             for body in batch.column("body"):
-                n, hit, items = judge(body.as_py(), matchers)
-                n_hit, ids = 0 if hit is None else int(hit.sum()), sorted(x for x in items if x is not None)
+                n, hit, met = judge(body.as_py(), matcher)
+                n_hit, ids = 0 if hit is None else int(hit.sum()), sorted(x for x in met if x is not None)
                 rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), is_contaminated(n, n_hit)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
@@ -142,15 +168,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, start, end: runs of hit words as character offsets of the original text, end exclusive."""
-    key, shards = load_items(benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    key, items = load_items(benchmark)
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = _matchers_of(key, sent.value)
+        matcher = _matcher_of(key, sent.value)
         for batch in batches:
             ids, starts, ends = [], [], []
             for k, body in enumerate(batch.column("body")):
-                _, hit, _ = judge(body.as_py(), matchers)
+                _, hit, _ = judge(body.as_py(), matcher)
                 if hit is None:
                     continue
                 spans = word_spans(body.as_py().decode("utf-8", "surrogateescape"))
@@ -167,16 +193,16 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns, in one pass and without a shuffle."""
-    key, shards = load_items(benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    key, items = load_items(benchmark)
+    sent = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = _matchers_of(key, sent.value)
+        matcher = _matcher_of(key, sent.value)
         for batch in batches:
             keep = []
             for text in batch.column(at):
-                n, hit, _ = judge((text.as_py() or "").encode(), matchers)
+                n, hit, _ = judge((text.as_py() or "").encode(), matcher)
                 keep.append(hit is None or not is_contaminated(n, int(hit.sum())))
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -226,6 +226,48 @@ def test_decontamination(docs, spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_windows_found_through_blocks():
+    """Texts cut from items, joined and disturbed, against every window compared."""
+    rng = np.random.default_rng(12)
+    items = [(str(k) if k % 9 else None, " ".join(f"w{int(x)}" for x in rng.integers(0, 12 if k % 2 else 400, int(rng.integers(1, 60)))).encode()) for k in range(60)] + [("r", b"a b " * 30), ("none", b" .,"), ("13", " ".join(map(str, range(13))).encode())]
+    matcher = decontaminate.Matcher(items)
+    windows = {}
+    for item, text in items:
+        words = decontaminate.words_of(text)
+        n = min(len(words), decontaminate.WINDOW)
+        for k in range(len(words) - n + 1 if n else 0):
+            windows.setdefault(tuple(words[k : k + n]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    for n in range(200):
+        parts = []
+        for _ in range(int(rng.integers(0, 6))):
+            words = decontaminate.words_of(items[int(rng.integers(len(items)))][1])
+            i = int(rng.integers(0, len(words) + 1))
+            parts += words[i : i + int(rng.integers(1, 40))] + [b"x"] * int(rng.integers(0, 2))
+        text = b", ".join(parts) if n else b"A b " * 50
+        words = decontaminate.words_of(text)
+        want, hit = set(), np.zeros(len(words), bool)
+        for size in sizes:
+            for k in range(len(words) - size + 1):
+                if (ids := windows.get(tuple(words[k : k + size]))) is not None:
+                    want |= ids
+                    hit[k : k + size] = True
+        count, got, met = decontaminate.judge(text, matcher)
+        assert count == len(words) and met == want and (hit == (np.zeros(len(words), bool) if got is None else got)).all()
+
+
+def test_decontamination_bound_and_empty_tables(docs, spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "quick brown fox", "en"), (2, "x" * 50, "en")], "item_id long, text string, lang string")
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    for empty in (bench.limit(0), spark.createDataFrame([(1, None), (2, "--")], "item_id long, text string")):
+        rows = decontaminate.contamination(docs, empty).collect()
+        assert len(rows) == docs.count() and not any(r.n_hit or r.n_items or r.contaminated for r in rows)
+        assert decontaminate.drop_contaminated(docs, empty).count() == docs.count()
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 64)
+    with pytest.raises(ValueError, match="65 bytes"):
+        decontaminate.contamination(docs, bench)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
