@@ -76,6 +76,10 @@ def _needed(tokens: Sequence[str], threshold: float) -> int:
     return math.ceil(threshold * len(tokens) - 1e-9)
 
 
+def _template(k: int, label: str, words: Sequence[str], threshold: float) -> Column:
+    return F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), _strings(words).alias("words"), F.lit(len(words)).alias("size"), F.lit(_needed(words, threshold)).alias("needed"))
+
+
 def _run_overlap(hits: Column, text: str, threshold: float) -> Column:
     """The most words of a template that a run of its length holds, null if too few; hits: the (at, word) of a text in its order."""
     n, ws = len(text.split(" ")), sorted(set(text.split(" ")))
@@ -114,8 +118,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     d = materialise(d, "licenses")
     # The global order: how many documents have each word.
     seen = d.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    spark = docs.sparkSession
-    words = spark.createDataFrame([(k, label, w, len(ws), _needed(ws, threshold)) for k, (label, ws) in enumerate(sets) for w in ws], "template int, label string, word string, size int, needed int")
+    words = docs.sparkSession.range(1).select(F.explode(F.array(*(_template(k, label, ws, threshold) for k, (label, ws) in enumerate(sets)))).alias("t")).select("t.template", "t.label", "t.size", "t.needed", F.explode("t.words").alias("word"))
     ranked = words.join(seen, "word", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     order = Window.partitionBy("template").orderBy("docs", "word")
     index = materialise(ranked.withColumn("t_at", F.row_number().over(order) - 1), "index")  # a row for each word of each template
@@ -124,9 +127,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     b = d.select("row", F.posexplode("blocks").alias("block", "tokens"))
     ordered = b.select("row", "block", F.explode("tokens").alias("word")).join(seen, "word").groupBy("row", "block").agg(F.sort_array(F.collect_list(F.struct("docs", "word"))).alias("ordered"))  # a set of vocabulary words
     ordered = ordered.select("row", "block", F.transform("ordered", lambda x: x["word"]).alias("tokens"))
-    met = ordered.select("row", "block", "tokens", F.posexplode("tokens").alias("b_at", "word")).join(prefixes, "word")
+    met = ordered.select("row", "block", "tokens", F.posexplode("tokens").alias("b_at", "word")).join(prefixes, "word").filter(F.size("tokens") >= F.col("needed"))  # length filter
     first = met.groupBy("row", "block", "template").agg(F.min(F.struct("t_at", "b_at")).alias("at"), F.first("tokens").alias("tokens"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("needed").alias("needed"))
-    candidates = first.filter(1 + F.least(F.col("size") - F.col("at.t_at"), F.size("tokens") - F.col("at.b_at")) - 1 >= F.col("needed"))
+    candidates = first.filter(F.least(F.col("size") - F.col("at.t_at"), F.size("tokens") - F.col("at.b_at")) >= F.col("needed"))
     whole = F.create_map(*(x for k, (_, ws) in enumerate(sets) for x in (F.lit(k), _strings(ws))))
     verified = candidates.withColumn("overlap", F.size(F.array_intersect("tokens", whole[F.col("template")]))).filter("overlap >= needed")
     found = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("share"))  # labels of templates

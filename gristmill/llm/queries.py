@@ -87,7 +87,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lv.level > coalesce(in_force, -1) AS kept FROM st JOIN lv USING (doc_id) LEFT JOIN frc ON frc.stratum = st.stratum
 """.replace("LADDER", ", ".join(f"('{r}', {list(cs)})" for r, cs in quality_rules.LEVELS.items())).replace("N_LEVELS", str(quality_rules.N_LEVELS)).replace("SHARE", f"CAST({quality_rules.ALPHA!r} AS DOUBLE)").replace("DELTA", repr(quality_rules.DELTA))
 
-_WORD_LISTS = ", ".join(f"({k}, '{label}', {sorted(set(text.split(' ')))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
+_WORD_LISTS = ", ".join(f"({k}, '{label}', {sorted(set(text.split(' ')))}, {len(text.split(' '))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
 _PLACES = ", ".join("list_filter(range(1, len(ws) + 1), lambda i: " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split(" "))) + ")" for phrase, _ in licenses.PHRASES)
 
 _OP5 = rf"""
@@ -95,9 +95,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 w AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
 p AS (SELECT rid, doc_id, ws, [{_PLACES}] AS ps FROM w),
 b AS (SELECT *, flatten(ps) AS places, list_sort(list_filter([{', '.join(f"CASE WHEN len(ps[{k}]) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES, 1))}], lambda x: x IS NOT NULL)) AS base FROM p),
-tpl AS (SELECT * FROM (VALUES {_WORD_LISTS}) v(k, label, tw)),
+tpl AS (SELECT * FROM (VALUES {_WORD_LISTS}) v(k, label, tw, n)),
 ln AS (SELECT DISTINCT rid, list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)),
-hit AS (SELECT rid, label, len(list_intersect(lw, tw)) / len(tw) AS share FROM ln, tpl WHERE 100 * len(list_intersect(lw, tw)) >= {round(100 * licenses.THRESHOLD)} * len(tw)),
+run AS (SELECT rid, label, tw, unnest(list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_contains(tw, ws[i])), lambda i: list_distinct(ws[i:i + n - 1]))) AS lw
+ FROM w, tpl WHERE 100 * len(list_intersect(list_distinct(ws), tw)) >= {round(100 * licenses.THRESHOLD)} * len(tw)),
+blk AS (SELECT rid, label, tw, lw FROM ln, tpl UNION ALL SELECT rid, label, tw, lw FROM run),
+hit AS (SELECT rid, label, len(list_intersect(lw, tw)) / len(tw) AS share FROM blk WHERE 100 * len(list_intersect(lw, tw)) >= {round(100 * licenses.THRESHOLD)} * len(tw)),
 f AS (SELECT rid, list(DISTINCT label) AS found, max(share) AS share FROM hit GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ','), '') AS labels, CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score FROM b LEFT JOIN f USING (rid)

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -16,7 +17,7 @@ from pyspark.sql import types
 from pyspark.sql.datasource import EqualTo
 
 from gristmill.llm import chat, common, components, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
-from gristmill.llm.queries import URL_RULES, tokenizer_file
+from gristmill.llm.queries import ORACLES, URL_RULES, tokenizer_file
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(6000))
 TEXTS = ["The Quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dog", None, "", " \n\t ", "a b", LONG, LONG + " end", "x # y $ z | & < >\n" * 5, "one two three four five six seven eight nine " * 4, "É mit license MIT  LICENSE\nReleased under the Apache License", "Licensed under CC BY-NC 4.0."]
@@ -376,6 +377,13 @@ def test_licenses_over_line_ends(spark):
                 best[label] = max(share, best.get(label, 0.0))
         assert (got[i].labels, got[i].score) == (",".join(sorted(best)), max(best.values(), default=0.0)), text
     assert [got[i].labels for i in range(7)] == ["mit", "mit", "bsd", "isc", "mpl", "", "unlicense"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(wrapped)))
+    assert {r[0]: (r[6], r[7]) for r in con.execute(ORACLES["op5_license_scans"]).fetchall()} == {i: (r.labels, r.score) for i, r in got.items()}
+    twice = spark.createDataFrame([(1, wrapped[0], 5), (1, wrapped[0], 5), (2, None, 6)], "doc_id long, text string, n_words long")
+    assert [(r.doc_id, r.labels) for r in licenses.scan(twice).orderBy("doc_id").collect()] == [(1, "mit"), (1, "mit"), (2, "")]
+    assert licenses.scan(twice.limit(0)).count() == 0
 
 
 def counted(text):
