@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import types
 from pyspark.sql.datasource import EqualTo
 
+from plain import assert_gapless, classes_of, levels_in_force
 from gristmill.llm import chat, common, components, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
 from gristmill.llm.queries import ORACLES, URL_RULES, tokenizer_file
 
@@ -70,20 +71,6 @@ def test_simhash(docs, spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def classes_of(fps, links):
-    label = {x: x for x in fps}
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        label[max(a, b)] = min(a, b)
-    return {x: find(x) for x in fps}
-
-
 @pytest.mark.parametrize(("bucket", "size"), [(simhash.BUCKET, 1), (8, 1), (8, (1 << 22) + 1), (simhash.BUCKET, (1 << 31) + 1)])
 def test_near_links_of_cut_buckets_and_all_tables(spark, monkeypatch, bucket, size):
     """Buckets cut into parts, and the tables of larger corpora, link what every pair compared does."""
@@ -176,24 +163,10 @@ def test_binomial_tail(spark):
         assert math.isclose(r.p, sum(math.comb(r.n, i) * 0.02**i * 0.98 ** (r.n - i) for i in range(r.k + 1)), rel_tol=1e-9)
 
 
-def tested_level(rows, alpha, delta):
-    """{stratum: level in force} in plain Python, from (stratum, level) of good documents."""
-    strata, out = {s for s, _ in rows}, {}
-    for s in strata:
-        levels = [x for t, x in rows if t == s]
-        for k in range(quality_rules.N_LEVELS):
-            n, bad = len(levels), sum(x <= k for x in levels)
-            tail = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(bad + 1))
-            if bad > n * alpha or tail > delta / len(strata):
-                break
-            out[s] = k
-    return out
-
-
 def test_levels_in_force(spark):
     rows = [("en", 6)] * 900 + [("en", 5)] * 3 + [("en", 2)] * 2 + [("en", 1)] * 4 + [("de", 6)] * 216 + [("fr", 6)] * 217 + [("es", 6)] * 500 + [("es", 3)] * 40
     got = {r.stratum: r.in_force for r in quality_rules.select_levels(spark.createDataFrame(rows, "stratum string, level int")).collect()}
-    assert got == tested_level(rows, quality_rules.ALPHA, quality_rules.DELTA) == {"en": 4, "fr": 5, "es": 2}
+    assert got == levels_in_force(rows, quality_rules.ALPHA, quality_rules.DELTA) == {"en": 4, "fr": 5, "es": 2}
     assert quality_rules.select_levels(spark.createDataFrame([], "stratum string, level int")).count() == 0
 
 
@@ -291,15 +264,6 @@ def test_packing(docs):
     assert texts == {0: [*whole.encode(TEXTS[0], add_special_tokens=False).ids, 0], 3: [0]}
 
 
-def assert_gapless(got):
-    for _, rows in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
-        at = 0
-        for r in rows:
-            assert r.offset == at
-            at += r.length
-        assert at <= packing.CAPACITY
-
-
 def test_packing_keeps_large_ids_beside_null_ones(spark):
     large = 9007199254740993  # no double has this value
     df = spark.createDataFrame([(large, "a b c"), (None, "d"), (large, "a b c")], "doc_id long, text string").coalesce(1)
