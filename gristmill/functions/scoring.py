@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import PYWS, last, not_empty, splitlines, strip
+from gristmill.functions.text import PYWS, bound, last, not_empty, splitlines, strip
 
 NOT_FOUND = "NOT_FOUND"
 REL_TOL, ABS_TOL = 1e-2, 1e-5
@@ -38,7 +38,7 @@ def last_line(text: Column) -> Column:
 
 def extract_answer(text: Column) -> Column:
     """The answer a text gives: boxed, announced, its last number, or its last line; NOT_FOUND if none or null."""
-    return F.coalesce(boxed_answer(text), phrase_answer(text), last_number(text), last_line(text), F.lit(NOT_FOUND))
+    return F.coalesce(bound(text, lambda t: F.coalesce(boxed_answer(t), phrase_answer(t), last_number(t), last_line(t))), F.lit(NOT_FOUND))
 
 
 def py_float(c: Column) -> Column:
@@ -48,11 +48,17 @@ def py_float(c: Column) -> Column:
 
 def is_correct(gold: Column, predicted: Column) -> Column:
     """Tolerant equality: binary strings letter by letter, numbers within 1 %, all else without regard to case."""
-    g_text, p_text = strip(gold), strip(predicted)
-    g, p = py_float(g_text), py_float(p_text)
-    same = F.lower(p_text) == F.lower(g_text)
-    inf = F.lit(float("inf"))
-    finite = (F.abs(g) != inf) & (F.abs(p) != inf)
-    near = F.abs(g - p) <= F.greatest(REL_TOL * F.greatest(F.abs(g), F.abs(p)), F.lit(ABS_TOL))
-    close = ~F.isnan(g) & ~F.isnan(p) & ((g == p) | (finite & near))
-    return F.coalesce(F.when(g_text.rlike(r"^[01]+\z"), same).when(g.isNotNull() & p.isNotNull(), close).otherwise(same), F.lit(False))
+
+    def parsed(x: Column) -> Column:
+        return F.struct(x["g"].alias("g"), x["p"].alias("p"), py_float(x["g"]).alias("gn"), py_float(x["p"]).alias("pn"))
+
+    def judged(x: Column) -> Column:
+        g, p, inf = x["gn"], x["pn"], F.lit(float("inf"))
+        finite = (F.abs(g) != inf) & (F.abs(p) != inf)
+        near = F.abs(g - p) <= F.greatest(REL_TOL * F.greatest(F.abs(g), F.abs(p)), F.lit(ABS_TOL))
+        close = ~F.isnan(g) & ~F.isnan(p) & ((g == p) | (finite & near))
+        numbers = g.isNotNull() & p.isNotNull() & ~x["g"].rlike(r"^[01]+\z")
+        return F.when(numbers, close).otherwise(F.lower(x["p"]) == F.lower(x["g"]))
+
+    pair = F.struct(strip(gold).alias("g"), strip(predicted).alias("p"))
+    return F.coalesce(bound(bound(pair, parsed), judged), F.lit(False))
