@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import bound
+
 WIDTH = 8
 _ALL = (1 << WIDTH) - 1
 
@@ -57,18 +60,68 @@ def _target(out: Column, k: int) -> Column:
     return F.substring(out, k + 1, 1).cast("int")
 
 
-def affine_weights(examples: Column, k: int) -> Column:
-    """All weights that give character k of every example's output; examples is array<struct<x:int,out:string>>."""
+#: Examples whose outputs fit into the bits of a number; longer lists are tested example by example.
+_MASK = 62
+
+
+def _packed(examples: Column, bit: Callable[[Column], Column]) -> Column:
+    """The number that has bit(e) of each example e, the first one lowest."""
+    start = F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("b"))
+    return F.aggregate(examples, start, lambda a, e: F.struct(F.when(bit(e) == 1, a["v"] + a["b"]).otherwise(a["v"]).alias("v"), (a["b"] * 2).alias("b")), lambda a: a["v"])
+
+
+def _input(i: int) -> Callable[[Column], Column]:
+    return lambda e: F.shiftright(e["x"], i).bitwiseAND(F.lit(1))
+
+
+def _outputs(examples: Column) -> Column:
+    """For each weight 0 to 511 in order, a number whose bit e is the parity that the weight gives example e.
+
+    Parity is linear: the numbers of the nine single bits are combined, each weight by one exclusive or.
+    """
+    out = F.array(F.lit(0).cast("long"))
+    for i in range(WIDTH + 1):
+        out = bound(F.struct(out.alias("all"), _packed(examples, _input(i)).alias("one")), lambda t: F.concat(t["all"], F.transform(t["all"], lambda v: v.bitwiseXOR(t["one"]))))
+    return out
+
+
+def _wanted(examples: Column, k: int) -> Column:
+    """The number that a weight for character k has to give."""
+    return _packed(examples, lambda e: _target(e["out"], k))
+
+
+def _equal(items: Column, value: Column) -> Column:
+    return bound(value, lambda x: F.size(F.filter(items, lambda v: v == x)))
+
+
+def _tested(examples: Column, k: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit((1 << (WIDTH + 1)) - 1)), lambda w: F.forall(examples, lambda e: F.bit_count(w.bitwiseAND(e["x"])) % 2 == _target(e["out"], k)))
 
 
-def affine_weight(examples: Column, k: int) -> Column:
-    """The least of them: free variables are zero; or null."""
-    return F.array_min(affine_weights(examples, k))
+def affine_counts(examples: Column) -> Column:
+    """How many weights give each character of every example's output; examples is array<struct<x:int,out:string>>."""
+    by_mask = bound(_outputs(examples), lambda o: F.array(*(_equal(o, _wanted(examples, k)) for k in range(WIDTH))))
+    return F.when(F.size(examples) <= _MASK, by_mask).otherwise(F.array(*(F.size(_tested(examples, k)) for k in range(WIDTH))))
+
+
+def affine_fit(examples: Column) -> Column:
+    """The least weight for each character: free variables are zero; null where there is none."""
+    by_mask = bound(_outputs(examples), lambda o: F.array(*(F.nullif(F.array_position(o, _wanted(examples, k)), F.lit(0).cast("long")).cast("int") - 1 for k in range(WIDTH))))
+    return F.when(F.size(examples) <= _MASK, by_mask).otherwise(F.array(*(F.array_min(_tested(examples, k)) for k in range(WIDTH))))
+
+
+def affine_bit(fit: Column, query: Column, k: int) -> Column:
+    return (F.bit_count(fit[k].bitwiseAND(query)) % 2).cast("string")
 
 
-def affine_bit(examples: Column, query: Column, k: int) -> Column:
-    return (F.bit_count(affine_weight(examples, k).bitwiseAND(query)) % 2).cast("string")
+def affine_output(fit: Column, query: Column) -> Column:
+    """The output that weights give; null if any character has none."""
+    return F.concat(*(affine_bit(fit, query, k) for k in range(WIDTH)))
+
+
+def affine_only(examples: Column, query: Column) -> Column:
+    """The output by affine rules alone, all eight or none, if they give every example back."""
+    return bound(affine_fit(examples), lambda fit: F.when((F.size(examples) > 0) & F.forall(examples, lambda e: F.coalesce(affine_output(fit, e["x"]) == e["out"], F.lit(False))), affine_output(fit, query)))
 
 
 #: Supports of at most three input characters: by size, then in order of positions.
@@ -88,7 +141,14 @@ def table_bit(examples: Column, query: Column, k: int) -> Column:
     return F.when(support.isNotNull(), F.substring(F.get(like, F.lit(0))["out"], k + 1, 1))
 
 
-def derived(examples: Column, query: Column, tables: bool = True) -> Column:
-    """The output for a query: each character affine, else by truth table; null if any has neither."""
-    bits = [F.coalesce(affine_bit(examples, query, k), table_bit(examples, query, k)) if tables else affine_bit(examples, query, k) for k in range(WIDTH)]
-    return F.when(F.size(examples) > 0, F.concat(*bits))
+def derived(examples: Column, query: Column) -> Column:
+    """struct<out, affine>: the output for a query, each character affine, else by truth table; and which characters are affine.
+
+    out is null if any character has neither.
+    """
+
+    def solved(fit: Column) -> Column:
+        out = F.concat(*(F.coalesce(affine_bit(fit, query, k), table_bit(examples, query, k)) for k in range(WIDTH)))
+        return F.struct(out.alias("out"), F.transform(fit, lambda w: w.isNotNull()).alias("affine"))
+
+    return F.when(F.size(examples) > 0, bound(affine_fit(examples), solved))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import bound
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The words that plain texts are made of.
@@ -49,12 +51,14 @@ def aligned(pairs: Column) -> Column:
     return F.filter(F.flatten(F.transform(pairs, words)), lambda x: x["c"] != "")
 
 
-def char_map(pairs: Column) -> Column:
-    """Map from cipher to plain letter: the first one seen stays, and no plain letter is given twice."""
+def char_map(pairs: Column, injective: bool = True) -> Column:
+    """Map from cipher to plain letter: the first one seen stays and, if injective, no plain letter is given twice."""
     start = F.struct(F.array().cast("array<string>").alias("c"), F.array().cast("array<string>").alias("p"))
 
     def step(a: Column, x: Column) -> Column:
-        new = ~F.array_contains(a["c"], x["c"]) & ~F.array_contains(a["p"], x["p"])
+        new = ~F.array_contains(a["c"], x["c"])
+        if injective:
+            new = new & ~F.array_contains(a["p"], x["p"])
         return F.struct(F.when(new, F.array_append(a["c"], x["c"])).otherwise(a["c"]).alias("c"), F.when(new, F.array_append(a["p"], x["p"])).otherwise(a["p"]).alias("p"))
 
     return F.aggregate(aligned(pairs), start, step, lambda a: F.map_from_arrays(a["c"], a["p"]))
@@ -85,19 +89,22 @@ def candidates(word: Column, known: Column) -> Column:
 
 
 def fill(query: Column, pairs: Column) -> Column:
-    """struct<text, solved>: the query's words left to right by map and vocabulary; each word found constrains the next.
+    """struct<text, solved, by_map>: the query's words left to right by map and vocabulary; each word found constrains the next.
 
-    A word with one candidate is solved, one with several takes the first and leaves the text unsolved, one with none
-    is read by the map alone.
+    A word whose letters are all known is read by the map, whether or not it is in the vocabulary. Of the others, one with
+    one candidate is solved, one with several takes the first and leaves the text unsolved, and one with none leaves it
+    unsolved too and shows what the map knows. by_map says that no word needed the vocabulary.
     """
     m = char_map(pairs)
-    start = F.struct(F.map_keys(m).alias("c"), F.map_values(m).alias("p"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("solved"))
+    start = F.struct(F.map_keys(m).alias("c"), F.map_values(m).alias("p"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("solved"), F.lit(True).alias("by_map"))
 
     def read(a: Column, w: Column) -> Column:
         return F.array_join(F.transform(F.split(w, ""), lambda x: F.when(x == "", x).otherwise(F.coalesce(F.get(a["p"], (F.array_position(a["c"], x) - 1).cast("int")), F.lit("?")))), "")
 
     def chosen(a: Column, w: Column) -> Column:
-        return F.transform(F.array(candidates(w, F.struct(a["c"].alias("c"), a["p"].alias("p")))), lambda x: F.struct(F.size(x).alias("n"), F.get(x, F.lit(0)).alias("v")))[0]
+        known = F.forall(F.split(w, ""), lambda x: F.array_contains(a["c"], x))
+        fits = F.when(known, F.array(read(a, w))).otherwise(candidates(w, F.struct(a["c"].alias("c"), a["p"].alias("p"))))
+        return bound(F.struct(fits.alias("fits"), known.alias("known")), lambda x: F.struct(F.size(x["fits"]).alias("n"), F.get(x["fits"], F.lit(0)).alias("v"), x["known"].alias("known")))
 
     def grown(a: Column, w: Column, x: Column) -> Column:
         new = F.filter(F.array_distinct(F.zip_with(F.split(w, ""), F.split(x["v"], ""), lambda c, p: F.struct(c.alias("c"), p.alias("p")))), lambda q: (q["c"] != "") & ~F.array_contains(a["c"], q["c"]))
@@ -107,9 +114,10 @@ def fill(query: Column, pairs: Column) -> Column:
             F.when(has, F.concat(a["p"], F.transform(new, lambda q: q["p"]))).otherwise(a["p"]).alias("p"),
             F.array_append(a["words"], F.when(has, x["v"]).otherwise(read(a, w))).alias("words"),
             (a["solved"] & (x["n"] == 1)).alias("solved"),
+            (a["by_map"] & x["known"]).alias("by_map"),
         )
 
     def step(a: Column, w: Column) -> Column:
-        return F.transform(F.array(chosen(a, w)), lambda x: grown(a, w, x))[0]
+        return bound(chosen(a, w), lambda x: grown(a, w, x))
 
-    return F.aggregate(F.filter(F.split(query, " +"), lambda w: w != ""), start, step, lambda a: F.struct(F.array_join(a["words"], " ").alias("text"), a["solved"].alias("solved")))
+    return F.aggregate(F.filter(F.split(query, " +"), lambda w: w != ""), start, step, lambda a: F.struct(F.array_join(a["words"], " ").alias("text"), a["solved"].alias("solved"), a["by_map"].alias("by_map")))

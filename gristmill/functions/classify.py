@@ -39,10 +39,26 @@ BINARY_WIDTHS = (8,)
 UNMATCHED = "__other__"
 
 
+#: How a family's solver compares a prompt's beginning: as it stands, without white space before it, or without case too.
+MATCHING = {"gravitational": "lstrip", "unit_conversion": "lstrip", "numeral": "lstrip", "encrypt": "strict", "bitmanip": "lower", "symbol": "strict"}
+
+
 def family(prompt: Column) -> Column:
+    """The family by the exact beginning of the prompt."""
     return first_prefix(prompt, FAMILY_PREFIXES, UNMATCHED)
 
 
+def routed_family(prompt: Column) -> Column:
+    """The family whose solver takes the prompt, each by its own rule of MATCHING."""
+    bare = F.regexp_replace(prompt, f"^{PYWS}+", "")
+    seen = {"strict": prompt, "lstrip": bare, "lower": F.lower(bare)}
+    out = F.lit(UNMATCHED)
+    for prefix, name in reversed(FAMILY_PREFIXES):
+        rule = MATCHING[name]
+        out = F.when(F.startswith(seen[rule], F.lit(prefix.lower() if rule == "lower" else prefix)), name).otherwise(out)
+    return out
+
+
 def domain(prompt: Column) -> Column:
     return first_keyword(prompt, DOMAIN_KEYWORDS, "uncovered")
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import bound
+
 # The digits of Roman numerals by decimal place, and the values of its letters.
 PLACES = (("", "M", "MM", "MMM"), ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"))
 LETTERS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+# The steps by which a number is taken apart.
 _STEPS = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 
 
@@ -40,5 +43,22 @@ def greedy_steps(n: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """Text with two decimals, by the decimal digits of x; digits beyond are rounded half up."""
-    return F.round(x, 2).cast("decimal(18,2)").cast("string")
+    """Text with two decimals as Python's '.2f' gives it: by the exact binary value, halves to even.
+
+    Whether 200 x lies above or below an odd number is decided exactly: x is split into two parts of 26 bits, whose products
+    with 200 are exact. Beyond 2^44, where doubles have no hundredths to be rounded, the digits of x itself are taken.
+    """
+
+    def rounded(y: Column) -> Column:
+        big = y * 134217729.0
+        high = big - (big - y)
+        low = y - high
+        n = F.floor(y * 100).cast("long")
+        above = (high * 200 - (2 * n + 1).cast("double")) + low * 200
+        return n + F.when(above > 0, 1).when(above < 0, 0).otherwise(n % 2)
+
+    def shown(n: Column) -> Column:
+        return F.concat(F.floor(n / 100).cast("long").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+    size, minus = F.abs(x), F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    return F.when(size < float(1 << 44), F.concat(minus, bound(rounded(size), shown))).otherwise(F.round(x, 2).cast("decimal(38,2)").cast("string"))

@@ -94,3 +94,13 @@ def shared_interval(pairs: Column, square: bool) -> Column:
         F.size(used) > 0,
         F.struct(F.when(inside, (lo + hi) / 2).otherwise(xy / xx).alias("k"), F.size(used).alias("n"), lo.alias("lo"), hi.alias("hi"), F.when(inside, "interval").otherwise("least_squares").alias("how")),
     )
+
+
+def line_through(pairs: Column) -> Column:
+    """struct<a, b, fits>: slope and intercept of y = a x + b by the first two pairs with different x, and whether all pairs
+    lie on it (F17); null without two such pairs. pairs is array<struct<x:double,y:double>>."""
+    first = F.get(pairs, F.lit(0))
+    other = F.get(F.filter(pairs, lambda p: p["x"] != first["x"]), F.lit(0))
+    a = (other["y"] - first["y"]) / (other["x"] - first["x"])
+    b = first["y"] - a * first["x"]
+    return F.when(other.isNotNull(), F.struct(a.alias("a"), b.alias("b"), F.forall(pairs, lambda p: F.abs(a * p["x"] + b - p["y"]) <= 1e-9 * (1 + F.abs(p["y"]))).alias("fits")))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations, product
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import bound
+
 
 def _text(x: Column) -> Column:
     return x.cast("string")
@@ -64,6 +66,58 @@ def rule_name(at: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), at)
 
 
-def deletions(length: int, n_deleted: int) -> list[tuple[int, ...]]:
-    """Sets of positions that may be deleted, in the order in which they are tried."""
-    return list(combinations(range(length), n_deleted))
+# The names of the older, smaller set of candidates.
+OLDER = ("a+b", "a-b", "b-a", "a*b", "str(a)+str(b)", "str(b)+str(a)", "|a-b|", "a//b", "a%b", "b//a", "b%a", "rev(a)+rev(b)", "rev(rev(a)+rev(b))", "rev(a)-rev(b)", "rev(b)-rev(a)", "|rev(a)-rev(b)|", "rev(a)rev(b)", "rev(b)rev(a)")
+
+
+def older_results(a: Column, b: Column) -> Column:
+    """The results of the older candidates, in the order of OLDER."""
+    ra, rb = _rev_int(a), _rev_int(b)
+    named = dict(catalogue(a, b))
+    named |= {"|rev(a)-rev(b)|": _text(F.abs(ra - rb)), "rev(a)rev(b)": F.concat(_text(ra), _text(rb)), "rev(b)rev(a)": F.concat(_text(rb), _text(ra))}
+    return F.array(*(named[n] for n in OLDER))
+
+
+def deletion_answer(pairs: Column, query: Column) -> Column:
+    """The query under the first set of deleted positions whose other letters follow one substitution in all examples and
+    cover the query's; null if there is none (R13, J10).
+
+    Sets are tried in the order of their positions. They are built from left to right, a position deleted or kept, and only
+    those that no example contradicts go on; a deleted letter is mapped to nothing. All left sides and the query have to be
+    of one length. Examples that lose another number of letters than most count for nothing.
+    """
+    n = F.length(F.get(pairs, F.lit(0))["inp"])
+    lost = bound(pairs, modal_deletion)
+    used = F.transform(F.filter(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]) == lost), lambda p: F.struct(F.split(p["inp"], "").alias("i"), F.split(p["out"], "").alias("o")))
+    start = F.array(F.struct(F.array().cast("array<int>").alias("gone"), F.array().cast("array<struct<c:string,p:string>>").alias("map")))
+
+    def found(x: Column) -> Column:
+        n, d, q = x["n"], x["d"], F.split(x["q"], "")
+
+        def grown(s: Column, i: Column, delete: bool) -> Column:
+            k = F.size(s["gone"])
+            new = F.transform(x["used"], lambda u: F.struct(u["i"][i].alias("c"), (F.lit("") if delete else u["o"][i - k]).alias("p")))
+            gone = F.array_append(s["gone"], i) if delete else s["gone"]
+            one = bound(F.array_distinct(F.concat(s["map"], new)), lambda m: F.when(F.size(m) == F.size(F.array_distinct(F.transform(m, lambda y: y["c"]))), F.struct(gone.alias("gone"), m.alias("map"))))
+            return F.when(k < d if delete else i - k < n - d, one)
+
+        def step(states: Column, i: Column) -> Column:
+            return F.flatten(F.transform(states, lambda s: F.filter(F.array(grown(s, i, True), grown(s, i, False)), lambda y: y.isNotNull())))
+
+        def read(s: Column) -> Column:
+            kept = F.filter(F.transform(q, lambda c, i: F.when(~F.array_contains(s["gone"], i), c)), lambda c: c.isNotNull())
+            plain = F.transform(kept, lambda c: F.get(F.filter(s["map"], lambda y: y["c"] == c), F.lit(0))["p"])
+            return F.when(F.forall(plain, lambda c: c.isNotNull()), F.array_join(plain, ""))
+
+        states = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+        return F.get(F.filter(F.transform(states, read), lambda y: y.isNotNull()), F.lit(0))
+
+    fits = (lost >= 0) & (lost < n) & (F.length(query) == n) & F.forall(pairs, lambda p: F.length(p["inp"]) == n)
+    return F.when(fits, bound(F.struct(n.alias("n"), lost.alias("d"), query.alias("q"), used.alias("used")), found))
+
+
+def modal_deletion(pairs: Column) -> Column:
+    """The most frequent loss of length; of equals, the one seen first."""
+    lost = F.transform(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]))
+    ranked = F.transform(F.array_distinct(lost), lambda d: F.struct((-F.size(F.filter(lost, lambda x: x == d))).alias("n"), F.array_position(lost, d).alias("at"), d.alias("d")))
+    return F.array_min(ranked)["d"]

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.functions.classify import UNMATCHED
 from gristmill.functions.scoring import extract_answer, is_correct
+from gristmill.operators.joins import spread_join
 from gristmill.operators.profile import require_columns
-from gristmill.operators.rules import solve_all
+from gristmill.operators.rules import SOLVERS, solve_all
 
 # Fixed value: what is added to a prompt before a model sees it.
 PROMPT_SUFFIX = "\nPlease put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`"
@@ -22,16 +24,27 @@ def model_prompt(prompt: Column) -> Column:
     return F.concat(prompt, F.lit(PROMPT_SUFFIX))
 
 
-def trace(status: Column, family: Column, predicted: Column) -> Column:
-    """A trace that claims a derivation only where there is one."""
-    derived = F.concat(F.lit("The "), family, F.lit(" rule was derived from the examples and applied to the query.\nThe final answer is: \\boxed{"), predicted, F.lit("}"))
+def trace(status: Column, steps: Column, predicted: Column) -> Column:
+    """The steps of a derivation and its boxed answer; without a derivation it says so and claims none."""
+    derived = F.concat(steps, F.lit("\nThe final answer is: \\boxed{"), predicted, F.lit("}"))
     return F.when(status.startswith("derived"), derived).otherwise(F.concat(F.lit("No rule was derived ("), status, F.lit(").")))
 
 
+def ends_boxed(text: Column, answer: Column) -> Column:
+    """Whether a trace ends with the boxed answer (P20)."""
+    return F.coalesce(F.endswith(text, F.concat(F.lit("\\boxed{"), answer, F.lit("}"))), F.lit(False))
+
+
 def assembled(puzzles: DataFrame) -> DataFrame:
-    """id, family, status, prompt, trace, extracted_answer, gold_answer for every puzzle."""
-    df = solve_all(puzzles).persist().withColumn("trace", trace(F.col("status"), F.col("family"), F.col("predicted")))
-    return df.select("id", "family", "status", "prompt", "trace", F.when(F.col("status").startswith("derived"), extract_answer(F.col("trace"))).alias("extracted_answer"), F.col("answer").alias("gold_answer"))
+    """id, family, status, how, prompt, trace, extracted_answer, gold_answer for every puzzle.
+
+    A derived trace that does not end with its boxed answer is an error, not a record.
+    """
+    df = solve_all(puzzles).withColumn("trace", trace(F.col("status"), F.col("steps"), F.col("predicted")))
+    derived = F.col("status").startswith("derived")
+    broken = F.concat(F.lit("the trace of "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(" doesn't end with its boxed answer"))
+    df = df.withColumn("trace", F.when(~derived | ends_boxed(F.col("trace"), F.col("predicted")), F.col("trace")).otherwise(F.raise_error(broken)))
+    return df.select("id", "family", "status", "how", "prompt", "trace", F.when(derived, extract_answer(F.col("trace"))).alias("extracted_answer"), F.col("answer").alias("gold_answer"))
 
 
 def self_check(records: DataFrame) -> DataFrame:
@@ -50,7 +63,30 @@ def write_checked(records: DataFrame, path: str, max_share: float = 0.0) -> int:
 
 
 def status_counts(records: DataFrame) -> DataFrame:
-    return records.groupBy("family", "status").agg(F.count("*").alias("n"))
+    """(family, status, n), and a row with n = 0 for each family without records."""
+    counts = records.groupBy("family", "status").agg(F.count("*").alias("n"))
+    every = records.sparkSession.range(1).select(F.explode(F.array(*(F.lit(f) for f in (*SOLVERS, UNMATCHED)))).alias("family"))
+    absent = every.join(counts.select("family").distinct(), "family", "left_anti").select("family", F.lit("none").alias("status"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(absent)
+
+
+def match_rates(records: DataFrame) -> DataFrame:
+    """One row: n, the shares of records with a family, with a rule, and with a rule that gives the gold answer."""
+
+    def share(of: Column) -> Column:
+        return F.coalesce(F.round(F.try_divide(F.count_if(of), F.count("*")), 6), F.lit(0.0))
+
+    return records.agg(F.count("*").alias("n"), share(F.col("family") != UNMATCHED).alias("matched"), share(F.col("status").startswith("derived")).alias("derived"), share(F.col("status") == "derived_match").alias("right"))
+
+
+def check_skips(pairs: DataFrame, max_share: float = 0.2) -> float:
+    """The share of token pairs with a reject reason; ValueError above max_share (A19), or if there is none to train on."""
+    r = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("pair.reject").isNotNull()).alias("skipped")).first()
+    if r.n and r.skipped == r.n:
+        raise ValueError(f"all of {r.n} records are skipped")
+    if r.skipped > max_share * r.n:
+        raise ValueError(f"{r.skipped} of {r.n} records are skipped, more than {100 * max_share:g} %")
+    return r.skipped / r.n if r.n else 0.0
 
 
 def replicated(rows: DataFrame, k: int) -> DataFrame:
@@ -93,18 +129,32 @@ def capped_union(sources: list[DataFrame], cap: int, position: str = "pos") -> D
     return out.orderBy("source_ix", position).limit(cap)
 
 
+def _following(answers: DataFrame) -> DataFrame:
+    """(answer, other): distinct answers, each with the next one in the order of h and, of the last, the first.
+
+    The order is cut into 256 ranges of h, each a task; the least answer of each range, 256 rows at most, says where the
+    range before it goes on.
+    """
+    ranges = answers.withColumn("range", F.substring("h", 1, 2))
+    within = Window.partitionBy("range").orderBy("h", "answer")
+    firsts = ranges.groupBy("range").agg(F.min(F.struct("h", "answer"))["answer"].alias("first"))
+    order = Window.orderBy("range")  # 256 rows at most
+    onward = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("onward"))
+    return ranges.withColumn("next", F.lead("answer").over(within)).join(F.broadcast(onward), "range").select("answer", F.coalesce("next", "onward").alias("other"))
+
+
 def corrupted(rows: DataFrame, rate: float, seed: int = 7) -> DataFrame:
     """rows with answer replaced, at the rate given, by the answer of another row that differs.
 
-    The next different answer in the order of a hash is taken; rows whose answers are all equal stay as they are.
+    The next different answer in the order of a hash is taken; rows whose answers are all equal or null stay as they are.
     """
     names = rows.columns
-    answers = rows.select("answer").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "answer")))
-    # Distinct answers in the order of their hashes; ranges keep the window's partitions apart.
-    following = Window.partitionBy(F.substring("h", 1, 1)).orderBy("h", "answer")
-    ring = answers.withColumn("other", F.coalesce(F.lead("answer").over(following), F.first("answer").over(following)))
+    counts = rows.filter("answer is not null").groupBy("answer").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "answer")))
+    ring = _following(counts.select("answer", "h")).join(counts.select("answer", "n"), "answer")
     hit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32))
-    return rows.join(ring.select("answer", "other"), "answer", "left").withColumn("corrupted", hit & (F.col("other") != F.col("answer"))).withColumn("answer", F.when(F.col("corrupted"), F.col("other")).otherwise(F.col("answer"))).select(*names, "corrupted")
+    out = spread_join(rows.filter("answer is not null"), ring, "answer", "n", rows.count()).withColumn("corrupted", F.coalesce(hit, F.lit(False)) & (F.col("other") != F.col("answer")))
+    out = out.withColumn("answer", F.when(F.col("corrupted"), F.col("other")).otherwise(F.col("answer"))).select(*names, "corrupted")
+    return out.unionByName(rows.filter("answer is null").withColumn("corrupted", F.lit(False)))
 
 
 def budget_prefixes(rows: DataFrame, budgets: list[int], seed: int = 7) -> DataFrame:

@@ -25,24 +25,38 @@ def scored(solutions: DataFrame, predictions: DataFrame, position: str = "pos")
     return df.withColumn("correct", ~F.col("missing") & is_correct(F.col("answer"), F.coalesce("prediction", F.lit("None"))))
 
 
+def with_prompts(solutions: DataFrame, predictions: DataFrame, prompt: str = "prompt", position: str = "pos") -> DataFrame:
+    """solutions with their prompt: their own column if they have one, else that of the predictions, else null.
+
+    Which one is decided by the columns there are, not row by row.
+    """
+    if prompt in solutions.columns:
+        return solutions
+    if prompt not in predictions.columns:
+        return solutions.withColumn(prompt, F.lit(None).cast("string"))
+    held = predictions.groupBy(F.col("id").cast("string").alias("__id")).agg(F.max_by(prompt, position).alias(prompt))
+    return solutions.join(held, solutions["id"].cast("string") == held["__id"], "left").drop("__id")
+
+
 def accuracy_rollup(rows: DataFrame, by: str) -> DataFrame:
     """(group, total, n_correct, accuracy): each group and, as '__all__', all rows, in one pass."""
     df = rows.rollup(by).agg(F.count("*").alias("total"), F.count_if("correct").alias("n_correct"), F.grouping(by).alias("g"))
     return df.select(F.when(F.col("g") == 1, "__all__").otherwise(F.col(by)).alias("group"), "total", "n_correct", F.round(F.col("n_correct") / F.col("total"), 6).alias("accuracy"))
 
 
-def bootstrap_interval(rows: DataFrame, reps: int = 200, level: float = 0.95) -> DataFrame:
-    """(lo, hi) of the mean of `correct` by Poisson-free hashed resampling.
+def bootstrap_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95) -> DataFrame:
+    """(lo, hi) of the mean of `correct` by hashed resampling.
 
-    rows: pos (0 .. n-1) and correct. Draw j of replicate r takes the row at md5(r, j) mod n; so replicates are equal in
-    any engine. Rows are only joined by equal positions. For tables beyond a driver's reach use binomial_interval().
+    Draw j of replicate r takes place md5(r, j) mod n; the correct rows stand at the first places, as their order tells
+    nothing. So replicates are equal in any engine, need two counts of the rows, and are counted where they are drawn.
+    For tables whose reps * n draws are too many use binomial_interval().
     """
-    n = rows.count()
-    if not n:
+    r = rows.agg(F.count("*").alias("n"), F.count_if("correct").alias("k")).first()
+    if not r.n:
         raise ValueError("no rows to resample")
-    draws = rows.sparkSession.range(reps).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    at = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % n
-    means = draws.select("r", at.alias("pos")).join(rows.select("pos", F.col("correct").cast("double").alias("c")), "pos").groupBy("r").agg(F.avg("c").alias("m"))
+    draws = rows.sparkSession.range(reps * r.n).select(F.floor(F.col("id") / r.n).cast("long").alias("r"), (F.col("id") % r.n).alias("j"))
+    at = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % r.n
+    means = draws.groupBy("r").agg((F.count_if(at < r.k) / r.n).alias("m"))
     a = (1 - level) / 2
     return means.agg(F.round(F.percentile("m", F.lit(a)), 6).alias("lo"), F.round(F.percentile("m", F.lit(1 - a)), 6).alias("hi"))
 

@@ -1,4 +1,4 @@
-"""Rule inference from prompts (P13-P19, R1-R16): each solver adds predicted and status to rows of its family.
+"""Rule inference from prompts (P13-P19, R1-R16): each solver adds predicted, status, how and steps to rows of its family.
 
 status: derived_match or derived_mismatch (a rule was found; does it give the known answer?), underdetermined (the
 examples leave no rule or the query open), parse_error, unmatched. No answer is ever taken from the known one.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import bits, ciphers, classify, numerals, sequences, symbols
 from gristmill.functions.scoring import is_correct
-from gristmill.functions.text import strip
+from gristmill.functions.text import bound, strip
 
 HEADER = "In Alice's Wonderland, "
 
@@ -63,28 +63,44 @@ def symbol_parts(prompt: Column) -> tuple[Column, Column]:
     return line_pairs(prompt, " = "), strip(_first(prompt, r"(?is)Now, determine the result for:\s*(.*?)\z"))
 
 
-def _closed(rows: DataFrame, parsed: Column, predicted: Column) -> DataFrame:
-    """rows with predicted and status."""
+def _closed(rows: DataFrame, parsed: Column, predicted: Column, how: Column, steps: Column) -> DataFrame:
+    """rows with predicted, status, how (the method that found the rule) and steps (what was done, line by line)."""
     df = rows.withColumn("predicted", predicted)
     good = is_correct(F.col("answer"), F.col("predicted"))
-    return df.withColumn("status", F.when(~F.coalesce(parsed, F.lit(False)), "parse_error").when(F.col("predicted").isNull(), "underdetermined").when(good, "derived_match").otherwise("derived_mismatch"))
+    df = df.withColumn("status", F.when(~F.coalesce(parsed, F.lit(False)), "parse_error").when(F.col("predicted").isNull(), "underdetermined").when(good, "derived_match").otherwise("derived_mismatch"))
+    found = F.col("predicted").isNotNull()
+    return df.withColumns({"how": F.when(found, how), "steps": F.when(found, steps)})
+
+
+def _lines(*parts) -> Column:
+    """Texts and arrays of texts as lines."""
+    return F.array_join(F.concat(*(F.array(F.lit(x)) if isinstance(x, str) else x for x in parts)), "\n")
+
+
+def _line(*parts) -> Column:
+    return F.array(F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts)))
 
 
 def _ratio_solver(parts: Callable[[Column], tuple[Column, Column]], square: bool) -> Callable[[DataFrame], DataFrame]:
     def solve(rows: DataFrame) -> DataFrame:
         pairs, query = parts(F.col("prompt"))
         df = rows.withColumn("__pairs", pairs).withColumn("__q", query)
-        df = df.withColumn("__k", sequences.shared_interval(F.col("__pairs"), square)["k"])
-        value = F.col("__k") * (0.5 * F.col("__q") * F.col("__q") if square else F.col("__q"))
-        out = _closed(df, (F.size("__pairs") > 0) & F.col("__q").isNotNull(), numerals.two_decimals(value))
-        return out.drop("__pairs", "__q", "__k")
+        df = df.withColumn("__s", sequences.shared_interval(F.col("__pairs"), square))
+        k, q = F.col("__s.k"), F.col("__q")
+        value = k * (0.5 * q * q if square else q)
+        law = "y = k x^2 / 2" if square else "y = k x"
+        each = F.transform("__pairs", lambda p: F.concat(F.lit("x = "), numerals.two_decimals(p["x"]), F.lit(", y = "), numerals.two_decimals(p["y"]), F.lit(": k is about "), F.coalesce(F.round(p["y"] / (0.5 * p["x"] * p["x"] if square else p["x"]), 6).cast("string"), F.lit("unknown"))))
+        steps = _lines(f"The examples follow {law} with one unknown constant k.", each, _line(F.when(F.col("__s.how") == "interval", "All of them allow the same k; the middle of what rounding leaves is ").otherwise("They allow no common k; least squares give "), F.round(k, 6), "."), _line("For x = ", numerals.two_decimals(q), ", y = ", numerals.two_decimals(value), "."))
+        out = _closed(df, (F.size("__pairs") > 0) & q.isNotNull(), numerals.two_decimals(value), F.col("__s.how"), steps)
+        return out.drop("__pairs", "__q", "__s")
 
     return solve
 
 
 def solve_numeral(rows: DataFrame) -> DataFrame:
     df = rows.withColumn("__q", numeral_query(F.col("prompt")))
-    return _closed(df, F.col("__q").isNotNull(), numerals.to_roman(F.col("__q"))).drop("__q")
+    steps = _lines("The examples write numbers in Roman numerals.", _line(F.col("__q"), " is taken apart from the largest value down: ", F.array_join(numerals.greedy_steps(F.col("__q")), ", "), "."), _line("Put together: ", numerals.to_roman(F.col("__q")), "."))
+    return _closed(df, F.col("__q").isNotNull(), numerals.to_roman(F.col("__q")), F.lit("roman"), steps).drop("__q")
 
 
 def solve_bits(rows: DataFrame) -> DataFrame:
@@ -92,85 +108,85 @@ def solve_bits(rows: DataFrame) -> DataFrame:
     examples, query = bit_parts(F.col("prompt"))
     df = rows.repartition(F.col("id")).withColumn("__e", examples).withColumn("__q", query)
     parsed = (F.size("__e") > 0) & F.col("__q").isNotNull()
-    return _closed(df, parsed, F.when(parsed, bits.derived(F.col("__e"), F.col("__q")))).drop("__e", "__q")
+    df = df.withColumn("__d", F.when(parsed, bits.derived(F.col("__e"), F.col("__q"))))
+    affine = F.coalesce(F.col("__d.affine"), F.array().cast("array<boolean>"))
+    each = F.transform(affine, lambda x, i: F.concat(F.lit("Bit "), (i + 1).cast("string"), F.when(x, ": an exclusive or of input bits fits every example; the query gives ").otherwise(": a table over a few input bits fits every example; the query gives "), F.substring(F.col("__d.out"), i + 1, F.lit(1)), F.lit(".")))
+    steps = _lines("Each output bit is looked for as an exclusive or of input bits, or else as a table of at most three of them.", each, _line("Together: ", F.col("__d.out"), "."))
+    how = F.when(F.forall(affine, lambda x: x), "affine").otherwise("table")
+    return _closed(df, parsed, F.col("__d.out"), how, steps).drop("__e", "__q", "__d")
 
 
 def solve_cipher(rows: DataFrame) -> DataFrame:
     pairs, query = cipher_parts(F.col("prompt"))
     df = rows.withColumn("__pairs", pairs).withColumn("__q", query)
     df = df.withColumn("__f", ciphers.fill(F.col("__q"), F.col("__pairs")))
+    known = F.array_sort(F.transform(F.map_entries(ciphers.char_map(F.col("__pairs"))), lambda x: F.concat(x["key"], F.lit(" is "), x["value"])))
+    words = F.zip_with(F.filter(F.split("__q", " +"), lambda w: w != ""), F.split(F.col("__f.text"), " "), lambda c, p: F.concat(c, F.lit(" reads "), p))
+    steps = _lines("Letters at equal places of the examples give the substitution.", _line("Known letters: ", F.array_join(known, ", "), "."), words, _line(F.when(F.col("__f.by_map"), "All letters were known.").otherwise("Letters not seen are settled by the one word of the vocabulary that fits.")))
     found = F.when(F.col("__f.solved"), F.col("__f.text"))
-    return _closed(df, (F.size("__pairs") > 0) & F.col("__q").isNotNull(), found).drop("__pairs", "__q", "__f")
+    return _closed(df, (F.size("__pairs") > 0) & F.col("__q").isNotNull(), found, F.when(F.col("__f.by_map"), "map").otherwise("dictionary"), steps).drop("__pairs", "__q", "__f")
 
 
 _ARITHMETIC = r"^(\d{2})(.)(\d{2})\z"
 
 
-def symbol_examples(rows: DataFrame) -> DataFrame:
-    """A row for each example of arithmetic shape: id, op, results of all candidates and the result shown."""
-    pairs, _ = symbol_parts(F.col("prompt"))
-    ex = rows.select("id", F.explode(pairs).alias("x")).select("id", F.col("x.inp").alias("inp"), F.col("x.out").alias("out"))
-    ex = ex.withColumn("op", F.nullif(F.regexp_extract("inp", _ARITHMETIC, 2), F.lit("")))
-    ex = ex.withColumn("a", F.regexp_extract("inp", _ARITHMETIC, 1).try_cast("bigint")).withColumn("b", F.regexp_extract("inp", _ARITHMETIC, 3).try_cast("bigint"))
-    return ex.withColumn("results", symbols.results(F.col("a"), F.col("b")))
+def _operation(text: Column, results: Callable[[Column, Column], Column]) -> Column:
+    """struct<op, results> of two numbers around a sign; op is null for other texts."""
+    a, b = (F.regexp_extract(text, _ARITHMETIC, k).try_cast("bigint") for k in (1, 3))
+    return F.struct(F.nullif(F.regexp_extract(text, _ARITHMETIC, 2), F.lit("")).alias("op"), bound(F.struct(a.alias("a"), b.alias("b")), lambda x: results(x["a"], x["b"])).alias("results"))
+
+
+def operator_rules(pairs: Column, results: Callable[[Column, Column], Column] = symbols.results) -> Column:
+    """array<struct<op, rules>>: of each operator of the examples, the places of all candidates that give its examples.
+
+    The op null stands for left sides that are no operation; it has no rules.
+    """
+    examples = F.transform(pairs, lambda p: F.struct(_operation(p["inp"], results).alias("x"), p["out"].alias("out")))
+
+    def ruled(es: Column) -> Column:
+        def rules(op: Column) -> Column:
+            own = F.filter(es, lambda e: e["x"]["op"].eqNullSafe(op))
+            fits = F.filter(F.sequence(F.lit(0), F.size(own[0]["x"]["results"]) - 1), lambda k: F.forall(own, lambda e: F.coalesce(F.get(e["x"]["results"], k) == e["out"], F.lit(False))))
+            return F.struct(op.alias("op"), F.when(op.isNotNull(), fits).otherwise(F.array().cast("array<int>")).alias("rules"))
 
+        return F.transform(F.array_distinct(F.transform(es, lambda e: e["x"]["op"])), rules)
 
-def symbol_rules(rows: DataFrame) -> DataFrame:
-    """(id, op, rule): the first candidate that gives all examples of an operator; rule is null if none does."""
-    fits = symbol_examples(rows).select("id", "op", F.transform("results", lambda r: F.coalesce(r == F.col("out"), F.lit(False))).alias("fits"))
-    n = len(symbols.catalogue(F.lit(1), F.lit(1)))
-    every = fits.groupBy("id", "op").agg(*(F.bool_and(F.col("fits")[k]).alias(f"f{k}") for k in range(n)))
-    return every.select("id", "op", F.coalesce(*(F.when(F.col(f"f{k}"), k) for k in range(n))).alias("rule"))
+    return bound(examples, ruled)
 
 
-def by_arithmetic(rows: DataFrame) -> DataFrame:
-    """(id, predicted): every lhs and the query are two numbers around a sign, and every operator has a rule."""
-    _, query = symbol_parts(F.col("prompt"))
-    rules = symbol_rules(rows).groupBy("id").agg(F.bool_and(F.col("op").isNotNull() & F.col("rule").isNotNull()).alias("all"), F.collect_list(F.struct("op", "rule")).alias("rules"))  # an operator each
-    q = rows.select("id", query.alias("q")).join(rules.filter("all"), "id")
-    q = q.withColumn("op", F.regexp_extract("q", _ARITHMETIC, 2)).withColumn("a", F.regexp_extract("q", _ARITHMETIC, 1).try_cast("bigint")).withColumn("b", F.regexp_extract("q", _ARITHMETIC, 3).try_cast("bigint"))
-    rule = F.get(F.filter("rules", lambda r: r["op"] == F.col("op")), F.lit(0))["rule"]
-    return q.filter(F.col("a").isNotNull()).withColumn("rule", rule).select("id", F.get(symbols.results(F.col("a"), F.col("b")), F.col("rule")).alias("predicted"), symbols.rule_name(F.col("rule")).alias("rule"))
+def by_arithmetic(pairs: Column, query: Column) -> Column:
+    """struct<predicted, rule>: every left side and the query are two numbers around a sign, and every operator has a rule;
+    of several, the first is taken. predicted is null otherwise."""
 
+    def answered(x: Column) -> Column:
+        of = F.get(F.filter(x["rules"], lambda r: r["op"] == x["q"]["op"]), F.lit(0))["rules"]
+        rule = F.when(F.forall(x["rules"], lambda r: F.size(r["rules"]) > 0), F.get(of, F.lit(0)))
+        return F.struct(F.get(x["q"]["results"], rule).alias("predicted"), symbols.rule_name(rule).alias("rule"))
 
-def modal_deletion(pairs: Column) -> Column:
-    """The most frequent loss of length; of equals, the one seen first."""
-    lost = F.transform(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]))
-    ranked = F.transform(F.array_distinct(lost), lambda d: F.struct((-F.size(F.filter(lost, lambda x: x == d))).alias("n"), F.array_position(lost, d).alias("at"), d.alias("d")))
-    return F.array_min(ranked)["d"]
+    return bound(F.struct(operator_rules(pairs).alias("rules"), _operation(query, symbols.results).alias("q")), answered)
 
 
-def by_deletion(rows: DataFrame, max_length: int = 6) -> DataFrame:
-    """(id, predicted): the first set of positions whose deletion leaves a substitution of letters, applied to the query.
+def older_candidates(rows: DataFrame) -> DataFrame:
+    """(id, n_candidates, answers): the older, smaller set of candidates without an order among them.
 
-    A deleted letter is mapped to nothing. Examples that lose another number of letters than most count for nothing.
+    answers are the distinct results of all candidates that fit the query's operator: more than one means that the examples
+    leave the answer open, and none of them is preferred.
     """
     pairs, query = symbol_parts(F.col("prompt"))
-    df = rows.select("id", pairs.alias("pairs"), query.alias("q")).withColumn("d", modal_deletion(F.col("pairs"))).filter("d between 0 and 4 and length(q) > 0")
-    df = df.withColumn("used", F.filter("pairs", lambda p: (F.length(p["inp"]) - F.length(p["out"]) == F.col("d")) & (F.length(p["inp"]) == F.length(F.col("q"))))).filter("size(used) > 0")
-    sets = [(n, d, k, list(c)) for n in range(1, max_length + 1) for d in range(min(n, 4) + 1) for k, c in enumerate(symbols.deletions(n, d))]
-    table = rows.sparkSession.createDataFrame(sets, "len int, d int, nth int, gone array<int>")  # at most 2^max_length rows for each length
-    tried = df.join(table, (F.length("q") == F.col("len")) & (df["d"] == table["d"])).select("id", "q", "used", "nth", "gone")
-
-    def mapped(p: Column) -> Column:
-        kept = F.filter(F.sequence(F.lit(0), F.length(p["inp"]) - 1), lambda i: ~F.array_contains(F.col("gone"), i))
-        chars = F.split(p["inp"], "")
-        return F.concat(F.transform("gone", lambda i: F.struct(chars[i].alias("c"), F.lit("").alias("p"))), F.zip_with(kept, F.split(p["out"], ""), lambda i, o: F.struct(chars[i].alias("c"), F.coalesce(o, F.lit("")).alias("p"))))
-
-    m = tried.withColumn("map", F.array_distinct(F.flatten(F.transform("used", mapped))))
-    ok = m.filter(F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["c"]))))
-    first = ok.groupBy("id").agg(F.min_by(F.struct("q", "gone", "map"), "nth").alias("r")).select("id", "r.*")
-    lookup = F.map_from_entries("map")
-    qs = F.filter(F.transform(F.split("q", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~F.array_contains(F.col("gone"), x["i"]) & (x["c"] != ""))
-    known = F.forall(qs, lambda x: F.map_contains_key(lookup, x["c"]))
-    return first.filter(known).select("id", F.array_join(F.transform(qs, lambda x: F.try_element_at(lookup, x["c"])), "").alias("predicted"))
+    x = bound(F.struct(operator_rules(pairs, symbols.older_results).alias("rules"), _operation(query, symbols.older_results).alias("q")), lambda x: F.when(F.forall(x["rules"], lambda r: F.size(r["rules"]) > 0), F.transform(F.get(F.filter(x["rules"], lambda r: r["op"] == x["q"]["op"]), F.lit(0))["rules"], lambda k: F.get(x["q"]["results"], k))))
+    df = rows.select("id", F.coalesce(x, F.array().cast("array<string>")).alias("all"))
+    return df.select("id", F.size("all").alias("n_candidates"), F.array_sort(F.array_distinct(F.array_compact("all"))).alias("answers"))
 
 
 def solve_symbol(rows: DataFrame) -> DataFrame:
     pairs, query = symbol_parts(F.col("prompt"))
-    found = by_arithmetic(rows).select("id", F.col("predicted").alias("__a")).join(by_deletion(rows).select("id", F.col("predicted").alias("__d")), "id", "full")
-    df = rows.withColumn("__ok", (F.size(pairs) > 0) & query.isNotNull()).join(found, "id", "left")
-    return _closed(df, F.col("__ok"), F.coalesce("__a", "__d")).drop("__ok", "__a", "__d")
+    df = rows.withColumn("__pairs", pairs).withColumn("__q", query).withColumn("__a", by_arithmetic(F.col("__pairs"), F.col("__q")))
+    df = df.withColumn("__d", F.when(F.col("__a.predicted").isNull(), symbols.deletion_answer(F.col("__pairs"), F.col("__q"))))
+    each = F.transform("__pairs", lambda p: F.concat(p["inp"], F.lit(" gives "), p["out"]))
+    by_rule = F.concat(F.lit("Every operator has a rule that gives all its examples; the query's is "), F.col("__a.rule"), F.lit("."))
+    steps = _lines("The examples are held against the known rules.", each, _line(F.coalesce(by_rule, F.lit("No arithmetic rule fits. Deleting the same places from each left side leaves one substitution of letters."))), _line("For ", F.col("__q"), " it gives ", F.coalesce("__a.predicted", "__d"), "."))
+    how = F.when(F.col("__a.predicted").isNotNull(), "arithmetic").otherwise("deletion")
+    return _closed(df, (F.size("__pairs") > 0) & F.col("__q").isNotNull(), F.coalesce("__a.predicted", "__d"), how, steps).drop("__pairs", "__q", "__a", "__d")
 
 
 @dataclass(frozen=True)
@@ -193,9 +209,13 @@ for _name, _solve in (("gravitational", _ratio_solver(gravity_parts, True)), ("u
 
 
 def solve_all(puzzles: DataFrame) -> DataFrame:
-    """Route each puzzle by the opening of its prompt to its family's solver (R15); the rest are 'unmatched'."""
-    df = puzzles.withColumn("family", classify.family(F.col("prompt")))
-    out = df.filter(~F.col("family").isin(*SOLVERS)).withColumn("predicted", F.lit(None).cast("string")).withColumn("status", F.lit("unmatched"))
+    """Route each puzzle to the solver that takes its beginning (R15, P19); the rest are 'unmatched'.
+
+    A solver tries its methods from the strongest to the weakest and says in `how` which one found the rule.
+    """
+    df = puzzles.withColumn("family", classify.routed_family(F.col("prompt")))
+    none = F.lit(None).cast("string")
+    out = df.filter(~F.col("family").isin(*SOLVERS)).withColumns({"predicted": none, "status": F.lit("unmatched"), "how": none, "steps": none})
     for s in SOLVERS.values():
         out = out.unionByName(s.solve(df.filter(F.col("family") == s.family)))
     return out
@@ -204,5 +224,11 @@ def solve_all(puzzles: DataFrame) -> DataFrame:
 def solution_counts(rows: DataFrame) -> DataFrame:
     """(id, bit, n): how many affine rules each output character leaves open."""
     examples, _ = bit_parts(F.col("prompt"))
-    df = rows.repartition(F.col("id")).select("id", examples.alias("e"))
-    return df.select("id", F.posexplode(F.array(*(F.size(bits.affine_weights(F.col("e"), k)) for k in range(bits.WIDTH)))).alias("bit", "n"))
+    return rows.select("id", examples.alias("e")).select("id", F.posexplode(bits.affine_counts(F.col("e"))).alias("bit", "n"))
+
+
+def affine_only(rows: DataFrame) -> DataFrame:
+    """(id, predicted): the older bit rule, affine in all characters or none, and proved on every example."""
+    examples, query = bit_parts(F.col("prompt"))
+    df = rows.select("id", examples.alias("e"), query.alias("q"))
+    return df.select("id", F.when(F.col("q").isNotNull(), bits.affine_only(F.col("e"), F.col("q"))).alias("predicted"))

@@ -76,14 +76,13 @@ def _lines(pairs: list[tuple[str, str]], arrow: str) -> str:
 
 
 def _roman(n: str) -> str:
-    """Numerals below 100."""
-    tens = "('', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC')"
-    ones = "('', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX')"
+    """Numerals of 1 to 3999, place by place."""
 
-    def case(v: str, names: str) -> str:
-        return f"(CASE {v} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(names.strip("()").split(", "))) + " END)"
+    def place(power: int, one: str, five: str, ten: str) -> str:
+        digits = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+        return f"rtrim(substr('{''.join(x.ljust(4) for x in digits)}', CAST(1 + 4 * (CAST(floor(({n}) / {power}.0) AS BIGINT) % 10) AS INTEGER), 4))"
 
-    return f"({case(f'CAST(floor(({n}) / 10.0) AS BIGINT)', tens)} || {case(f'({n}) % 10', ones)})"
+    return "(" + " || ".join(place(*x) for x in ((1000, "M", "", ""), (100, "C", "D", "M"), (10, "X", "L", "C"), (1, "I", "V", "X"))) + ")"
 
 
 #: family: (prompt, answer) as SQL over k.
@@ -102,9 +101,9 @@ VIEWS = {
     ),
     "numeral": (
         f"'{_A}numbers are secretly converted into a different numeral system. Some examples are given below:' || chr(10) || "
-        + " || chr(10) || ".join(f"CAST(1 + (k + {i * 17}) % 99 AS STRING) || ' -> ' || {_roman(f'1 + (k + {i * 17}) % 99')}" for i in range(3))
-        + " || chr(10) || 'Now, write the number ' || CAST(1 + (k * 7) % 99 AS STRING) || ' in the Wonderland numeral system.'",
-        _roman("1 + (k * 7) % 99"),
+        + " || chr(10) || ".join(f"CAST(1 + (k * 11 + {i * 1217}) % 3999 AS STRING) || ' -> ' || {_roman(f'1 + (k * 11 + {i * 1217}) % 3999')}" for i in range(3))
+        + " || chr(10) || 'Now, write the number ' || CAST(1 + (k * 7) % 3999 AS STRING) || ' in the Wonderland numeral system.'",
+        _roman("1 + (k * 7) % 3999"),
     ),
     "encrypt": (
         f"'{_A}secret encryption rules are used on text. Here are some examples:' || chr(10) || "
@@ -127,8 +126,19 @@ VIEWS = {
 }
 
 
+#: Conversions that allow no common constant, so that least squares have to give one.
+NOISY = {
+    "unit_noisy": (
+        f"'{_A}a secret unit conversion is applied to measurements. For example:' || chr(10) || "
+        + " || chr(10) || ".join(f"{_dec(_x(i))} || ' m becomes ' || {_dec(f'({_converted(i)} + ((k + {i}) % 3) * 7)')}" for i in range(4))
+        + f" || chr(10) || 'Now, convert the following measurement: ' || {_dec(_x(9))} || ' m'",
+        _dec(_converted(9)),
+    ),
+}
+
+
 def view_sql(family: str, part: str = "part") -> str:
-    prompt, answer = VIEWS[family]
+    prompt, answer = {**VIEWS, **NOISY}[family]
     return f"SELECT '{family}-' || CAST(k AS STRING) AS id, k AS pos, {prompt} AS prompt, {answer} AS answer FROM (SELECT p_partkey AS k FROM {part}) v"
 
 
@@ -142,7 +152,7 @@ def puzzles_sql(part: str = "part") -> str:
 
 def view(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """The puzzles of one family."""
-    return spark.sql(view_sql(family, "{part}"), part=table(spark, sf_dir, "part")).persist()
+    return spark.sql(view_sql(family, "{part}"), part=table(spark, sf_dir, "part"))
 
 
 def puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:

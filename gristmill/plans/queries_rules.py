@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import bits, ciphers, numerals, sequences
 from gristmill.operators import dataset, rules
 from gristmill.plans.catalog import query, table
-from gristmill.plans.puzzles import puzzles, puzzles_sql, view, view_sql
+from gristmill.plans.puzzles import VIEWS, puzzles, puzzles_sql, view, view_sql
 
 _ROMAN = """['', 'M', 'MM', 'MMM'][{0} // 1000 + 1] || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][{0} // 100 % 10 + 1]
  || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][{0} // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][{0} % 10 + 1]"""
@@ -109,23 +109,74 @@ def interval_constant_linear(spark, sf_dir):
     return _ratio(spark, sf_dir, "unit_conversion", rules.unit_parts, False)
 
 
+@query("interval_constant_noisy", _RATIO.format(view=view_sql("unit_noisy"), pair=r"([\d.]+) m becomes ([\d.]+)", d="CAST(x AS DOUBLE)"))
+def interval_constant_noisy(spark, sf_dir):
+    return _ratio(spark, sf_dir, "unit_noisy", rules.unit_parts, False)
+
+
 def _solved(family: str):
     def run(spark, sf_dir):
-        return rules.SOLVERS[family].solve(view(spark, sf_dir, family)).groupBy("status").agg(F.count("*").alias("n"))
+        return rules.SOLVERS[family].solve(view(spark, sf_dir, family)).select("id", "predicted", "status", "how")
 
     return run
 
 
-for _family in ("gravitational", "unit_conversion", "numeral"):
-    query(f"{_family}_solve", f"SELECT 'derived_match' AS status, count(*) AS n FROM ({view_sql(_family)})")(_solved(_family))
-query("encrypt_solve")(lambda spark, sf_dir: rules.SOLVERS["encrypt"].solve(view(spark, sf_dir, "encrypt")).select("id", "predicted", "status"))
-query("symbol_solve")(lambda spark, sf_dir: rules.SOLVERS["symbol"].solve(view(spark, sf_dir, "symbol")).select("id", "predicted", "status"))
+_NEAR = "abs(CAST(predicted AS DOUBLE) - CAST(answer AS DOUBLE)) <= greatest(0.01 * greatest(abs(CAST(predicted AS DOUBLE)), abs(CAST(answer AS DOUBLE))), 0.00001)"
+for _family, _pair, _ask, _d, _y in (
+    ("gravitational", r"t = ([\d.]+)s, distance = ([\d.]+)", r"for t = ([\d.]+)s given", "0.5 * CAST(x AS DOUBLE) * CAST(x AS DOUBLE)", "k * (0.5 * q * q)"),
+    ("unit_conversion", r"([\d.]+) m becomes ([\d.]+)", r"measurement: ([\d.]+) m", "CAST(x AS DOUBLE)", "k * q"),
+):
+    query(
+        f"{_family}_solve",
+        f"""WITH s AS ({_RATIO.format(view=view_sql(_family), pair=_pair, d=_d).replace("round(CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ls END, 6) AS k", "CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ls END AS k")}),
+v AS (SELECT id, answer, how, format('{{:.2f}}', {_y}) AS predicted FROM s JOIN (SELECT id, answer, CAST(regexp_extract(prompt, '{_ask}', 1) AS DOUBLE) AS q FROM ({view_sql(_family)})) USING (id))
+SELECT id, predicted, CASE WHEN {_NEAR} THEN 'derived_match' ELSE 'derived_mismatch' END AS status, how FROM v""",
+    )(_solved(_family))
+query("numeral_solve", f"SELECT id, {_ROMAN.format('q')} AS predicted, 'derived_match' AS status, 'roman' AS how FROM (SELECT id, CAST(regexp_extract(prompt, 'write the number ([0-9]+)', 1) AS BIGINT) AS q FROM ({view_sql('numeral')}))")(_solved("numeral"))
+#: The view's ciphers can all be solved: the answer is the oracle. Whether the vocabulary is needed follows from the letters shown.
+_SHOWN = "regexp_replace(regexp_replace(array_to_string(regexp_extract_all(prompt, '(?m)^(.*) -> .*$', 1), ''), '[^a-z]', '', 'g'), '^$', ' ')"
+query("encrypt_solve", f"SELECT id, answer AS predicted, 'derived_match' AS status, CASE WHEN translate(regexp_extract(prompt, 'following text: (.*)$', 1), {_SHOWN} || ' ', '') = '' THEN 'map' ELSE 'dictionary' END AS how FROM ({view_sql('encrypt')})")(_solved("encrypt"))
+
+
+def _symbol_candidates() -> list[str]:
+    """SQL of the text of every arithmetic candidate, in the order in which they are tried."""
+
+    def t(x: str) -> str:
+        return f"CAST({x} AS VARCHAR)"
+
+    def rev(x: str) -> str:
+        return f"reverse({t(x)})"
+
+    ra, rb = (f"CAST({rev(x)} AS BIGINT)" for x in "ab")
+    plain, turned = ["a + b", "a - b", "b - a", "a * b"], [f"{ra} + {rb}", f"{ra} - {rb}", f"{rb} - {ra}", f"{ra} * {rb}"]
+    out = [t(x) for x in (*plain[:3], "abs(a - b)", "a // nullif(b, 0)", "b // nullif(a, 0)", "a % nullif(b, 0)", "b % nullif(a, 0)", plain[3], *turned)]
+    out += [rev("a // nullif(b, 0)"), rev("b // nullif(a, 0)")]
+    for x in plain:
+        out += [rev(x), *(t(f"({x}) + {k}") for k in (1, -1, 2, -2))]
+    for x in turned:
+        out += [rev(x), *(t(f"({x}) + {k}") for k in (1, -1))]
+    out += [f"{t(f'a // 10 {p} b // 10')} || {t(f'a % 10 {q} b % 10')}" if p != "*" else f"{t('(a // 10) * (b // 10)')} || {t(f'(a % 10) {q} (b % 10)')}" for p in "+-*" for q in "+-*"]
+    out = [x.replace("a % 10 * b % 10", "(a % 10) * (b % 10)") for x in out]
+    return out + ["a || '' || b", "b || '' || a", "reverse(a || '' || b)", "reverse(b || '' || a)"]
+
+
+def _symbol_sql(of: str) -> str:
+    every = "[" + ", ".join(_symbol_candidates()) + "]"
+    return f"""WITH p AS ({of}), e AS (SELECT id, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 1)) AS a, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 2)) AS b, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 3)) AS o FROM p),
+c AS (SELECT id, o, {every} AS rs FROM (SELECT id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, o FROM e)),
+k AS (SELECT id, min(n) AS n FROM (SELECT id, n FROM c, range(1, 61) r(n) GROUP BY 1, 2 HAVING bool_and(coalesce(rs[n] = o, false))) GROUP BY 1),
+q AS (SELECT id, answer, {every} AS rs FROM (SELECT id, answer, CAST(regexp_extract(prompt, 'result for: ([0-9]{{2}})@', 1) AS BIGINT) AS a, CAST(regexp_extract(prompt, 'result for: [0-9]{{2}}@([0-9]{{2}})', 1) AS BIGINT) AS b FROM p)),
+v AS (SELECT id, answer, rs[n] AS predicted FROM q LEFT JOIN k USING (id))
+SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN CASE WHEN regexp_full_match(answer, '[01]+') THEN predicted = answer WHEN TRY_CAST(predicted AS DOUBLE) IS NOT NULL THEN {_NEAR} ELSE predicted = answer END THEN 'derived_match' ELSE 'derived_mismatch' END AS status, CASE WHEN predicted IS NOT NULL THEN 'arithmetic' END AS how FROM v"""
+
+
+query("symbol_solve", _symbol_sql(view_sql("symbol")))(_solved("symbol"))
 
 _BITS = r"""p AS ({view}), e AS (SELECT id, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 1)) AS i, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 2)) AS o FROM p),
-x AS (SELECT id, o, (SELECT sum(CAST(substr(i, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS x FROM e)""".format(view=view_sql("bitmanip"))
+x AS (SELECT id, o, (SELECT sum(CAST(substr(i, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS x FROM e)"""
 
 
-@query("gf2_solution_count", f"WITH {_BITS}, f AS (SELECT id, b, w, bool_and(bit_count(CAST(x AS BIGINT) & w) % 2 = CAST(substr(o, CAST(b AS INTEGER) + 1, 1) AS INTEGER)) AS ok FROM x, range(512) s(w), range(8) t(b) GROUP BY 1, 2, 3) SELECT id, CAST(b AS INTEGER) AS bit, CAST(count(*) FILTER (ok) AS INTEGER) AS n FROM f GROUP BY 1, 2")
+@query("gf2_solution_count", f"WITH {_BITS.format(view=view_sql('bitmanip'))}, f AS (SELECT id, b, w, bool_and(bit_count(CAST(x AS BIGINT) & w) % 2 = CAST(substr(o, CAST(b AS INTEGER) + 1, 1) AS INTEGER)) AS ok FROM x, range(512) s(w), range(8) t(b) GROUP BY 1, 2, 3) SELECT id, CAST(b AS INTEGER) AS bit, CAST(count(*) FILTER (ok) AS INTEGER) AS n FROM f GROUP BY 1, 2")
 def gf2_solution_count(spark, sf_dir):
     return rules.solution_counts(view(spark, sf_dir, "bitmanip"))
 
@@ -133,27 +184,62 @@ def gf2_solution_count(spark, sf_dir):
 _SUPPORTS = ", ".join(f"({k}, {m})" for k, m in enumerate(bits.SUPPORTS))
 
 
-@query(
-    "bitmanip_solve",
-    f"""WITH {_BITS}, q AS (SELECT id, (SELECT sum(CAST(substr(s, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS q FROM (SELECT id, regexp_extract(prompt, 'output for: ([01]+)', 1) AS s FROM p)),
+def _bitmanip_sql(of: str) -> str:
+    return f"""WITH {_BITS.format(view=of)}, q AS (SELECT id, (SELECT sum(CAST(substr(s, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS q FROM (SELECT id, regexp_extract(prompt, 'output for: ([01]+)', 1) AS s FROM p)),
 y AS (SELECT id, CAST(b AS INTEGER) AS b, CAST(x AS BIGINT) AS x, CAST(q AS BIGINT) AS q, CAST(substr(o, CAST(b AS INTEGER) + 1, 1) AS INTEGER) AS t FROM x JOIN q USING (id), range(8) r(b)),
 aff AS (SELECT id, b, min(w) AS w FROM (SELECT id, b, w FROM y, range(512) s(w) GROUP BY 1, 2, 3 HAVING bool_and(bit_count(x & w) % 2 = t)) GROUP BY 1, 2),
 tab AS (SELECT id, b, arg_min(v, nth) AS v FROM (SELECT id, b, nth, max(t) FILTER (x & m = q & m) AS v FROM y ANTI JOIN aff USING (id, b), (VALUES {_SUPPORTS}) s(nth, m)
  GROUP BY 1, 2, 3 HAVING count(DISTINCT x & m) = count(DISTINCT (x & m) * 2 + t) AND bool_or(x & m = q & m)) GROUP BY 1, 2),
 one AS (SELECT DISTINCT y.id, y.b, coalesce(bit_count(y.q & w) % 2, v) AS v FROM y LEFT JOIN aff USING (id, b) LEFT JOIN tab USING (id, b)),
-a AS (SELECT id, CASE WHEN count(v) = 8 THEN string_agg(CAST(v AS VARCHAR), '' ORDER BY b) END AS predicted FROM one GROUP BY 1)
-SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN predicted = answer THEN 'derived_match' ELSE 'derived_mismatch' END AS status FROM a JOIN p USING (id)""",
+a AS (SELECT id, CASE WHEN count(v) = 8 THEN string_agg(CAST(v AS VARCHAR), '' ORDER BY b) END AS predicted FROM one GROUP BY 1),
+n AS (SELECT id, count(*) AS n FROM aff GROUP BY 1)
+SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN predicted = answer THEN 'derived_match' ELSE 'derived_mismatch' END AS status, CASE WHEN predicted IS NULL THEN NULL WHEN n = 8 THEN 'affine' ELSE 'table' END AS how FROM a JOIN p USING (id) LEFT JOIN n USING (id)"""
+
+
+query("bitmanip_solve", _bitmanip_sql(view_sql("bitmanip")))(_solved("bitmanip"))
+
+
+@query(
+    "affine_only",
+    f"""WITH {_BITS.format(view=view_sql('bitmanip'))}, q AS (SELECT id, (SELECT sum(CAST(substr(s, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS q FROM (SELECT id, regexp_extract(prompt, 'output for: ([01]+)', 1) AS s FROM p)),
+w AS (SELECT id, b, min(w) AS w FROM (SELECT id, b, w FROM x, range(512) s(w), range(8) t(b) GROUP BY 1, 2, 3 HAVING bool_and(bit_count(CAST(x AS BIGINT) & w) % 2 = CAST(substr(o, CAST(b AS INTEGER) + 1, 1) AS INTEGER))) GROUP BY 1, 2)
+SELECT id, CASE WHEN count(w) = 8 THEN string_agg(CAST(bit_count(CAST(q AS BIGINT) & w) % 2 AS VARCHAR), '' ORDER BY b) END AS predicted FROM q LEFT JOIN w USING (id) GROUP BY id""",
+)
+def affine_only(spark, sf_dir):
+    return rules.affine_only(view(spark, sf_dir, "bitmanip"))
+
+
+@query(
+    "older_candidates",
+    f"""WITH p AS ({view_sql('symbol')}), e AS (SELECT id, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 1)) AS a, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 2)) AS b, unnest(regexp_extract_all(prompt, '([0-9]{{2}})@([0-9]{{2}}) = (.*)', 3)) AS o FROM p
+ UNION ALL SELECT id, regexp_extract(prompt, 'result for: ([0-9]{{2}})@', 1), regexp_extract(prompt, 'result for: [0-9]{{2}}@([0-9]{{2}})', 1), NULL FROM p),
+n AS (SELECT id, o, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(reverse(a) AS BIGINT) AS ra, CAST(reverse(b) AS BIGINT) AS rb FROM e),
+c AS (SELECT id, o, unnest(range(18)) AS n, unnest([CAST(a + b AS VARCHAR), CAST(a - b AS VARCHAR), CAST(b - a AS VARCHAR), CAST(a * b AS VARCHAR), a || '' || b, b || '' || a, CAST(abs(a - b) AS VARCHAR), CAST(a // b AS VARCHAR), CAST(a % b AS VARCHAR), CAST(b // a AS VARCHAR), CAST(b % a AS VARCHAR),
+ CAST(ra + rb AS VARCHAR), reverse(CAST(ra + rb AS VARCHAR)), CAST(ra - rb AS VARCHAR), CAST(rb - ra AS VARCHAR), CAST(abs(ra - rb) AS VARCHAR), ra || '' || rb, rb || '' || ra]) AS r FROM n),
+f AS (SELECT id, n, max(r) FILTER (o IS NULL) AS answer FROM c GROUP BY 1, 2 HAVING bool_and(o IS NULL OR r = o))
+SELECT p.id, CAST(count(f.n) AS INTEGER) AS n_candidates, coalesce(list_sort(list(DISTINCT f.answer) FILTER (f.answer IS NOT NULL)), []) AS answers FROM p LEFT JOIN f ON f.id = p.id GROUP BY p.id""",
 )
-def bitmanip_solve(spark, sf_dir):
-    return rules.SOLVERS["bitmanip"].solve(view(spark, sf_dir, "bitmanip")).select("id", "predicted", "status")
+def older_candidates(spark, sf_dir):
+    return rules.older_candidates(view(spark, sf_dir, "symbol"))
+
+
+def _mixed(n: int) -> str:
+    return f"SELECT id, prompt, answer FROM ({puzzles_sql()}) WHERE pos % 7 = {n}"
 
 
-@query("status_counts")
+_FAMILIES = list(VIEWS)
+
+
+@query(
+    "status_counts",
+    f"""SELECT family, status, count(*) AS n FROM (SELECT 'bitmanip' AS family, status FROM ({_bitmanip_sql(_mixed(_FAMILIES.index('bitmanip')))}) UNION ALL SELECT 'symbol', status FROM ({_symbol_sql(_mixed(_FAMILIES.index('symbol')))})
+ UNION ALL SELECT CASE pos % 7 {' '.join(f"WHEN {n} THEN '{f}'" for n, f in enumerate(_FAMILIES))} ELSE '__other__' END, CASE WHEN pos % 7 = 6 THEN 'unmatched' ELSE 'derived_match' END FROM ({puzzles_sql()}) WHERE pos % 7 NOT IN ({_FAMILIES.index('bitmanip')}, {_FAMILIES.index('symbol')})) GROUP BY 1, 2""",
+)
 def status_counts(spark, sf_dir):
     return dataset.status_counts(dataset.assembled(puzzles(spark, sf_dir)))
 
 
-@query("dataset_union_cap", f"SELECT id, pos FROM ({puzzles_sql()}) ORDER BY pos LIMIT 100")
+@query("dataset_union_cap", f"SELECT source_ix, id, pos FROM (SELECT 0 AS source_ix, id, pos FROM ({puzzles_sql()}) WHERE pos <= 70 UNION ALL SELECT 1, id, pos FROM ({view_sql('numeral')}) WHERE pos % 3 = 0) ORDER BY source_ix, pos LIMIT 100")
 def dataset_union_cap(spark, sf_dir):
-    one = puzzles(spark, sf_dir)
-    return dataset.capped_union([one, one], 100).select("id", "pos")
+    one, two = puzzles(spark, sf_dir).filter("pos <= 70"), view(spark, sf_dir, "numeral").filter("pos % 3 = 0")
+    return dataset.capped_union([one, two], 100).select("source_ix", "id", "pos")

@@ -238,16 +238,12 @@ def cv_last_prediction_wins(spark, sf_dir):
 
 @query(
     "bootstrap_ci_hashed",
-    """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(quality AS DOUBLE) AS c FROM labels), n AS (SELECT count(*) AS n FROM r),
-d AS (SELECT r, ('0x' || substr(md5(r || '-' || j), 1, 8))::BIGINT % n AS pos FROM range(200) a(r), n, range(n) b(j)),
-m AS (SELECT d.r, avg(c) AS m FROM d JOIN r USING (pos) GROUP BY 1)
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS k FROM labels),
+m AS (SELECT r, count(*) FILTER (('0x' || substr(md5(r || '-' || j), 1, 8))::BIGINT % n < k) / any_value(n) AS m FROM range(1000) a(r), n, range(n) b(j) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
 )
 def bootstrap_ci_hashed(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    flags = table(spark, sf_dir, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"), (F.col("quality") == 1).alias("correct"))
-    return evaluate.bootstrap_interval(flags)
+    return evaluate.bootstrap_interval(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct")))
 
 
 _SPLIT = """SELECT doc_id, lang, CASE WHEN rank <= greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END AS split
@@ -291,7 +287,7 @@ def acceptance_rate(spark, sf_dir):
 
 _CORRUPT = """WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) || CAST(doc_id % 5 AS VARCHAR) AS answer FROM labels),
 a AS (SELECT answer, md5('7:' || answer) AS h FROM (SELECT DISTINCT answer FROM r)),
-g AS (SELECT answer, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other FROM a WINDOW w AS (PARTITION BY substr(h, 1, 1) ORDER BY h, answer))
+g AS (SELECT answer, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other FROM a WINDOW w AS (ORDER BY h, answer))
 SELECT id, CASE WHEN c THEN other ELSE answer END AS answer, c AS corrupted FROM (SELECT id, answer, other, ('0x' || substr(md5('7:' || id), 1, 8))::BIGINT < 1288490188 AND other <> answer AS c FROM r JOIN g USING (answer))"""
 
 
