@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +136,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: Column
     return [(r.y, bytes(r.body)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which a worker gives back what memory Arrow holds for batches to come.
+
+    Workers are reused: without this, each keeps the most that any of its tasks needed.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(whole, schema)
+
+
 class BoundedCache(dict):
     """What make() gave, for the keys used lately: two generations of at most size entries, so that memory is bounded."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM_TABLE, text_bytes
+from gristmill.llm.common import ALNUM_TABLE, map_batches, text_bytes
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     source = docs.select("doc_id", text_bytes().alias("body"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return map_batches(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "start", "end"])
 
     source = docs.select("doc_id", text_bytes().alias("body"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long")
+    return map_batches(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, end long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -206,4 +206,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep.append(hit is None or not is_contaminated(n, int(hit.sum())))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gristmill.llm.common import BoundedCache, materialise, text_bytes
+from gristmill.llm.common import BoundedCache, map_batches, materialise, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries of each generation of a worker's two token caches.
-CACHE = 250_000
+CACHE = 120_000
 
 
 class Encoder:
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", text_bytes().alias("body")), run, schema)
 
 
 # -- the plan, over a histogram
@@ -341,7 +341,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, places)], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*names, "__rank").mapInArrow(run, schema)
+    return map_batches(ranked.select(*names, "__rank"), run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

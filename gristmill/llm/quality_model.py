@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, labels_once, text_bytes
+from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, labels_once, map_batches, text_bytes
 
 SAMPLE = 2500
 #: The fold that is held out: crc32(doc_id) mod FOLDS = HELD_OUT.
@@ -33,7 +33,7 @@ FOLDS, HELD_OUT = 3, 1
 WORD_BUCKETS = 1 << 15
 STEPS = 12
 FACTORS = 8
-CACHE = 300_000
+CACHE = 150_000
 _SYMBOLS, _CAPITALS, _DIGITS, _PUNCT, _BAR = b"#*$%&<>", bytes(range(65, 91)), b"0123456789", b"!?.,;:", b"|"
 
 
@@ -153,5 +153,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(x.as_py()) for x in batch.column("body")], pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_batches(docs.select("doc_id", text_bytes().alias("body")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(fold_ids(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialise, spread_join, text_bytes
+from gristmill.llm.common import map_batches, materialise, spread_join, text_bytes
 from gristmill.llm.components import components
 
 RADIUS = 3
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(x.as_py())) for x in batch.column("body")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(docs.select("doc_id", text_bytes().alias("body")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 # -- comparison within a task
@@ -223,7 +223,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
         if len(rows):
             yield compared(rows)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def _rooted(own: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def _with_fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(x.as_py() or b"")) for x in bodies], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "__fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -17,23 +17,24 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, text_bytes
+from gristmill.llm.common import ALNUM_TABLE, BoundedCache, fold_ids, labelled_sample, map_batches, text_bytes
 
 #: Documents of each label that fitting takes at most.
 SAMPLE = 2500
 #: The fold that is held out: crc32(doc_id) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 4, 5, 6, 7, 8)
-CACHE = 300_000
+CACHE = 150_000
 _WINDOW = 6
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -71,12 +72,9 @@ class Field:
         self._heads = {f.removeprefix(b"=")[:3] for f in self.weights}  # every feature of a word begins as the word does
         self._cache = BoundedCache(self._evidence, CACHE)
 
-    def __getstate__(self):
+    def state(self) -> tuple:
         return self.weights, self.bias, self.trans, self.calibration
 
-    def __setstate__(self, state):
-        self.__init__(*state)
-
     def _evidence(self, word: bytes) -> float:
         return float(sum(self.weights.get(f, 0.0) for f in features(word))) if word[:3] in self._heads else 0.0
 
@@ -287,16 +285,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
 # -- applying
 
+_fields: dict[str, Field] = {}
+
+
+def _sent(spark: SparkSession, model: Field) -> Callable[[], Field]:
+    """What gives a worker the field: it is made once in each, and takes the place of any other, as its cache is large."""
+    key, state = uuid.uuid4().hex, spark.sparkContext.broadcast(model.state())  # bounded by the sample
+
+    def held() -> Field:
+        if key not in _fields:
+            _fields.clear()
+            _fields[key] = Field(*state.value)
+        return _fields[key]
+
+    return held
+
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans for every document.
 
     spans are the toxic passages: array of start, end (characters of the original text, end exclusive) and probability.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # bounded by the sample
+    held = _sent(docs.sparkSession, train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = held()
         for batch in batches:
             scores, found = zip(*(model.judge(x.as_py()) for x in batch.column("body")), strict=True) if len(batch) else ((), ())
             flat = [s for spans in found for s in spans]
@@ -305,17 +318,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["start", "end", "probability"]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), spans], ["doc_id", "score", "spans"])
 
-    scored = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>")
+    scored = map_batches(docs.select("doc_id", text_bytes().alias("body")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>")
     return scored.select("doc_id", F.coalesce(fold_ids(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below a half, with all their columns, in one pass and without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    held = _sent(docs.sparkSession, train(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held()
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score((x.as_py() or "").encode()) < 0.5 for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([model.score((x.as_py() or "").encode()) < 0.5 for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
