@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Only used where spark.checkpoint.dir is unset and Spark runs in one process.
 LOCAL_SHARED = "/tmp/checkpoints/gristmill"
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 #: A key of more than one HOT_SHARE-th of the rows is hot; SALTS are the parts into which a salted join cuts a key.
 HOT_SHARE, SALTS = 1000, 16
 
@@ -137,10 +139,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, fold: Column
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), after which a worker gives back what memory Arrow holds for batches to come.
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS rows at most, after which a worker gives back what memory Arrow holds.
 
-    Workers are reused: without this, each keeps the most that any of its tasks needed.
+    Batches hold whole texts, so their rows are bounded in the session's setting, unless it has a lower bound. Workers are
+    reused: without giving it back, each keeps the most memory that any of its tasks needed.
     """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
