@@ -33,7 +33,7 @@ from gristmill.llm.common import BoundedCache, map_batches, materialise, text_by
 CAPACITY = 2048
 END_ID = 0
 #: Entries of each generation of a worker's two token caches.
-CACHE = 120_000
+CACHE = 250_000
 
 
 class Encoder:
