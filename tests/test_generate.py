@@ -73,7 +73,11 @@ def test_generated_puzzles_do_not_depend_on_partitions(spark):
 def test_report_text(spark):
     rows = spark.createDataFrame([("a", "binary flip 101", "10110011", 0), ("b", "binary flip 111", "101", 1), ("c", "other", "", 2)], "id string, prompt string, answer string, pos long")
     text = report.render(profile.profiled(rows))
-    assert "[binary_ops]  2 rows (66.7%)" in text and "8bit=1" in text and "NOT A GENERATOR DOMAIN" in text and "COVERAGE GAPS" in text
+    assert "binary_ops: 2 of 3\n" in text and "1 of width 8" in text and "uncovered: 1 of 3 (no generator makes these)" in text and "don't cover (" in text
+    accuracy = spark.createDataFrame([("roman", 4, 3, 0.75), ("__all__", 5, 3, 0.6)], "group string, total long, n_correct long, accuracy double")
+    assert report.evaluation_text(accuracy, 1, (0.2, 0.9)).split("\n") == ["all: 3 of 5 right (0.6000)", "roman: 3 of 4 right (0.7500)", "without a prediction: 1", "interval of the accuracy: 0.2000 to 0.9000"]
+    counts = spark.createDataFrame([("symbol", "none", 0), ("roman", "derived_match", 2), ("roman", "parse_error", 1)], "family string, status string, n long")
+    assert report.build_text(counts).split("\n") == ["3 records", "roman: 3 records, 2 derived_match, 1 parse_error", "symbol: 0 records"]
 
 
 def chat(thinks):
