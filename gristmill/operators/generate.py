@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import bits, ciphers, numerals, sequences
+from gristmill.operators.proofs import proved
 
 N_DEMOS = 4
 N_TERMS = 5
@@ -341,7 +342,7 @@ def _trace(domain: str) -> Column:
     quote = "'" if domain == "cipher" else ""
 
     def verdict(p: Column) -> Column:
-        return F.when(p["predicted"] == p["out"], " [PASS]").otherwise(" [FAIL]")
+        return F.when((p["predicted"] == p["out"]) & p["holds"], " [PASS]").otherwise(" [FAIL]")
 
     heads = ["examples", "every example"]
     restate = _numbered(demos, lambda p, i: _text("  Example ", i, f": {quote}", p["inp"], f"{quote}  →  {quote}", p["out"], quote))
@@ -402,19 +403,21 @@ def _quoted(x: Column, domain: str) -> tuple:
 
 
 def generated(rows: DataFrame, domain: str, seed: int = 42) -> DataFrame:
-    """pos, rule, prompt, answer, trace and verified for each row's pos; verified says that the rule gives every example."""
+    """pos, rule, prompt, answer, trace and verified for each row's pos; verified says that every output, the answer too, follows from its
+    input by a check of its own (proofs)."""
     r = DOMAINS[domain](Draw(seed, domain))
     df = rows.select("pos")
     for stage in r.params:
         df = df.withColumns(stage)
     which = F.col("which")
-    # What an example shows is read back from `outs`; the trace applies the rule to the input anew.
     df = df.withColumn("outs", F.transform("inputs", lambda x: r.told(_choose(which, [f(x) for f in r.apply]))))
     pairs = F.transform("inputs", lambda x, i: F.struct(r.shown(x).alias("inp"), F.get(F.col("outs"), i).alias("out"), r.told(_choose(which, [f(x) for f in r.apply])).alias("predicted")))
+    df = df.withColumn("pairs", pairs)
+    pairs = F.transform("pairs", lambda p: p.withField("holds", proved(domain, which, p["inp"], p["out"])))
     df = df.withColumns({"rule": _choose(which, r.names), "about": _choose(which, r.about), "pairs": pairs})
     n = N_TERMS if domain == "number_seq" else N_DEMOS
     df = df.withColumns({"demos": F.slice("pairs", 1, n), "query": F.col("pairs")[n]["inp"], "answer": F.col("pairs")[n]["out"]})
-    verified = F.forall("demos", lambda p: p["predicted"] == p["out"])
+    verified = F.forall("pairs", lambda p: (p["predicted"] == p["out"]) & p["holds"])
     return df.select("pos", "rule", prompt_of(F.col("demos"), F.col("query"), HINTS[domain]).alias("prompt"), "answer", _trace(domain).alias("trace"), verified.alias("verified"))
 
 

@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,33 @@ def test_generated_puzzles_follow_their_rules(spark, domain):
         assert r.verified and "[FAIL]" not in r.trace and r.trace.endswith(f"**Step 5 — Final answer**\n\\boxed{{{r.answer}}}")
 
 
+@pytest.mark.parametrize("domain", generate.DOMAINS)
+def test_wrong_outputs_are_not_verified(spark, domain, monkeypatch):
+    """Outputs and predictions that are wrong alike: only a check of another kind can tell."""
+    make = generate.DOMAINS[domain]
+    rows = spark.range(60).withColumnRenamed("id", "pos")
+
+    def wrong(draw):
+        rules = make(draw)
+        return replace(rules, told=lambda y: F.concat(rules.told(y), F.lit("1")))
+
+    monkeypatch.setitem(generate.DOMAINS, domain, wrong)
+    got = generate.generated(rows, domain).collect()
+    assert len(got) == 60 and not any(r.verified for r in got) and all("[FAIL]" in r.trace for r in got)
+
+
+def test_a_rule_that_gives_the_wrong_text_stops_the_build(spark, monkeypatch):
+    """Each rule of a domain put in the place of the next: a rotation to the left is no rotation to the right."""
+
+    def turned(draw):
+        rules = generate._list(draw)
+        return replace(rules, apply=rules.apply[1:] + rules.apply[:1])
+
+    monkeypatch.setitem(generate.DOMAINS, "list_ops", turned)
+    with pytest.raises(Exception, match="list_ops: a rule doesn't give its own examples"):
+        generate.build_synthetic(spark, 30).collect()
+
+
 def test_generated_puzzles_do_not_depend_on_partitions(spark):
     rows = spark.range(60).withColumnRenamed("id", "pos")
     a, b = (sorted(map(str, generate.generated(x, "list_ops").collect())) for x in (rows.coalesce(1), rows.repartition(7)))
