@@ -1,20 +1,28 @@
-"""Sources and sinks (S1-S8): CSV and JSON lines with explicit schemas, since inference would drop leading zeros."""
+"""Sources and sinks (S1-S8, S14): CSV and JSON lines with explicit schemas, since inference would drop leading zeros."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import strip
+from gristmill.operators.profile import require_columns
 
-PUZZLES = "id string, prompt string, answer string"
+PUZZLES = ("id", "prompt", "answer")
 RECORDS = "id string, prompt string, trace string, extracted_answer string, gold_answer string"
 
 
-def read_puzzles(spark: SparkSession, path: str, stripped: bool = False) -> DataFrame:
-    """Puzzle rows of a CSV file with a header; cells may hold quotes and line ends."""
-    df = spark.read.schema(PUZZLES).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return df.withColumns({c: strip(F.col(c)) for c in ("prompt", "answer")}) if stripped else df
+def read_puzzles(spark: SparkSession, path: str, stripped: bool = False, columns: tuple[str, ...] = PUZZLES) -> DataFrame:
+    """Puzzle rows of a CSV file with a header, all as text; cells may hold quotes and line ends.
+
+    Columns are found by their names in the header, in any order and beside others; ValueError if one is missing (S2).
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
+    require_columns(df, *columns)
+    df = df.select(*columns)
+    return df.withColumns({c: strip(F.col(c)) for c in ("prompt", "answer") if c in columns}) if stripped else df
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +31,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("skipped", F.col("_corrupt_record").isNotNull() | F.col("prompt").isNull() | F.col("trace").isNull()).drop("_corrupt_record")
 
 
+def usable_records(records: DataFrame) -> tuple[DataFrame, int]:
+    """The records of read_records() that can be used, and how many others are skipped; ValueError if all are."""
+    r = records.agg(F.count("*").alias("n"), F.count_if("skipped").alias("skipped")).first()
+    if r.skipped == r.n:
+        raise ValueError(f"none of {r.n} records can be used")
+    return records.filter("not skipped").drop("skipped"), r.skipped
+
+
+def built_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """Records at path and 'reused', if any can be read there; else what build() makes, written there, and 'built' (S14).
+
+    Files that hold no usable record are built anew; other errors of reading or building are not hidden.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = read_records(spark, path).filter("not skipped").drop("skipped")
+        if not held.isEmpty():
+            return held, "reused"
+    build().write.mode("overwrite").json(path)
+    return read_records(spark, path).filter("not skipped").drop("skipped"), "built"
+
+
 def append_records(records: DataFrame, path: str, run_id: str) -> None:
     """Append under a run's own folder, so that a repeated run replaces its rows instead of doubling them."""
     records.write.mode("overwrite").json(f"{path}/run={run_id}")
