@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity, url_filters, warc
+from gristmill.llm import chat, decontaminate, licenses, merkle, mixing, packing, quality_model, quality_rules, simhash, structure, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +162,100 @@ SELECT page_id, host, path, {first('name')} AS rule, coalesce({first('verdict')}
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+def _op11_sql() -> str:
+    def hashed(n_chars: str) -> str:
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+    def levels(start: str) -> str:
+        return f"{start} UNION ALL SELECT t, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM SELF WHERE n > 1 GROUP BY t, lvl, i // 2"
+
+    def fold(start: str, nodes: str) -> str:
+        return f"""{start} UNION ALL SELECT rid, f.t, f.lvl + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.i % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END), proof || coalesce(s.h, '')
+ FROM SELF f LEFT JOIN {nodes} s ON s.t IS NOT DISTINCT FROM f.t AND s.lvl = f.lvl AND s.i = xor(f.i, 1) WHERE f.n > 1"""
+
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS t, {hashed('n_chars')} AS leaf, CASE WHEN n_chars IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {hashed('(n_chars + 1)')} END AS forged FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+nodes AS ({levels("SELECT t, 0 AS lvl, i, leaf AS h, n FROM p").replace("SELF", "nodes")}),
+sub AS (SELECT t, h, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+high AS ({levels("SELECT 0 AS t, 0 AS lvl, i, h, n FROM sub").replace("SELF", "high")}),
+low AS ({fold("SELECT rid, t, 0 AS lvl, i, n, coalesce(forged, leaf) AS h, '' AS proof FROM p", "nodes").replace("SELF", "low")}),
+up AS ({fold("SELECT rid, 0 AS t, 0 AS lvl, sub.i, sub.n, low.h, proof FROM low JOIN sub ON sub.t IS NOT DISTINCT FROM low.t WHERE low.n = 1", "high").replace("SELF", "up")})
+SELECT doc_id, leaf, sub.h AS subroot, high.h AS root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = high.h AS verified
+FROM p JOIN sub ON sub.t IS NOT DISTINCT FROM p.t JOIN up ON up.rid = p.rid AND up.n = 1 JOIN high ON high.n = 1
+"""
+
+
+def _op12_sql() -> str:
+    n, share, cap = len(mixing.SCHEDULES), f"{mixing.SHARE!r}e0", mixing.CAP
+    weights = "[" + ", ".join(f"{mixing.integral(x)!r}e0" for x in mixing.SCHEDULES) + "]"
+
+    def progress(schedule) -> str:
+        parts, out = mixing.segments(schedule), None
+        need = f"(part * {parts[-1][-1]!r}e0)"
+        for start, weight, slope, before, after in reversed(parts):
+            left = f"greatest({need} - {before!r}e0, 0e0)"
+            root = f"({weight!r}e0 + sqrt(greatest({weight * weight!r}e0 + {2 * slope!r}e0 * {left}, 0e0)))"
+            here = f"CASE WHEN {root} > 0 THEN {start!r}e0 + 2e0 * {left} / {root} ELSE {start!r}e0 END"
+            out = here if out is None else f"CASE WHEN {need} < {after!r}e0 THEN {here} ELSE {out} END"
+        return out
+
+    at = "CASE kind " + " ".join(f"WHEN {k} THEN {progress(x)}" for k, x in enumerate(mixing.SCHEDULES)) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+s AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} AS kind FROM g),
+w AS (SELECT *, {weights}[kind + 1] AS weight FROM s),
+-- Filling up in the order of cap by weight: the level is the highest of those that each set of full sources would give.
+l AS (SELECT max(level) AS level FROM (SELECT ({share} * (SELECT sum(source_size) FROM w) - coalesce(sum({cap} * source_size) OVER o, 0)) / sum(weight) OVER r AS level FROM w
+ WINDOW o AS (ORDER BY source_size / weight, kind, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (ORDER BY source_size / weight, kind, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))),
+t AS (SELECT w.*, least(level * weight, CAST({cap} * source_size AS DOUBLE)) AS target FROM w, l),
+q AS (SELECT d.rid, d.doc_id, d.size, t.*, CAST(floor(target + 0.5e0) AS BIGINT) AS quota, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+ FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT rid, source, kind, quota, start, greatest(least(quota - start, size), 0) AS words FROM (SELECT *, b + k * source_size AS start FROM q, range({cap}) k(k))),
+m AS (SELECT *, (CAST(start AS DOUBLE) + CAST(words AS DOUBLE) / 2e0) / CAST(quota AS DOUBLE) AS part FROM c WHERE words > 0),
+z AS (SELECT rid, source, start, words, {at} AS progress FROM m),
+o AS (SELECT rid, words, CAST(sum(words) OVER (ORDER BY progress, source NULLS LAST, start ROWS UNBOUNDED PRECEDING) - words AS BIGINT) AS position FROM z),
+e AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(position) AS first_position FROM o GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_position FROM q LEFT JOIN e USING (rid)
+"""
+
+
+_OP13 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+k AS (SELECT *, {_crc32('name')} % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS nth, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen, substr(role, 1, 1) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY nth) || i AS pair FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+ count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(nth) AS last FROM f GROUP BY 1),
+-- Insertions from state a to state q; states: 0 nothing read, 1 system, 2 user, 3 assistant.
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:'), (1, 2, 2, 'I', 'user:'), (3, 2, 2, 'I', 'user:'), (2, 3, 2, 'I', 'assistant:'),
+ (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:'), (3, 3, 4, 'II', 'user:' || chr(10) || 'assistant:'), (2, 2, 4, 'II', 'assistant:' || chr(10) || 'user:')) v(a, q, price, letters, lines)),
+-- The cheapest way to each state after each turn and insertions, as cost and letters in one text, and what it says.
+best AS (SELECT g.conv_id, CAST(0 AS BIGINT) AS nth, q, lpad(CAST(price AS VARCHAR), 9, '0') || letters AS way, CAST(nullif(lines, '') AS VARCHAR) AS said FROM g, ins WHERE a = 0
+ UNION ALL SELECT conv_id, nth, q, min(way), arg_min(said, way) FROM (
+  SELECT e.conv_id, e.nth, ins.q, lpad(CAST(e.cost + ins.price AS VARCHAR), 9, '0') || e.letters || ins.letters AS way, nullif(concat_ws(chr(10), e.said, nullif(ins.lines, '')), '') AS said
+  FROM (SELECT b.conv_id, f.nth, CAST(left(way, 9) AS BIGINT) + o.price + CASE WHEN o.letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost, substr(way, 10) || o.letter AS letters, o.q,
+    CASE WHEN o.letter = 'D' THEN said ELSE concat_ws(chr(10), said, CASE WHEN o.letter = 'K' THEN role WHEN o.q = 2 THEN 'user' ELSE 'assistant' END || ':' || text) END AS said
+   FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.nth = b.nth + 1
+   JOIN (VALUES (0, 'D', 0, 3, NULL), (1, 'D', 1, 3, NULL), (2, 'D', 2, 3, NULL), (3, 'D', 3, 3, NULL), (0, 'K', 1, 0, 's'), (0, 'K', 2, 0, 'u'), (1, 'K', 2, 0, 'u'), (3, 'K', 2, 0, 'u'), (2, 'K', 3, 0, 'a'),
+    (0, 'R', 2, 2, NULL), (1, 'R', 2, 2, NULL), (3, 'R', 2, 2, NULL), (2, 'R', 3, 2, NULL)) o(a, letter, q, price, i) ON o.a = b.q AND (o.i IS NULL OR o.i = f.i) AND (o.letter = 'D' OR fault NOT IN ('blank', 'duplicate'))) e
+  JOIN ins ON ins.a = e.q) GROUP BY conv_id, nth, q),
+w AS (SELECT best.conv_id, min(way) AS way, arg_min(coalesce(said, ''), way) AS said FROM best JOIN g ON g.conv_id IS NOT DISTINCT FROM best.conv_id AND nth = last WHERE q IN (0, 3) GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(way, 9) AS BIGINT), 0) AS cost,
+ coalesce(substr(way, 10), '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM ids LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 @query("op1_quality_rules", _OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -206,3 +300,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_merkle_manifest", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text")])
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull(), changed)
+    manifest = merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"doc_id": F.col("doc_id"), "forged": tampered})
+    proved = merkle.prove(manifest, "forged")
+    return proved.select("carry.doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_source_mixing", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op13_structure_repair", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    after = structure.damaged(turns)
+    return structure.digests(after, structure.repair(after), turns)
