@@ -142,7 +142,7 @@ def spliced(pre: Column, slot: Column, child: Column) -> Column:
 
 
 def prove(m: Manifest, forged: str | None = None) -> DataFrame:
-    """What was carried, leaf, subroot, root, siblings (all of the proof's hashes, level by level) and folded_root.
+    """What was carried, leaf, subroot, root, siblings (for each level the other hashes of its run, one after the other; empty if alone) and folded_root.
 
     folded_root is what a verifier gets from the proof's siblings and the leaf, or from the carried column `forged` in its
     place where that isn't null; it is the root if and only if the leaf is the one that the manifest knows.

@@ -120,7 +120,7 @@ def plan(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share: floa
     def copy(k: int) -> Column:
         start = begin + F.lit(k) * F.col("source_size")
         length = F.greatest(F.least(F.col("quota") - start, F.col("size")), F.lit(0).cast("long"))
-        part = (start.cast("double") + length.cast("double") / F.lit(2.0)) / F.col("quota").cast("double")
+        part = (start.cast("double") + length.cast("double") / F.lit(2.0)) / F.greatest(F.col("quota"), F.lit(1).cast("long")).cast("double")
         at = None
         for i, s in reversed(list(enumerate(schedules))):
             at = inverted(s, part) if at is None else F.when(F.col("kind") == i, inverted(s, part)).otherwise(at)
