@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gristmill.functions.text import bound
 
@@ -82,38 +84,109 @@ def deletion_answer(pairs: Column, query: Column) -> Column:
     """The query under the first set of deleted positions whose other letters follow one substitution in all examples and
     cover the query's; null if there is none (R13, J10).
 
-    Sets are tried in the order of their positions. They are built from left to right, a position deleted or kept, and only
-    those that no example contradicts go on; a deleted letter is mapped to nothing. All left sides and the query have to be
-    of one length. Examples that lose another number of letters than most count for nothing.
+    Sets are tried in the order of their positions; a deleted letter is mapped to nothing. All left sides and the query have
+    to be of one length. Examples that lose another number of letters than most count for nothing. The search is a walk that
+    ends with the first set, so it runs in a function of Python over batches; null pairs cost nothing there.
     """
     n = F.length(F.get(pairs, F.lit(0))["inp"])
     lost = bound(pairs, modal_deletion)
-    used = F.transform(F.filter(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]) == lost), lambda p: F.struct(F.split(p["inp"], "").alias("i"), F.split(p["out"], "").alias("o")))
-    start = F.array(F.struct(F.array().cast("array<int>").alias("gone"), F.array().cast("array<struct<c:string,p:string>>").alias("map")))
+    fits = (lost >= 0) & (lost < n) & (F.length(query) == n) & F.forall(pairs, lambda p: F.length(p["inp"]) == n)
+    used = F.filter(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]) == lost)
+    return _walked(F.when(fits, F.transform(used, lambda p: p["inp"])), F.when(fits, F.transform(used, lambda p: p["out"])), F.when(fits, query))
 
-    def found(x: Column) -> Column:
-        n, d, q = x["n"], x["d"], F.split(x["q"], "")
 
-        def grown(s: Column, i: Column, delete: bool) -> Column:
-            k = F.size(s["gone"])
-            new = F.transform(x["used"], lambda u: F.struct(u["i"][i].alias("c"), (F.lit("") if delete else u["o"][i - k]).alias("p")))
-            gone = F.array_append(s["gone"], i) if delete else s["gone"]
-            one = bound(F.array_distinct(F.concat(s["map"], new)), lambda m: F.when(F.size(m) == F.size(F.array_distinct(F.transform(m, lambda y: y["c"]))), F.struct(gone.alias("gone"), m.alias("map"))))
-            return F.when(k < d if delete else i - k < n - d, one)
+@F.pandas_udf(StringType())
+def _walked(lefts: pd.Series, rights: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([None if q is None else first_deletion(list(a), list(b), q) for a, b, q in zip(lefts, rights, query)], dtype=object)
 
-        def step(states: Column, i: Column) -> Column:
-            return F.flatten(F.transform(states, lambda s: F.filter(F.array(grown(s, i, True), grown(s, i, False)), lambda y: y.isNotNull())))
 
-        def read(s: Column) -> Column:
-            kept = F.filter(F.transform(q, lambda c, i: F.when(~F.array_contains(s["gone"], i), c)), lambda c: c.isNotNull())
-            plain = F.transform(kept, lambda c: F.get(F.filter(s["map"], lambda y: y["c"] == c), F.lit(0))["p"])
-            return F.when(F.forall(plain, lambda c: c.isNotNull()), F.array_join(plain, ""))
+#: States that a walk remembers as dead ends at most; beyond them it may walk into one again.
+_DEAD_ENDS = 50_000
 
-        states = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-        return F.get(F.filter(F.transform(states, read), lambda y: y.isNotNull()), F.lit(0))
 
-    fits = (lost >= 0) & (lost < n) & (F.length(query) == n) & F.forall(pairs, lambda p: F.length(p["inp"]) == n)
-    return F.when(fits, bound(F.struct(n.alias("n"), lost.alias("d"), query.alias("q"), used.alias("used")), found))
+def first_deletion(lefts: list[str], rights: list[str], query: str) -> str | None:
+    """The answer of deletion_answer() for left sides and a query of one length and right sides that lack equally many letters.
+
+    Positions that share a letter in any example are deleted together or not at all, so the walk, from left to right and
+    deleting before keeping, decides class by class, and only where the sizes of the classes to come can still add up to
+    what is to be deleted. Every letter of the examples gets a meaning, so a class with a query letter that none of
+    them has is deleted. A state that has failed, as far as later positions can tell states apart, is not entered again.
+    """
+    n, d = len(query), len(lefts[0]) - len(rights[0])
+    columns = [[a[i] for a in lefts] for i in range(n)]
+    first: dict[str, int] = {}
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, column in enumerate(columns):
+        for c in column:
+            x, y = find(i), find(first.setdefault(c, i))
+            root[max(x, y)] = min(x, y)
+    kind = [find(i) for i in range(n)]
+    size = {c: kind.count(c) for c in set(kind)}
+    decided: dict[int, bool] = {kind[i]: True for i, c in enumerate(query) if c not in first}
+    total = sum(size[c] for c in decided)
+    sums, after = 1, {}  # bit s: some of the open classes from here on have s positions in all
+    for c in sorted(set(size) - set(decided), reverse=True):
+        after[c] = sums
+        sums |= sums << size[c]
+    if total > d or not sums >> d - total & 1:
+        return None
+    later = [sorted({c for column in columns[i:] for c in column}) for i in range(n)]
+    meaning: dict[str, str] = {}
+    dead: set = set()
+
+    def options(i: int) -> list[bool]:
+        c = kind[i]
+        if c in decided:
+            return [decided[c]]
+        return [x for x in (True, False) if total + x * size[c] <= d and after[c] >> d - total - x * size[c] & 1]
+
+    def state(i: int, k: int) -> tuple:
+        return (i, k, *[meaning.get(c) for c in later[i]])
+
+    # A frame is a position: what is left to try, how many are deleted before, its state, the letters and class it has settled.
+    frames = [[iter(options(0)), 0, state(0, 0), [], None]]
+    while frames:
+        i = len(frames) - 1
+        left, k, at, new, own = frames[-1]
+        for c in new:
+            del meaning[c]
+        new.clear()
+        if own is not None:
+            total -= decided.pop(own) * size[own]
+            frames[-1][4] = None
+        gone = next(left, None)
+        if gone is None:
+            frames.pop()
+            if len(dead) < _DEAD_ENDS:
+                dead.add(at)
+            continue
+        if kind[i] not in decided:
+            decided[kind[i]], frames[-1][4] = gone, kind[i]
+            total += gone * size[kind[i]]
+        fits = gone or i - k < n - d
+        for c, out in zip(columns[i], rights) if fits else ():
+            to = "" if gone else out[i - k]
+            if c not in meaning:
+                meaning[c] = to
+                new.append(c)
+            elif meaning[c] != to:
+                fits = False
+                break
+        if not fits:
+            continue
+        if i + 1 == n:
+            return "".join(meaning[c] for i, c in enumerate(query) if not decided[kind[i]])
+        following = state(i + 1, k + gone)
+        if following not in dead:
+            frames.append([iter(options(i + 1)), k + gone, following, [], None])
+    return None
 
 
 def modal_deletion(pairs: Column) -> Column:

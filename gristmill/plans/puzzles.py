@@ -126,6 +126,27 @@ VIEWS = {
 }
 
 
+def _letters(i: int) -> str:
+    """Six letters, at each place one of two that no other place has."""
+    return "(" + " || ".join(f"substr('{'abcdefghijkl'[2 * j : 2 * j + 2]}', 1 + (((k * 5 + {i * 11 + i * i * 3}) >> {j}) & 1), 1)" for j in range(6)) + ")"
+
+
+def _shortened(word: str) -> str:
+    """Without two of the places, by k, and with every other letter replaced."""
+    first, second = "k % 6", "(k % 6 + 1 + CAST(floor(k / 6.0) AS BIGINT) % 5) % 6"
+    return "(" + " || ".join(f"CASE WHEN {j} IN ({first}, {second}) THEN '' ELSE translate(substr({word}, {j + 1}, 1), 'abcdefghijkl', 'PQRSTUVWXYZA') END" for j in range(6)) + ")"
+
+
+#: Left sides of which the same two places are dropped everywhere.
+DELETED = {
+    "symbol_deletion": (
+        f"'{_A}a secret set of transformation rules is applied to equations. Below are a few examples:' || chr(10) || "
+        + _lines([(_letters(i), _shortened(_letters(i))) for i in range(5)], " = ")
+        + f" || chr(10) || 'Now, determine the result for: ' || {_letters(9)}",
+        _shortened(_letters(9)),
+    ),
+}
+
 #: Conversions that allow no common constant, so that least squares have to give one.
 NOISY = {
     "unit_noisy": (
@@ -138,7 +159,7 @@ NOISY = {
 
 
 def view_sql(family: str, part: str = "part") -> str:
-    prompt, answer = {**VIEWS, **NOISY}[family]
+    prompt, answer = {**VIEWS, **NOISY, **DELETED}[family]
     return f"SELECT '{family}-' || CAST(k AS STRING) AS id, k AS pos, {prompt} AS prompt, {answer} AS answer FROM (SELECT p_partkey AS k FROM {part}) v"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from gristmill.functions import bits, ciphers, numerals, sequences
@@ -172,6 +174,24 @@ SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN CA
 
 query("symbol_solve", _symbol_sql(view_sql("symbol")))(_solved("symbol"))
 
+_DROPPED = ", ".join(f"({n}, {i}, {j})" for n, (i, j) in enumerate(combinations(range(1, 7), 2)))
+
+
+@query(
+    "deletion_solve",
+    f"""WITH p AS ({view_sql('symbol_deletion')}), x AS (SELECT id, unnest(regexp_extract_all(prompt, '([a-z]{{6}}) = ([A-Z]*)', 1)) AS a, unnest(regexp_extract_all(prompt, '([a-z]{{6}}) = ([A-Z]*)', 2)) AS o FROM p),
+q AS (SELECT id, regexp_extract(prompt, 'result for: ([a-z]{{6}})', 1) AS q FROM p),
+m AS (SELECT DISTINCT id, n, i, j, substr(a, pos, 1) AS c, CASE WHEN pos IN (i, j) THEN '' ELSE substr(o, pos - CAST(i < pos AS INTEGER) - CAST(j < pos AS INTEGER), 1) END AS v
+ FROM x, (VALUES {_DROPPED}) s(n, i, j), (SELECT CAST(r AS INTEGER) AS pos FROM range(1, 7) t(r))),
+f AS (SELECT id, n, i, j FROM m GROUP BY ALL HAVING count(DISTINCT c) = count(*)),
+r AS (SELECT f.id, f.n, string_agg(v, '' ORDER BY pos) AS predicted, count(*) AS covered FROM f JOIN q USING (id), (SELECT CAST(r AS INTEGER) AS pos FROM range(1, 7) t(r)) JOIN m ON m.id = f.id AND m.n = f.n AND m.c = substr(q, pos, 1) WHERE pos NOT IN (f.i, f.j) GROUP BY 1, 2 HAVING count(*) = 4),
+b AS (SELECT id, arg_min(predicted, n) AS predicted FROM r GROUP BY 1)
+SELECT id, predicted, CASE WHEN predicted IS NULL THEN 'underdetermined' WHEN predicted = answer THEN 'derived_match' ELSE 'derived_mismatch' END AS status, CASE WHEN predicted IS NOT NULL THEN 'deletion' END AS how FROM p LEFT JOIN b USING (id)""",
+)
+def deletion_solve(spark, sf_dir):
+    return rules.SOLVERS["symbol"].solve(view(spark, sf_dir, "symbol_deletion")).select("id", "predicted", "status", "how")
+
+
 _BITS = r"""p AS ({view}), e AS (SELECT id, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 1)) AS i, unnest(regexp_extract_all(prompt, '([01]{{8}})\s*->\s*([01]{{8}})', 2)) AS o FROM p),
 x AS (SELECT id, o, (SELECT sum(CAST(substr(i, j + 1, 1) AS BIGINT) << j) FROM range(8) r(j)) + 256 AS x FROM e)"""
 

@@ -88,6 +88,58 @@ def test_deletion_rule_against_every_set(spark):
     assert got[0] == "bcdefg" and got[1] == "bc" and got[2] is None and sum(x is not None for x in got.values()) > 30
 
 
+def test_deletion_rule_of_many_letters(spark):
+    """Half of many distinct letters deleted: the sets that later places can't tell apart are one."""
+    left = "abcdefghijklmnopqrstuvwx"
+    cases = [
+        (left, left[12:].upper(), left, left[12:].upper()),  # the first set
+        (left, left[:12].upper(), left[:12] + "!" * 12, left[:12].upper()),  # letters that were never seen have to go
+        (left, left[1::2].upper(), "".join(c if k % 2 else "!" for k, c in enumerate(left)), left[1::2].upper()),
+        (left + left, (left[::2] * 2).upper(), left + left, (left[::2] * 2).upper()),
+        (left, left[:12].upper(), "!" * 13 + left[13:], None),  # more unseen letters than are deleted
+    ]
+    df = spark.createDataFrame([(k, [(a, b)], q) for k, (a, b, q, _) in enumerate(cases)], "k int, pairs array<struct<inp:string,out:string>>, q string")
+    got = {r.k: r.got for r in df.withColumn("got", symbols.deletion_answer(F.col("pairs"), F.col("q"))).collect()}
+    assert {k: got[k] for k in (0, 1, 2, 4)} == {k: cases[k][3] for k in (0, 1, 2, 4)}
+    assert got[3] is not None and len(got[3]) == 24
+
+
+def test_tables_against_every_support(spark):
+    rng = np.random.default_rng(23)
+    rows = []
+    for k in range(60):
+        n, picks = int(rng.integers(1, 20)), [rng.choice(8, 3, replace=False) for _ in range(8)]
+        tables = rng.integers(0, 2, (8, 8))
+        xs = rng.integers(0, 256, n)
+        outs = ["".join(str(tables[b][sum(int(x >> i & 1) << t for t, i in enumerate(picks[b]))]) for b in range(8)) for x in xs]
+        if k % 4 == 0:
+            outs[0] = "".join(rng.choice(["0", "1"], 8))
+        rows.append((k, [(int(x) | 256, o) for x, o in zip(xs, outs, strict=True)], int(rng.integers(0, 256)) | 256))
+    df = spark.createDataFrame(rows, "k int, e array<struct<x:int,out:string>>, q int")
+    got = {r.k: r.d for r in df.select("k", bits.derived(F.col("e"), F.col("q")).alias("d")).collect()}
+    supports = [c for size in (1, 2, 3) for c in combinations(range(8), size)]
+    tabled = 0
+    for k, e, q in rows:
+        out, affine = [], []
+        for b in range(8):
+            w = next((w for w in range(512) if all((x & w).bit_count() % 2 == int(o[b]) for x, o in e)), None)
+            affine.append(w is not None)
+            if w is not None:
+                out.append(str((q & w).bit_count() % 2))
+                continue
+            value = None
+            for c in supports:
+                key = [tuple(x >> i & 1 for i in c) for x, _ in e]
+                table = {t: o[b] for t, (_, o) in zip(key, e, strict=True)}
+                if all(table[t] == o[b] for t, (_, o) in zip(key, e, strict=True)) and tuple(q >> i & 1 for i in c) in table:
+                    value = table[tuple(q >> i & 1 for i in c)]
+                    break
+            out.append(value)
+        tabled += None not in out and not all(affine)
+        assert got[k].affine == affine and got[k].out == (None if None in out else "".join(out))
+    assert tabled > 5
+
+
 def test_two_decimals_round_as_python_does(spark):
     rng = np.random.default_rng(3)
     values = [*rng.uniform(-1000, 1000, 300), *(k / 8 for k in range(-20, 20)), *(k / 200 for k in range(-400, 400)), 2.675, 1.005, 0.0, -0.0, -0.001, 1e13 + 0.125, 1e9 + 0.005, 33.385]
