@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from itertools import product
 
@@ -10,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gristmill.functions.text import bound
 
 
 def _text(x: Column) -> Column:
@@ -88,16 +88,27 @@ def deletion_answer(pairs: Column, query: Column) -> Column:
     to be of one length. Examples that lose another number of letters than most count for nothing. The search is a walk that
     ends with the first set, so it runs in a function of Python over batches; null pairs cost nothing there.
     """
-    n = F.length(F.get(pairs, F.lit(0))["inp"])
-    lost = bound(pairs, modal_deletion)
-    fits = (lost >= 0) & (lost < n) & (F.length(query) == n) & F.forall(pairs, lambda p: F.length(p["inp"]) == n)
-    used = F.filter(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]) == lost)
-    return _walked(F.when(fits, F.transform(used, lambda p: p["inp"])), F.when(fits, F.transform(used, lambda p: p["out"])), F.when(fits, query))
+    # Said to be non-deterministic, so that the optimizer leaves it in a projection of its own, never in a lambda function.
+    return _walked.asNondeterministic()(pairs, query)
 
 
 @F.pandas_udf(StringType())
-def _walked(lefts: pd.Series, rights: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([None if q is None else first_deletion(list(a), list(b), q) for a, b, q in zip(lefts, rights, query)], dtype=object)
+def _walked(pairs: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or q is None else deletion(list(p), q) for p, q in zip(pairs, query)], dtype=object)
+
+
+def modal_deletion(pairs: list[dict]) -> int:
+    """The most frequent loss of length; of equals, the one seen first."""
+    return Counter(len(p["inp"]) - len(p["out"]) for p in pairs).most_common(1)[0][0]
+
+
+def deletion(pairs: list[dict], query: str) -> str | None:
+    """deletion_answer() of one row."""
+    n, lost = len(query), modal_deletion(pairs) if pairs else -1
+    if not 0 <= lost < n or any(len(p["inp"]) != n for p in pairs):
+        return None
+    used = [p for p in pairs if len(p["inp"]) - len(p["out"]) == lost]
+    return first_deletion([p["inp"] for p in used], [p["out"] for p in used], query)
 
 
 #: States that a walk remembers as dead ends at most; beyond them it may walk into one again.
@@ -187,10 +198,3 @@ def first_deletion(lefts: list[str], rights: list[str], query: str) -> str | Non
         if following not in dead:
             frames.append([iter(options(i + 1)), k + gone, following, [], None])
     return None
-
-
-def modal_deletion(pairs: Column) -> Column:
-    """The most frequent loss of length; of equals, the one seen first."""
-    lost = F.transform(pairs, lambda p: F.length(p["inp"]) - F.length(p["out"]))
-    ranked = F.transform(F.array_distinct(lost), lambda d: F.struct((-F.size(F.filter(lost, lambda x: x == d))).alias("n"), F.array_position(lost, d).alias("at"), d.alias("d")))
-    return F.array_min(ranked)["d"]

@@ -181,7 +181,7 @@ def older_candidates(rows: DataFrame) -> DataFrame:
 def solve_symbol(rows: DataFrame) -> DataFrame:
     pairs, query = symbol_parts(F.col("prompt"))
     df = rows.withColumn("__pairs", pairs).withColumn("__q", query).withColumn("__a", by_arithmetic(F.col("__pairs"), F.col("__q")))
-    df = df.withColumn("__d", F.when(F.col("__a.predicted").isNull(), symbols.deletion_answer(F.col("__pairs"), F.col("__q"))))
+    df = df.withColumn("__d", symbols.deletion_answer(F.when(F.col("__a.predicted").isNull(), F.col("__pairs")), F.col("__q")))
     each = F.transform("__pairs", lambda p: F.concat(p["inp"], F.lit(" gives "), p["out"]))
     by_rule = F.concat(F.lit("Every operator has a rule that gives all its examples; the query's is "), F.col("__a.rule"), F.lit("."))
     steps = _lines("The examples are held against the known rules.", each, _line(F.coalesce(by_rule, F.lit("No arithmetic rule fits. Deleting the same places from each left side leaves one substitution of letters."))), _line("For ", F.col("__q"), " it gives ", F.coalesce("__a.predicted", "__d"), "."))
