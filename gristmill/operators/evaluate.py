@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.scoring import is_correct
+from gristmill.operators.joins import spread_join
 from gristmill.operators.profile import require_columns
 
 
@@ -44,21 +47,33 @@ def accuracy_rollup(rows: DataFrame, by: str) -> DataFrame:
     return df.select(F.when(F.col("g") == 1, "__all__").otherwise(F.col(by)).alias("group"), "total", "n_correct", F.round(F.col("n_correct") / F.col("total"), 6).alias("accuracy"))
 
 
-def bootstrap_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95) -> DataFrame:
-    """(lo, hi) of the mean of `correct` by hashed resampling.
+def bootstrap_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(lo, hi) of the mean of `correct` by hashed resampling.
 
-    Draw j of replicate r takes place md5(r, j) mod n; the correct rows stand at the first places, as their order tells
-    nothing. So replicates are equal in any engine, need two counts of the rows, and are counted where they are drawn.
-    For tables whose reps * n draws are too many use binomial_interval().
+    The number of correct rows in a resample of n is Binomial(n, k / n), so a replicate is drawn at once: md5 of seed and
+    replicate gives a number between 0 and 1, and the first count whose cumulative probability reaches it is the draw. So
+    replicates are equal in any engine and the rows are only counted. Probabilities are built up from ratios of neighbours,
+    within nine standard deviations of k: about 18 * sqrt(n / 4) of them at most, one task's sums.
     """
     r = rows.agg(F.count("*").alias("n"), F.count_if("correct").alias("k")).first()
     if not r.n:
         raise ValueError("no rows to resample")
-    draws = rows.sparkSession.range(reps * r.n).select(F.floor(F.col("id") / r.n).cast("long").alias("r"), (F.col("id") % r.n).alias("j"))
-    at = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % r.n
-    means = draws.groupBy("r").agg((F.count_if(at < r.k) / r.n).alias("m"))
+    spark, n, k = rows.sparkSession, r.n, r.k
+    reach = 9 * math.sqrt(k * (n - k) / n) + 1 if 0 < k < n else 0
+    low = max(0, math.floor(k - reach))
+    m = F.col("m").cast("double")
+    ratio = F.ln((F.lit(float(n + 1)) - m) * F.lit(float(k)) / (m * F.lit(float(n - k)))) if 0 < k < n else F.lit(0.0)
+    upto = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    odds = spark.range(low, min(n, math.ceil(k + reach)) + 1).select(F.col("id").alias("m")).withColumn("w", F.exp(F.sum(F.when(F.col("m") == low, 0.0).otherwise(ratio)).over(upto)))
+    odds = odds.withColumn("c", F.sum("w").over(upto))
+    odds = odds.select((F.col("c") / F.max("c").over(Window.partitionBy())).alias("x"), "m", F.lit(False).alias("drawn"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
+    draws = spark.range(reps).select(((hashed + 0.5) / float(1 << 52)).alias("x"), F.lit(None).cast("long").alias("m"), F.lit(True).alias("drawn"))
+    down = Window.orderBy(F.desc("x"), "drawn").rowsBetween(Window.unboundedPreceding, 0)
+    met = odds.unionByName(draws).withColumn("count", F.last("m", ignorenulls=True).over(down)).filter("drawn")
     a = (1 - level) / 2
-    return means.agg(F.round(F.percentile("m", F.lit(a)), 6).alias("lo"), F.round(F.percentile("m", F.lit(1 - a)), 6).alias("hi"))
+    share = F.col("count") / F.lit(n)
+    return met.agg(F.round(F.percentile(share, F.lit(a)), 6).alias("lo"), F.round(F.percentile(share, F.lit(1 - a)), 6).alias("hi"))
 
 
 def binomial_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95, seed: int = 42) -> tuple[float, float]:
@@ -78,15 +93,31 @@ def hashed_rank(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+#: Hexadecimal digits of a hash by which the split counts the rows of a stratum.
+PREFIX = 4
+
+
 def stratified_split(rows: DataFrame, stratum: str, key: str = "id", fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """rows with split 'val' or 'train': of each stratum, max(1, round-half-even(n * fraction)) rows are held out."""
+    """rows with split 'val' or 'train': of each stratum, max(1, round-half-even(n * fraction)) rows are held out, those of least hash.
+
+    Rows are counted by the first digits of their hash; sums of these counts tell in which of the 16 ** PREFIX ranges a
+    stratum's cut lies. Below and above it a row's hash decides; only the rows of that one range are ranked.
+    """
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
     require_columns(rows, stratum, key)
-    group = Window.partitionBy(stratum)
-    df = rows.withColumn("__rank", F.row_number().over(group.orderBy(hashed_rank(seed, F.col(key)), key))).withColumn("__n", F.count("*").over(group))
-    held = F.greatest(F.lit(1).cast("double"), F.bround(F.col("__n") * fraction))
-    return df.withColumn("split", F.when(F.col("__rank") <= held, "val").otherwise("train")).drop("__rank", "__n")
+    name = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
+    df = rows.withColumn("__s", name).withColumn("__h", F.coalesce(hashed_rank(seed, F.col(key)), F.lit(""))).withColumn("__p", F.substring("__h", 1, PREFIX))
+    counts = df.groupBy("__s", "__p").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("__s")  # 16 ** PREFIX rows at most
+    counts = counts.withColumn("upto", F.sum("n").over(within.orderBy("__p"))).withColumn("all", F.sum("n").over(within))
+    held = F.greatest(F.lit(1).cast("double"), F.bround(F.col("all") * fraction))
+    cuts = counts.filter((F.col("upto") >= held) & (F.col("upto") - F.col("n") < held)).select("__s", F.col("__p").alias("__cut"), (held - F.col("upto") + F.col("n")).alias("__need"), F.col("all").alias("__n"))
+    met = spread_join(df, cuts, "__s", "__n", rows.count())
+    border = met.filter(F.col("__p") == F.col("__cut")).withColumn("__rank", F.row_number().over(Window.partitionBy("__s").orderBy("__h", key)))
+    border = border.withColumn("split", F.when(F.col("__rank") <= F.col("__need"), "val").otherwise("train"))
+    others = met.filter(F.col("__p") != F.col("__cut")).withColumn("split", F.when(F.col("__p") < F.col("__cut"), "val").otherwise("train"))
+    return others.select(*rows.columns, "split").unionByName(border.select(*rows.columns, "split"))
 
 
 def frozen_split(rows: DataFrame, path: str, stratum: str, key: str = "id", fraction: float = 0.2, seed: int = 42, force: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -238,9 +238,15 @@ def cv_last_prediction_wins(spark, sf_dir):
 
 @query(
     "bootstrap_ci_hashed",
-    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS k FROM labels),
-m AS (SELECT r, count(*) FILTER (('0x' || substr(md5(r || '-' || j), 1, 8))::BIGINT % n < k) / any_value(n) AS m FROM range(1000) a(r), n, range(n) b(j) GROUP BY 1)
-SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
+    """WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (quality = 1) AS DOUBLE) AS k FROM labels),
+b AS (SELECT *, greatest(0, floor(k - 9 * sqrt(k * (n - k) / n) - 1)) AS low, least(n, ceil(k + 9 * sqrt(k * (n - k) / n) + 1)) AS high FROM n),
+m AS (SELECT unnest(range(CAST(low AS BIGINT), CAST(high AS BIGINT) + 1)) AS m, n, k, low FROM b),
+w AS (SELECT m, n, exp(sum(CASE WHEN m = low THEN 0e0 ELSE ln((n + 1 - m) * k / (m * (n - k))) END) OVER (ORDER BY m)) AS w FROM m),
+c AS (SELECT m, n, sum(w) OVER (ORDER BY m) AS c FROM w),
+x AS (SELECT m, n, c / max(c) OVER () AS x FROM c),
+d AS (SELECT r, (CAST(('0x' || substr(md5('42-' || r), 1, 13))::BIGINT AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u FROM range(1000) t(r)),
+s AS (SELECT r, min(m) / any_value(n) AS m FROM d JOIN x ON x >= u GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM s""",
 )
 def bootstrap_ci_hashed(spark, sf_dir):
     return evaluate.bootstrap_interval(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct")))

@@ -35,3 +35,15 @@ def test_split_is_the_same_for_any_partitioning(spark, parts):
     val = sorted(r.id for r in stratified_split(rows, "s").filter("split = 'val'").collect())
     assert len(val) == 12
     assert val == sorted(r.id for r in stratified_split(spark.range(57).select("id", (F.col("id") % 3).alias("s")), "s").filter("split = 'val'").collect())
+
+
+def test_split_ranks_only_at_the_cut(spark):
+    """Same rows as ranking every stratum whole; nulls, repeats and a stratum that holds most rows."""
+    import hashlib
+
+    rows = [(k, "big" if k % 5 else None if k % 3 else "small", "x") for k in range(900)] + [(7, "big", "x"), (None, "big", "x"), (10**9, "one", "x")]
+    got = stratified_split(spark.createDataFrame(rows, "id long, s string, n string").repartition(5), "s").collect()
+    for s in {r[1] for r in rows}:
+        own = sorted((r[0] for r in rows if r[1] == s), key=lambda k: ("" if k is None else hashlib.md5(f"42:{k}".encode()).hexdigest(), k or 0))
+        assert sorted((r.id for r in got if r.s == s and r.split == "val"), key=str) == sorted(own[: max(1, round(len(own) * 0.2))], key=str)
+    assert sorted(((r.id, r.s, r.n) for r in got), key=str) == sorted(rows, key=str)
