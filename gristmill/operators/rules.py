@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import bits, ciphers, classify, numerals, sequences, symbols
 from gristmill.functions.scoring import is_correct
 from gristmill.functions.text import bound, strip
+from gristmill.operators.staging import staged
 
 HEADER = "In Alice's Wonderland, "
 
@@ -211,9 +212,10 @@ for _name, _solve in (("gravitational", _ratio_solver(gravity_parts, True)), ("u
 def solve_all(puzzles: DataFrame) -> DataFrame:
     """Route each puzzle to the solver that takes its beginning (R15, P19); the rest are 'unmatched'.
 
-    A solver tries its methods from the strongest to the weakest and says in `how` which one found the rule.
+    The input is read once: rows are tagged with their family and written in a folder for each, and every solver reads its
+    own. A solver tries its methods from the strongest to the weakest and says in `how` which one found the rule.
     """
-    df = puzzles.withColumn("family", classify.routed_family(F.col("prompt")))
+    df = staged(puzzles.withColumn("family", classify.routed_family(F.col("prompt"))), "routed", "family")
     none = F.lit(None).cast("string")
     out = df.filter(~F.col("family").isin(*SOLVERS)).withColumns({"predicted": none, "status": F.lit("unmatched"), "how": none, "steps": none})
     for s in SOLVERS.values():
