@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from gristmill.functions.scoring import extract_answer, is_correct
 from gristmill.operators.joins import spread_join
 from gristmill.operators.profile import require_columns
 from gristmill.operators.rules import SOLVERS, solve_all
+from gristmill.operators.staging import write_observed
 
 # Fixed value: what is added to a prompt before a model sees it.
 PROMPT_SUFFIX = "\nPlease put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`"
@@ -49,17 +51,25 @@ def assembled(puzzles: DataFrame) -> DataFrame:
 
 def self_check(records: DataFrame) -> DataFrame:
     """The records whose extracted answer isn't the gold one."""
-    return records.filter(~is_correct(F.col("gold_answer"), F.coalesce("extracted_answer", F.lit("NOT_FOUND"))))
+    return records.filter(_failed())
+
+
+def _failed() -> Column:
+    return ~is_correct(F.col("gold_answer"), F.coalesce("extracted_answer", F.lit("NOT_FOUND")))
 
 
 def write_checked(records: DataFrame, path: str, max_share: float = 0.0) -> int:
-    """Write records as JSON lines if no more than max_share fail the check; else ValueError, and nothing is written."""
-    r = records.agg(F.count("*").alias("n"), F.count_if(~is_correct(F.col("gold_answer"), F.coalesce("extracted_answer", F.lit("NOT_FOUND")))).alias("bad")).first()
-    if r.bad > max_share * r.n:
-        some = [x.id for x in self_check(records).orderBy("id").limit(5).collect()]
-        raise ValueError(f"{r.bad} of {r.n} records fail the check, such as {', '.join(map(str, some))}")
-    records.write.mode("overwrite").json(path)
-    return r.n
+    """Write records as JSON lines if no more than max_share fail the check; else ValueError, and what was at path stays.
+
+    Records are evaluated once: they are counted, and some that fail are named, while they are written (A20).
+    """
+    counts = {"n": F.count("*"), "bad": F.count_if(_failed()), "least": F.min(F.when(_failed(), F.col("id"))), "most": F.max(F.when(_failed(), F.col("id")))}
+
+    def check(r: dict) -> None:
+        if r["bad"] > max_share * r["n"]:
+            raise ValueError(f"{r['bad']} of {r['n']} records fail the check, such as {r['least']}" + f" and {r['most']}" * (r["least"] != r["most"]))
+
+    return write_observed(records, path, "json", counts, check)["n"]
 
 
 def status_counts(records: DataFrame) -> DataFrame:
@@ -94,16 +104,46 @@ def replicated(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("sample_ix", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
-def generated(rows: DataFrame, generate: Callable[[list[str]], list[str]], batch: int = 8) -> DataFrame:
-    """rows with completion: generate() gets batches of prompts; it is set up once for each Python worker."""
+def generated(rows: DataFrame, generate: Callable[[list[str]], list[str]] | None = None, batch: int = 8, set_up: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
+    """rows with completion: generate() gets batches of prompts (T6). set_up, in its place, makes it, once for each task.
+
+    A task's prompts fill batches of the size given whatever the Arrow batches they come in; only a task's last one may be
+    smaller. ValueError in the task if generate() gives another number of completions than it got prompts.
+    """
+    if (generate is None) == (set_up is None):
+        raise ValueError("give either generate or set_up")
 
     @F.pandas_udf("string")
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = generate or set_up()
+        # Series that wait for their last rows' batch, with how many rows each still has to get; answers not yet handed out.
+        waiting: deque[int] = deque()
+        asked: list[str] = []
+        answers: list[str] = []
+
+        def answer() -> None:
+            out = list(call(asked))
+            if len(out) != len(asked):
+                raise ValueError(f"{len(out)} completions of {len(asked)} prompts")
+            answers.extend(out)
+            asked.clear()
+
+        def ready() -> Iterator[pd.Series]:
+            while waiting and waiting[0] <= len(answers):
+                n = waiting.popleft()
+                yield pd.Series(answers[:n], dtype="object")
+                del answers[:n]
+
         for part in prompts:
-            out: list[str] = []
-            for k in range(0, len(part), batch):
-                out += generate(part.iloc[k : k + batch].tolist())
-            yield pd.Series(out, dtype="object")
+            waiting.append(len(part))
+            for p in part:
+                asked.append(p)
+                if len(asked) == batch:
+                    answer()
+            yield from ready()
+        if asked:
+            answer()
+        yield from ready()
 
     return rows.withColumn("completion", run(model_prompt(F.col("prompt"))))
 

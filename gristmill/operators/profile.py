@@ -16,6 +16,12 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def require_rows(df: DataFrame, what: str) -> None:
+    """ValueError if df has no rows (P1); one row is looked for."""
+    if df.isEmpty():
+        raise ValueError(f"there are no {what}")
+
+
 def profiled(puzzles: DataFrame) -> DataFrame:
     """puzzles with domain, format, signature and width of binary answers; no shuffle."""
     require_columns(puzzles, "id", "prompt", "answer")

@@ -24,6 +24,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    system, at = _at(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     system, at = _at(spark, path)
     system.delete(at, True)

@@ -7,7 +7,8 @@ from math import gcd
 from pyspark.sql import functions as F
 
 from gristmill.functions.scoring import extract_answer, is_correct
-from gristmill.operators import generate
+from gristmill.operators import families, generate
+from gristmill.operators.rules import HEADER
 from gristmill.plans.catalog import query, table
 from gristmill.plans.queries_rules import _ROMAN
 
@@ -183,9 +184,61 @@ def generated_traces_checked(spark, sf_dir):
 
 @query(
     "synthetic_ids",
-    "SELECT domain, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT d AS domain, 'synthetic_' || d || '_' || lpad(CAST((k - 1) * 50 + i AS VARCHAR), 6, '0') AS id FROM (SELECT unnest(ds) AS d, unnest(range(1, 8)) AS k FROM (SELECT ["
+    "SELECT domain, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT d AS domain, 'synthetic_' || d || '_' || lpad(CAST((k - 1) * (SELECT count(*) FROM part) + p_partkey AS VARCHAR), 6, '0') AS id FROM part, (SELECT unnest(ds) AS d, unnest(range(1, 8)) AS k FROM (SELECT ["
     + ", ".join(f"'{d}'" for d in _SQL)
-    + "] AS ds)), range(50) r(i)) GROUP BY 1",
+    + "] AS ds))) GROUP BY 1",
 )
 def synthetic_ids(spark, sf_dir):
-    return generate.build_synthetic(spark, 50).groupBy("domain").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """Records at the positions of part, whose keys count from 0."""
+    rows = _positions(spark, sf_dir)
+    return generate.records(rows, rows.count()).groupBy("domain").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def _lines_sql(family: str, shown: str, outs: str) -> str:
+    """rule, prompt and answer, from lists of n texts and, last, the question's."""
+    before, between, after = families.LINES[family]
+    opening = (HEADER + families.OPENINGS[family]).replace("'", "''")
+    asked = " || ".join((f"'{families.QUESTIONS[family][0]}'", f"{shown}[n + 1]", f"'{families.QUESTIONS[family][1]}'"))
+    return f"'{opening}' || chr(10) || array_to_string(list_transform(range(1, n + 1), lambda i: '{before}' || {shown}[i] || '{between}' || {outs}[i] || '{after}'), chr(10)) || chr(10) || {asked} AS prompt, {outs}[n + 1] AS answer"
+
+
+def _ratio_sql(family: str) -> str:
+    r, unit = families.RATIOS[family], families.RATIOS[family].unit()
+
+    def below(salt: str, size: int) -> str:
+        return f"(CAST('0x' || substr(md5('{_SEED}:{family}:' || pos || ':' || j || ':' || {salt}), 1, 8) AS BIGINT) % {size})"
+
+    def power(x: str) -> str:
+        return f"({x} * {x})" if r.square else x
+
+    def end(sign: str) -> str:
+        return f"list_transform(range(1, n + 1), lambda i: ((2 * ys[i] {sign} 1) * {power('xs[n + 1]')} + {power('xs[i]')}) // (2 * {power('xs[i]')}))"
+
+    decimal = "CAST({0} // 100 AS VARCHAR) || '.' || lpad(CAST({0} % 100 AS VARCHAR), 2, '0')"
+    _, of, _ = _draws(family)
+    return f"""WITH p AS (SELECT p_partkey AS pos FROM part), d AS (SELECT pos, {of('n', families.OBSERVED)} AS n, unnest(range({families.TRIES})) AS j FROM p),
+x AS (SELECT pos, n, j, {below("'constant'", r.constant[1] - r.constant[0] + 1)} + {r.constant[0]} AS c, list_transform(range(n + 1), lambda i: {below("'x' || i", r.x[1] - r.x[0] + 1)} + {r.x[0]}) AS xs FROM d),
+y AS (SELECT *, list_transform(xs, lambda x: (c * {power('x')} + {unit // 2}) // {unit}) AS ys FROM x),
+s AS (SELECT *, list_max({end('-')}) = list_min({end('+')}) AS settled FROM y),
+f AS (SELECT pos, coalesce(min(j) FILTER (settled), {families.TRIES - 1}) AS j FROM s GROUP BY 1),
+o AS (SELECT pos, n, c, CASE WHEN settled THEN xs ELSE xs[1:n] || xs[1:1] END AS xs, CASE WHEN settled THEN ys ELSE ys[1:n] || ys[1:1] END AS ys FROM s SEMI JOIN f USING (pos, j)),
+t AS (SELECT pos, n, c, list_transform(xs, lambda v: {decimal.format('v')}) AS ins, list_transform(ys, lambda v: {decimal.format('v')}) AS outs FROM o)
+SELECT pos, 'k = ' || (c // 10000) || '.' || lpad(CAST(c % 10000 AS VARCHAR), 4, '0') AS rule, {_lines_sql(family, 'ins', 'outs')}, true AS verified FROM t"""
+
+
+def _numeral_sql() -> str:
+    _, of, walk = _draws("numeral")
+    return f"""WITH p AS (SELECT p_partkey AS pos FROM part), d AS (SELECT pos, {of('n', families.OBSERVED)} AS n, list_transform({walk('number', families.NUMERALS, max(families.OBSERVED) + 1)}, lambda v: v + 1) AS all_xs FROM p),
+t AS (SELECT pos, n, list_transform(all_xs[1:n + 1], lambda v: CAST(v AS VARCHAR)) AS ins, list_transform(all_xs[1:n + 1], lambda v: {_ROMAN.format('v')}) AS outs FROM d)
+SELECT pos, 'roman' AS rule, {_lines_sql('numeral', 'ins', 'outs')}, true AS verified FROM t"""
+
+
+def _worded(family: str):
+    def run(spark, sf_dir):
+        return families.generated(_positions(spark, sf_dir), family, _SEED).select("pos", "rule", "prompt", "answer", "verified")
+
+    return run
+
+
+for _family in families.FAMILIES:
+    query(f"generate_{_family}", _ratio_sql(_family) if _family in families.RATIOS else _numeral_sql())(_worded(_family))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import classify, scoring
 from gristmill.functions.classify import DOMAIN_KEYWORDS, EVAL_KEYWORDS, EXPECTED_FORMATS
-from gristmill.operators import dataset, evaluate, profile, report
+from gristmill.operators import dataset, evaluate, experiments, profile, report, staging
 from gristmill.plans.catalog import query, table
 from gristmill.plans.puzzles import puzzles, puzzles_sql
 
@@ -319,3 +319,25 @@ def mask_and_pad_tokens(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
     pair = dataset.masked_pair(F.slice("ids", 1, 4), F.slice("ids", F.lit(5), F.size("ids")), 512)
     return df.select("doc_id", pair.alias("r")).select("doc_id", F.col("r.reject").alias("reject"), F.size("r.input_ids").cast("bigint").alias("n"), F.md5(F.array_join(F.col("r.labels").cast("array<string>"), ",")).alias("labels"))
+
+
+_BUDGETS = (25, 50, 100, 200)
+
+
+@query(
+    "experiment_budgets",
+    f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality FROM labels), r AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS rank FROM l)
+SELECT 'budget-' || b AS step, CAST(b AS INTEGER) AS budget, count(*) AS n, round(avg(quality), 6) AS share, round(abs(avg(quality) - (SELECT avg(quality) FROM l)), 6) AS error
+FROM r, (VALUES {', '.join(f'({b})' for b in _BUDGETS)}) v(b) WHERE rank <= b GROUP BY b""",
+)
+def experiment_budgets(spark, sf_dir):
+    """How near samples of growing size come to the share of good documents: a step for each size, each step's result kept."""
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+
+    def step(budget: int):
+        sample = dataset.budget_prefixes(rows, [budget]).join(rows, "id")
+        whole = rows.agg(F.avg("quality").alias("whole"))  # one row
+        found = sample.groupBy("budget").agg(F.count("*").alias("n"), F.avg("quality").alias("share")).join(F.broadcast(whole))
+        return found.select("budget", "n", F.round("share", 6).alias("share"), F.round(F.abs(F.col("share") - F.col("whole")), 6).alias("error"))
+
+    return experiments.run_steps(spark, staging.shared_path(spark, "experiment"), [(f"budget-{b}", lambda b=b: step(b)) for b in _BUDGETS])

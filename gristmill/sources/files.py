@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.functions.text import strip
+from gristmill.operators.staging import staged
 from gristmill.operators.profile import require_columns
 
 PUZZLES = ("id", "prompt", "answer")
@@ -53,6 +55,33 @@ def built_or(spark: SparkSession, path: str, build: Callable[[], DataFrame]) ->
     return read_records(spark, path).filter("not skipped").drop("skipped"), "built"
 
 
+def concatenated(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
+    """(source_ix, file, line, text): the lines of text files, one path after the other, stripped and without blank ones.
+
+    Order is that of the paths, then of a path's files by name, then of lines in a file: a large file is read in splits, and
+    a line's place is that of its split and its place in the split, numbered over the whole file by the sorted rows. With
+    a limit the first so many lines are kept.
+    """
+    out = None
+    for k, path in enumerate(paths):
+        # Every split is one task's: its file and where it begins order the splits, the row number orders a split's lines.
+        one = spark.read.text(path).select(F.lit(k).alias("source_ix"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), strip(F.col("value")).alias("text"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("there are no files to read")
+    rows = staged(out.filter("text <> ''"), "lines")  # places are fixed once they are written
+    order = ["source_ix", "file", "block", "row"]
+    counts = rows.groupBy("source_ix", "file", "block").agg(F.count("*").alias("n"))
+    # A row for each split: its first line's number, counting the lines of the file's earlier splits.
+    before = Window.partitionBy("source_ix", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source_ix", "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("source_ix", "file", "block").orderBy("row")
+    numbered = rows.join(counts, ["source_ix", "file", "block"]).withColumn("line", F.col("before") + F.row_number().over(within))
+    if limit is None:
+        return numbered.orderBy(*order).select("source_ix", "file", "line", "text")
+    return numbered.orderBy(*order).limit(limit).select("source_ix", "file", "line", "text")
+
+
 def append_records(records: DataFrame, path: str, run_id: str) -> None:
     """Append under a run's own folder, so that a repeated run replaces its rows instead of doubling them."""
     records.write.mode("overwrite").json(f"{path}/run={run_id}")
