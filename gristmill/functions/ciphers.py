@@ -11,11 +11,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The words that plain texts are made of.
 VOCABULARY = (
-    "above alice ancient around beyond bird book bright castle cat cave chases clever colorful creates crystal curious dark discovers door dragon draws dreams explores "
-    "follows forest found garden golden hatter hidden imagines in inside island key king knight library magical map message mirror mountain mouse mysterious near ocean palace "
-    "potion princess puzzle queen rabbit reads school secret sees silver story strange student studies teacher the through tower treasure turtle under valley village watches "
-    "wise wizard wonderland writes"
-).split(" ")
+    "above", "alice", "ancient", "around", "beyond", "bird", "book", "bright", "castle", "cat", "cave", "chases", "clever",
+    "colorful", "creates", "crystal", "curious", "dark", "discovers", "door", "dragon", "draws", "dreams", "explores",
+    "follows", "forest", "found", "garden", "golden", "hatter", "hidden", "imagines", "in", "inside", "island", "key", "king",
+    "knight", "library", "magical", "map", "message", "mirror", "mountain", "mouse", "mysterious", "near", "ocean", "palace",
+    "potion", "princess", "puzzle", "queen", "rabbit", "reads", "school", "secret", "sees", "silver", "story", "strange",
+    "student", "studies", "teacher", "the", "through", "tower", "treasure", "turtle", "under", "valley", "village", "watches",
+    "wise", "wizard", "wonderland", "writes",
+)
 
 
 def caesar(s: Column, k: int) -> Column:
@@ -69,23 +72,35 @@ def apply_map(s: Column, m: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), lambda c: F.when((c == " ") | (c == ""), c).otherwise(F.coalesce(F.try_element_at(m, c), F.lit("?")))), "")
 
 
+def _pattern(word: str) -> str:
+    """Each letter by the place, from 1, where the word has it first: words that a substitution can turn into each other have one pattern."""
+    return ".".join(str(word.index(c) + 1) for c in word)
+
+
+def _by_pattern() -> Column:
+    """The vocabulary by pattern, as map<string, array<string>>; words in alphabetical order."""
+    held: dict[str, list[str]] = {}
+    for w in sorted(VOCABULARY):
+        held.setdefault(_pattern(w), []).append(w)
+    return F.create_map(*[x for k, ws in held.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
+
+
 def candidates(word: Column, known: Column) -> Column:
-    """Vocabulary words of a cipher word's length that agree with the map, both ways, in alphabetical order.
+    """Vocabulary words that a cipher word may stand for and that agree with the map, both ways, in alphabetical order.
 
-    known is struct<c:array<string>,p:array<string>>, letters known so far.
+    Only words of the cipher word's pattern are looked at; they are of its length, and letters that are equal in one are
+    equal in the other. known is struct<c:array<string>,p:array<string>>, letters known so far.
     """
-    letters = F.split(word, "")
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    pattern = F.array_join(F.transform(letters, lambda c: F.array_position(letters, c).cast("string")), ".")
 
-    def fits(v: Column) -> Column:
-        pairs = F.zip_with(letters, F.split(v, ""), lambda x, y: F.struct(x.alias("c"), y.alias("p")))
-
-        def agrees(q: Column) -> Column:
-            c, p = F.array_position(known["c"], q["c"]), F.array_position(known["p"], q["p"])
-            return (c == p) & F.forall(pairs, lambda r: (r["c"] == q["c"]) == (r["p"] == q["p"]))
+    def agrees(q: Column) -> Column:
+        return F.array_position(known["c"], q["c"]) == F.array_position(known["p"], q["p"])
 
-        return (F.length(v) == F.length(word)) & F.forall(F.filter(pairs, lambda q: q["c"] != ""), agrees)
+    def fits(v: Column) -> Column:
+        return F.forall(F.zip_with(letters, F.split(v, ""), lambda x, y: F.struct(x.alias("c"), y.alias("p"))), agrees)
 
-    return F.filter(F.array(*map(F.lit, VOCABULARY)), fits)
+    return F.filter(F.coalesce(F.try_element_at(_by_pattern(), pattern), F.array().cast("array<string>")), fits)
 
 
 def fill(query: Column, pairs: Column) -> Column:

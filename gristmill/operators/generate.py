@@ -20,7 +20,7 @@ from gristmill.operators.proofs import proved
 N_DEMOS = 4
 N_TERMS = 5
 
-# The wording of prompts and traces, and what parameters are drawn from.
+# The wording of prompts, the domains' labels, and what parameters are drawn from.
 HEADER = "In Alice's Wonderland, a secret transformation rule governs how things change. Study the examples below to discover the hidden rule, then apply it to the query."
 HINTS = {
     "binary_ops": "In this land, numbers wear binary costumes, and a secret bitwise spell transforms each one.",
@@ -116,12 +116,12 @@ def _binary(d: Draw) -> Rules:
         ],
         ["NOT", _text("ROL-", rot), _text("ROR-", rot), _text("XOR-", bits.render(mask)), _text("SHL-", F.col("left")), _text("SHR-", F.col("right"))],
         [
-            "flip every bit (bitwise NOT)",
-            _text("rotate bits left by ", rot, " position(s)"),
-            _text("rotate bits right by ", rot, " position(s)"),
-            _text("XOR with fixed mask ", bits.render(mask)),
-            _text("shift left by ", F.col("left"), " bit(s), zero-fill right, truncate to 8 bits"),
-            _text("shift right by ", F.col("right"), " bit(s), zero-fill left"),
+            "every 0 turns into 1 and every 1 into 0",
+            _text("the leftmost ", rot, " of the eight bits go to the right end"),
+            _text("the rightmost ", rot, " of the eight bits go to the left end"),
+            _text("the bits that are 1 in ", bits.render(mask), " change, the others stay"),
+            _text("the leftmost ", F.col("left"), " of the eight bits fall away and as many zeros come in at the right"),
+            _text("the rightmost ", F.col("right"), " of the eight bits fall away and as many zeros come in at the left"),
         ],
         [
             bits.invert,
@@ -152,11 +152,11 @@ def _cipher(d: Draw) -> Rules:
         [{"which": d.below("rule", 5), "k": (d.below("k", 12) + 1).cast("int"), "inputs": F.array(*map(text, range(N_DEMOS + 1)))}],
         [_text("Caesar-", k), "ROT13", "Atbash", "ReverseWords", "SwapPairs"],
         [
-            _text("shift each letter forward by ", k, " positions in the alphabet (A→", F.substring(up, k + 1, F.lit(1)), ", wrapping around), leave non-alpha unchanged"),
-            "rotate each letter by 13 positions (ROT-13): A↔N, B↔O, etc., leave non-alpha unchanged",
-            "reverse the alphabet: A↔Z, B↔Y, C↔X, …, preserving case, leave non-alpha unchanged",
-            "reverse the characters within each word, preserve spaces",
-            "swap adjacent character pairs (pos 0↔1, 2↔3, …); if the string length is odd the last character stays in place",
+            _text("each letter is replaced by the one ", k, " places on in the alphabet, a by ", F.substring(low, k + 1, F.lit(1)), ", with a following z"),
+            "the two halves of the alphabet change places, a with n and so on to m with z",
+            "each letter is replaced by the one as far from the alphabet's other end, a by z and b by y",
+            "each word is written backwards where it stands",
+            "characters change places two by two from the left; a last one without a partner stays",
         ],
         [lambda s: F.call_function("translate", s, F.concat(up, low), F.concat(turned(up), turned(low))), lambda s: ciphers.caesar(s, 13), ciphers.atbash, ciphers.reverse_words, ciphers.swap_pairs],
         lambda s: s,
@@ -170,7 +170,7 @@ def _linear(d: Draw) -> Rules:
     return Rules(
         [{"which": F.lit(0), "a": d.of("a", SLOPES).cast("long"), "b": d.below("b", 21) - 10, "inputs": xs}],
         [_text("f(x) = ", a, "·x + (", b, ")")],
-        [_text("f(x) = ", a, "·x + (", b, ")")],
+        [_text("a number is multiplied by ", a, " and ", b, " is added")],
         [lambda x: a * x + b],
         lambda x: x.cast("string"),
         lambda y: y.cast("string"),
@@ -196,10 +196,10 @@ def _roman(d: Draw) -> Rules:
         [{"which": d.below("rule", 4)}, {"inputs": F.array(*map(operands, range(N_DEMOS + 1)))}],
         ["int_to_roman", "roman_to_int", "roman_add", "roman_subtract"],
         [
-            "convert the decimal integer to its Roman numeral equivalent",
-            "convert the Roman numeral to its decimal integer equivalent",
-            "add the two Roman numerals and express the result as a Roman numeral",
-            "subtract the second Roman numeral from the first and express the result as a Roman numeral (result is always positive)",
+            "a number is written in Roman numerals",
+            "a Roman numeral is written as a number in digits",
+            "the sum of both numerals is written in Roman numerals",
+            "what the first numeral exceeds the second by is written in Roman numerals",
         ],
         [lambda x: roman(x["a"]), lambda x: x["a"].cast("string"), lambda x: roman(x["a"] + x["b"]), lambda x: roman(x["a"] - x["b"])],
         shown,
@@ -238,11 +238,11 @@ def _sequence(d: Draw) -> Rules:
         ],
         [_text("arithmetic(start=", p, ", d=", q, ")"), _text("geometric(start=", p, ", r=", q, ")"), _text("quadratic(a=", p, ",b=", q, ",c=", r, ")"), _text("fibonacci_like(f0=", p, ",f1=", q, ")"), _text("power(k=", p, ",offset=", q, ")")],
         [
-            _text("  Difference between consecutive terms: (", q, ").\n  First term: ", p, ".\n  Rule: a(n) = ", p, " + n × (", q, ")."),
-            _text("  Ratio between consecutive terms: ", q, ".\n  First term: ", p, ".\n  Rule: a(n) = ", p, " × ", q, "^n."),
-            _text("  First differences are not constant — check second differences.\n  Second differences: ", p * 2, " (constant) → coefficient of n² = ", p, ".\n  Rule: a(n) = ", p, "·n² + ", q, "·n + ", r, "."),
-            _text("  Each term equals the sum of the two preceding terms.\n  Seeds: a(0)=", p, ", a(1)=", q, ".\n  Rule: a(n) = a(n-1) + a(n-2)."),
-            _text("  Terms are perfect ", F.when(p == 2, "squares").otherwise("cubes"), " offset by ", q, ".\n  Pattern: (position)^", p, " + ", q, ", where position starts at 1.\n  Rule: a(n) = (n+1)^", p, " + ", q, "."),
+            _text("each term is the one before plus ", q, ", from ", p, " on: a(n) = ", p, " + (", q, ")·n"),
+            _text("each term is the one before times ", q, ", from ", p, " on: a(n) = ", p, "·(", q, ")^n"),
+            _text("the steps from term to term grow by ", p * 2, " each time: a(n) = ", p, "·n² + (", q, ")·n + (", r, ")"),
+            _text("from the third on, each term is the two before added up; the first two are ", p, " and ", q),
+            _text("each term is its place, counted from 1, to the power of ", p, ", plus ", q),
         ],
         [lambda i: F.get(F.col("terms"), i)] * 5,
         lambda i: _text("term ", i + 1),
@@ -266,12 +266,12 @@ def _list(d: Draw) -> Rules:
         [{"which": d.below("rule", 6)}, {"k": (d.below("k", 3) + 1).cast("int"), "inputs": F.array(*map(one, range(N_DEMOS + 1)))}],
         ["sort_asc", "sort_desc", "reverse", _text("rotate_left_", k), _text("rotate_right_", k), "dedupe"],
         [
-            "sort the list in ascending (smallest to largest) order",
-            "sort the list in descending (largest to smallest) order",
-            "reverse the order of the list",
-            _text("rotate the list left by ", k, " position(s): the first ", k, " element(s) move to the end"),
-            _text("rotate the list right by ", k, " position(s): the last ", k, " element(s) move to the front"),
-            "remove duplicate values, keeping only the first occurrence of each",
+            "the numbers are put in order, the least one first",
+            "the numbers are put in order, the greatest one first",
+            "the numbers are read from the end",
+            _text("as many as ", k, " numbers leave the beginning and follow the last one, in their order"),
+            _text("as many as ", k, " numbers leave the end and go before the first one, in their order"),
+            "a number that was there before is left out",
         ],
         [F.sort_array, lambda x: F.sort_array(x, False), F.reverse, lambda x: sequences.rotated_left(x, k), lambda x: sequences.rotated_right(x, k), F.array_distinct],
         sequences.rendered,
@@ -303,11 +303,11 @@ def _modular(d: Draw) -> Rules:
         ],
         [_text("add_mod_", n), _text("sub_mod_", n), _text("mul_mod_", n), _text("pow", k, "_mod_", n), _text("linear_mod_", n, "(c=", c, ",d=", e, ")")],
         [
-            _text("add the two numbers then take the result modulo ", n, " (like clock arithmetic with ", n, " hours: (a + b) mod ", n, ")"),
-            _text("subtract the second from the first then take the result modulo ", n, ": (a − b) mod ", n),
-            _text("multiply the two numbers then take the result modulo ", n, ": (a × b) mod ", n),
-            _text("raise the number to the power ", k, " then take the result modulo ", n, ": a^", k, " mod ", n),
-            _text("apply the linear map (", c, "·a + ", e, ") mod ", n, " to the number"),
+            _text("both numbers are added up and what is left after division by ", n, " is kept"),
+            _text("the second number is taken from the first, and ", n, " is added where that is below 0"),
+            _text("the product of both is divided by ", n, " and the remainder is kept"),
+            _text("the number to the power of ", k, " is divided by ", n, " and the remainder is kept"),
+            _text("of ", c, " times the number plus ", e, ", the remainder of division by ", n, " is kept"),
         ],
         [lambda x: F.pmod(x["a"] + x["b"], n), lambda x: F.pmod(x["a"] - x["b"], n), lambda x: F.pmod(x["a"] * x["b"], n), power, lambda x: F.pmod(c * x["a"] + e, n)],
         lambda x: _choose(which, [signed(x, "+"), signed(x, "-"), signed(x, "×"), x["a"].cast("string"), x["a"].cast("string")]),
@@ -336,70 +336,28 @@ def prompt_of(pairs: Column, query: Column, hint: str) -> Column:
     return _lines(HEADER, *[hint] * bool(hint), "", "Examples:", _numbered(pairs, lambda p, i: _text("  ", i, ". Input: ", p["inp"], "  →  Output: ", p["out"])), "", _one("Query input: ", query), "What is the output?")
 
 
+#: What a trace says of an example that its rule doesn't give.
+REFUTED = "not as shown"
+
+
 def _trace(domain: str) -> Column:
-    """The five steps from the columns demos (inp, out, holds), rule, about, query and answer."""
-    demos, about, rule, query, answer = (F.col(c) for c in ("demos", "about", "rule", "query", "answer"))
-    quote = "'" if domain == "cipher" else ""
-
-    def verdict(p: Column) -> Column:
-        return F.when(p["holds"], " [PASS]").otherwise(" [FAIL]")
-
-    heads = ["examples", "every example"]
-    restate = _numbered(demos, lambda p, i: _text("  Example ", i, f": {quote}", p["inp"], f"{quote}  →  {quote}", p["out"], quote))
-    mark = "'" if domain in ("cipher", "roman", "modular_arith") else ""
-    verify = _numbered(demos, lambda p, i: _text("  Example ", i, f": apply rule to {mark}", p["inp"], f"{mark} → ", *_quoted(p["out"], domain), " (expected ", *_quoted(p["out"], domain), ")", verdict(p)))
-    induced = _one("The pattern is: " if domain == "roman" else "The transformation is: ", about, ".")
-    done, step4 = "  All examples verified.", "**Step 4 — Apply rule to the query**"
-    applied = F.array(_text(f"  Query input: {quote}", query, quote), _text("  Apply '", rule, f"' → {quote}", answer, quote))
-    if domain == "binary_ops":
-        induced = _one("Looking at each transformation, the pattern is: ", about, ".")
-        applied = F.array(_text("  Query input: ", query), _text("  Apply '", about, "' → ", answer))
-    elif domain == "modular_arith":
-        induced = F.array(_text("The transformation is: ", about, "."), _text("  Clock size (modulus): ", F.col("n"), "."))
-        applied = F.array(_text("  Query input: ", query), _text("  Apply '", rule, "': result = ", answer))
-    elif domain == "linear_eq":
-        a, b = F.col("a"), F.col("b")
-        x1, y1, x2, y2 = (demos[i][f] for i in (0, 1) for f in ("inp", "out"))
-        rise, run = y2.cast("long") - y1.cast("long"), x2.cast("long") - x1.cast("long")
-        restate = _numbered(demos, lambda p, i: _text("  Example ", i, ": f(", p["inp"], ") = ", p["out"]))
-        induced = F.array(
-            F.lit("I will find a and b such that f(x) = a·x + b."),
-            _text("  Using examples 1 and 2: a = (f(", x2, ") − f(", x1, ")) / (", x2, " − ", x1, ") = (", y2, " − ", y1, ") / (", x2, " − ", x1, ") = ", rise, " / ", run, " = ", a),
-            _text("  Then b = f(", x1, ") − a·", x1, " = ", y1, " − (", a, ")·(", x1, ") = ", b),
-            _text("  The rule is: f(x) = ", a, "·x + (", b, ") = ", a, "x ", F.when(b >= 0, "+ ").otherwise("− "), F.abs(b)),
-        )
-        verify = _numbered(demos, lambda p, i: _text("  Example ", i, ": f(", p["inp"], ") = ", a, "·(", p["inp"], ") + (", b, ") = ", p["out"], " (expected ", p["out"], ")", verdict(p)))
-        applied = _one("  f(", query, ") = ", a, "·(", query, ") + (", b, ") = ", a * query.cast("long"), " + (", b, ") = ", answer)
-    elif domain == "number_seq":
-        heads = ["sequence", "every shown term"]
-        restate = _one("  Sequence: ", F.array_join(F.transform(demos, lambda p: p["out"]), ", "), ", ?")
-        induced = F.array(about)
-        verify = F.transform(demos, lambda p, i: _text("  Term ", i, ": rule gives ", p["out"], " (expected ", p["out"], ")", verdict(p)))
-        done, step4 = "  All shown terms verified.", "**Step 4 — Apply rule to find the next term**"
-        applied = F.array(F.lit(f"  Next term index: {N_TERMS}"), _text(f"  a({N_TERMS}) = ", answer))
-    return _lines(
-        f"Let me work through this {LABELS[domain]} puzzle step by step.",
-        "",
-        f"**Step 1 — Restate the {heads[0]}**",
-        restate,
-        "",
-        "**Step 2 — Induce the rule**",
-        induced,
-        "",
-        f"**Step 3 — Verify the rule on {heads[1]}**",
-        verify,
-        done,
-        "",
-        step4,
-        applied,
-        "",
-        "**Step 5 — Final answer**",
-        _one("\\boxed{", answer, "}"),
-    )
+    """What is shown, the rule, each example held against it, and the answer, from the columns demos (inp, out, holds), about, query and answer."""
+    demos, about, query, answer = (F.col(c) for c in ("demos", "about", "query", "answer"))
 
+    def checked(p: Column) -> Column:
+        return _text("- ", p["inp"], " has to give ", p["out"], ": ", F.when(p["holds"], "it does").otherwise(REFUTED))
 
-def _quoted(x: Column, domain: str) -> tuple:
-    return ("'", x, "'") if domain in ("cipher", "roman") else (x,)
+    why = F.array().cast("array<string>")
+    if domain == "linear_eq":
+        one, two = demos[0], demos[1]
+        rise, run = two["out"].cast("long") - one["out"].cast("long"), two["inp"].cast("long") - one["inp"].cast("long")
+        why = F.array(_text("From ", one["inp"], " to ", two["inp"], " the input grows by ", run, " and the output by ", rise, ", which is ", F.col("a"), " for each 1."), _text("At ", one["inp"], " that leaves ", F.col("b"), " to be added."))
+    elif domain == "modular_arith":
+        why = _one("No output reaches ", F.col("n"), ", so numbers go round after ", F.col("n"), ".")
+    elif domain == "number_seq":
+        why = _one("The terms are ", F.array_join(F.transform(demos, lambda p: p["out"]), ", "), ".")
+    # Fixed value: "All examples verified." is looked for in traces.
+    return _lines(f"This is a {LABELS[domain]} puzzle.", why, _one("The rule seems to be that ", about, "."), F.transform(demos, checked), "All examples verified.", _one("By the same rule ", query, " gives ", answer, "."), _one("\\boxed{", answer, "}"))
 
 
 def generated(rows: DataFrame, domain: str, seed: int = 42) -> DataFrame:

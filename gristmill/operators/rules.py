@@ -128,6 +128,17 @@ def solve_cipher(rows: DataFrame) -> DataFrame:
     return _closed(df, (F.size("__pairs") > 0) & F.col("__q").isNotNull(), found, F.when(F.col("__f.by_map"), "map").otherwise("dictionary"), steps).drop("__pairs", "__q", "__f")
 
 
+def cipher_candidates(rows: DataFrame) -> DataFrame:
+    """(id, nth, word, n, least): for each word of the query whose letters the examples don't all show, how many words of the
+    vocabulary it may stand for, and the first of them (J5)."""
+    pairs, query = cipher_parts(F.col("prompt"))
+    df = rows.select("id", pairs.alias("pairs"), query.alias("query")).withColumn("m", ciphers.char_map(F.col("pairs")))
+    df = df.select("id", F.struct(F.map_keys("m").alias("c"), F.map_values("m").alias("p")).alias("known"), F.posexplode(F.filter(F.split("query", " +"), lambda w: w != "")).alias("nth", "word"))
+    df = df.filter(~F.forall(F.split("word", ""), lambda c: (c == "") | F.array_contains("known.c", c)))
+    df = df.withColumn("fits", ciphers.candidates(F.col("word"), F.col("known")))
+    return df.select("id", "nth", "word", F.size("fits").alias("n"), F.get("fits", F.lit(0)).alias("least"))
+
+
 _ARITHMETIC = r"^(\d{2})(.)(\d{2})\z"
 
 

@@ -148,6 +148,18 @@ DELETED = {
     ),
 }
 
+_ASKED = ("cat sees quartz", "hatter reads", "king zebra", "mouse dreams", "island near xylophones", "turtle found the map")
+
+#: One example only, so that the vocabulary leaves words with no candidate, one or several.
+OPEN = {
+    "encrypt_open": (
+        f"'{_A}secret encryption rules are used on text. Here are some examples:' || chr(10) || "
+        + _lines([(_shifted(_pick(_WORDS, "k")), _pick(_WORDS, "k"))], " -> ")
+        + f" || chr(10) || 'Now, decrypt the following text: ' || {_shifted(_pick(_ASKED, 'k'))}",
+        _pick(_ASKED, "k"),
+    ),
+}
+
 #: Conversions that allow no common constant, so that least squares have to give one.
 NOISY = {
     "unit_noisy": (
@@ -160,7 +172,7 @@ NOISY = {
 
 
 def view_sql(family: str, part: str = "part") -> str:
-    prompt, answer = {**VIEWS, **NOISY, **DELETED}[family]
+    prompt, answer = {**VIEWS, **NOISY, **DELETED, **OPEN}[family]
     return f"SELECT '{family}-' || CAST(k AS STRING) AS id, k AS pos, {prompt} AS prompt, {answer} AS answer FROM (SELECT p_partkey AS k FROM {part}) v"
 
 

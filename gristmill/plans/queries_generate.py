@@ -177,7 +177,7 @@ def generated_traces_checked(spark, sf_dir):
     """Traces that verify their examples and whose boxed answer is the puzzle's, by domain."""
     out = None
     for domain in generate.DOMAINS:
-        one = generate.generated(_positions(spark, sf_dir), domain, _SEED).select(F.lit(domain).alias("domain"), (F.col("verified") & ~F.contains("trace", F.lit("[FAIL]")) & is_correct(F.col("answer"), extract_answer(F.col("trace")))).alias("right"))
+        one = generate.generated(_positions(spark, sf_dir), domain, _SEED).select(F.lit(domain).alias("domain"), (F.col("verified") & ~F.contains("trace", F.lit(generate.REFUTED)) & is_correct(F.col("answer"), extract_answer(F.col("trace")))).alias("right"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("domain").agg(F.count("*").alias("n"), F.count_if("right").alias("n_right"))
 

@@ -140,6 +140,24 @@ _SHOWN = "regexp_replace(regexp_replace(array_to_string(regexp_extract_all(promp
 query("encrypt_solve", f"SELECT id, answer AS predicted, 'derived_match' AS status, CASE WHEN translate(regexp_extract(prompt, 'following text: (.*)$', 1), {_SHOWN} || ' ', '') = '' THEN 'map' ELSE 'dictionary' END AS how FROM ({view_sql('encrypt')})")(_solved("encrypt"))
 
 
+_VOCABULARY = ", ".join(f"('{w}')" for w in ciphers.VOCABULARY)
+
+
+@query(
+    "cipher_candidates",
+    f"""WITH p AS ({view_sql('encrypt_open')}), e AS (SELECT id, regexp_extract(prompt, '\\n([a-z ]+) -> ([a-z ]+)\\n', 1) AS c, regexp_extract(prompt, '\\n([a-z ]+) -> ([a-z ]+)\\n', 2) AS p FROM p),
+k AS (SELECT DISTINCT id, c, p FROM (SELECT id, unnest(string_split(c, '')) AS c, unnest(string_split(p, '')) AS p FROM e) WHERE c <> ' ' AND c <> ''),
+w AS (SELECT id, CAST(i - 1 AS INTEGER) AS nth, ws[i] AS word FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT id, string_split(regexp_extract(prompt, 'following text: (.*)$', 1), ' ') AS ws FROM p))),
+l AS (SELECT id, nth, word, unnest(range(1, length(word) + 1)) AS i FROM w), o AS (SELECT l.id, nth, word FROM l LEFT JOIN k ON k.id = l.id AND k.c = substr(word, CAST(i AS BIGINT), 1) GROUP BY ALL HAVING count(k.c) < count(*)),
+v AS (SELECT id, nth, word, v FROM o, (VALUES {_VOCABULARY}) t(v) WHERE length(v) = length(word)),
+b AS (SELECT id, nth, word, v, substr(word, CAST(i AS BIGINT), 1) AS c, substr(v, CAST(i AS BIGINT), 1) AS p FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v) UNION ALL SELECT v.id, v.nth, v.word, v.v, k.c, k.p FROM v JOIN k ON k.id = v.id),
+g AS (SELECT id, nth, v FROM b GROUP BY 1, 2, 3 HAVING count(DISTINCT c) = count(DISTINCT c || p) AND count(DISTINCT p) = count(DISTINCT c || p))
+SELECT o.id, o.nth, o.word, CAST(count(g.v) AS INTEGER) AS n, min(g.v) AS least FROM o LEFT JOIN g ON g.id = o.id AND g.nth = o.nth GROUP BY 1, 2, 3""",
+)
+def cipher_candidates(spark, sf_dir):
+    return rules.cipher_candidates(view(spark, sf_dir, "encrypt_open"))
+
+
 def _symbol_candidates() -> list[str]:
     """SQL of the text of every arithmetic candidate, in the order in which they are tried."""
 

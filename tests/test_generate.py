@@ -62,7 +62,7 @@ def test_generated_puzzles_follow_their_rules(spark, domain):
         query = re.search(r"^Query input: (.*)$", r.prompt, re.M)[1]
         assert len(pairs) == (5 if domain == "number_seq" else 4) and query not in [p for p, _ in pairs] or domain in ("roman", "cipher", "list_ops")
         assert all(right(domain, r.rule, a, b) for a, b in [*pairs, (query, r.answer)]), r
-        assert r.verified and "[FAIL]" not in r.trace and r.trace.endswith(f"**Step 5 — Final answer**\n\\boxed{{{r.answer}}}")
+        assert r.verified and generate.REFUTED not in r.trace and "\nAll examples verified.\n" in r.trace and r.trace.endswith(f" gives {r.answer}.\n\\boxed{{{r.answer}}}")
 
 
 @pytest.mark.parametrize("domain", generate.DOMAINS)
@@ -77,7 +77,7 @@ def test_wrong_outputs_are_not_verified(spark, domain, monkeypatch):
 
     monkeypatch.setitem(generate.DOMAINS, domain, wrong)
     got = generate.generated(rows, domain).collect()
-    assert len(got) == 60 and not any(r.verified for r in got) and all("[FAIL]" in r.trace for r in got)
+    assert len(got) == 60 and not any(r.verified for r in got) and all(generate.REFUTED in r.trace for r in got)
 
 
 def test_a_rule_that_gives_the_wrong_text_stops_the_build(spark, monkeypatch):
