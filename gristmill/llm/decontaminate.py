@@ -50,7 +50,7 @@ class Matcher:
     """The automaton; a pattern is ' w1 w2 ... ', so that it begins and ends at words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]):
-        held: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        held: dict[str, tuple[int, dict[int, list[int]]]] = {}
         self.ids, self.words, self.short = [], [], []
         known: dict[bytes, bytes] = {}
         for item, text in items:
@@ -60,7 +60,7 @@ class Matcher:
             short = len(words) <= WINDOW
             for k in (0,) if short else range(0, len(words) - BLOCK + 1, BLOCK):
                 part = words if short else words[k : k + BLOCK]
-                held.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), []))[1].append((len(self.ids), k))
+                held.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), {}))[1].setdefault(len(self.ids), []).append(k)
             self.ids.append(item)
             self.words.append(words)
             self.short.append(short)
@@ -91,16 +91,27 @@ class Matcher:
             return []
         spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
         starts = np.searchsorted(spaces, [end - size + 1 for end, (size, _, _) in found])
-        out, followed = [], {}
+        # followed: the end of the last run on a diagonal of an item; covered: words in a row, the last ones found, that an item's runs cover.
+        out, followed, covered, total = [], {}, {}, len(words)
         for s, (_, (_, n, places)) in sorted(zip(starts.tolist(), found, strict=True), key=lambda x: x[0]):
-            for item, k in places:
+            for item, ks in places.items():
                 if self.short[item]:
                     out.append((s, s + n, self.ids[item]))
-                elif followed.get((item, s - k), -1) <= s:  # else within a run that is known
+                    continue
+                own = len(self.words[item])
+                left, right = covered.get(item, (1, 0))
+                # A run reaches no further than the item does on its diagonal: within what is covered it adds nothing.
+                if left <= max(0, s - ks[-1]) and min(total, s + own - ks[0]) <= right:
+                    continue
+                for k in ks:
+                    if left <= max(0, s - k) and min(total, s + own - k) <= right or followed.get((item, s - k), -1) > s:
+                        continue
                     start, end = self._run(words, s, item, k)
                     followed[item, s - k] = end
                     if end - start >= WINDOW:
                         out.append((start, end, self.ids[item]))
+                        left, right = (min(left, start), max(right, end)) if start <= right and left <= end else (start, end)
+                        covered[item] = left, right
         return out
 
 

@@ -195,11 +195,12 @@ def _signed(x: int) -> int:
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that join distinct fingerprints (column fp) within RADIUS bits; enough for their components."""
-    masks = _tables(distinct.count())
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key"))
-    parts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", F.ceil(F.col("n") / BUCKET).alias("parts"))
+    total = distinct.count()
+    masks = _tables(total)
+    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key")).select("fp", F.struct("t", "key").alias("bucket"))
+    parts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET))
     here = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    met = keyed.join(parts, ["t", "key"]).withColumn("here", here).select("t", "key", "fp", "here", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
+    met = spread_join(keyed, parts, "bucket", "n", total * len(masks)).withColumn("here", here).select("bucket.t", "bucket.key", "fp", "here", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
     tasks = met.select("t", "key", F.least("here", "other").alias("i"), F.greatest("here", "other").alias("j"), F.when(F.col("here") == F.col("other"), 0).when(F.col("here") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "fp")
     dealt = tasks.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
@@ -245,27 +246,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return spread_join(own, classes, "fp", "n", own.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_fingerprints(docs: DataFrame) -> DataFrame:
-    """docs and the fingerprint of each row, __fp."""
+def _with_fingerprints(docs: DataFrame, text: str) -> DataFrame:
+    """docs and, as column fp, the fingerprint of each row's column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("text").cast(pa.binary())
+            bodies = batch.column(text).cast(pa.binary())
             fps = np.array([fingerprint(shingle_hashes(x.as_py() or b"")) for x in bodies], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "fp"])
 
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: the one of least id, null last; of equal ids any one.
+    """One row of each component, with all its columns, whatever their names: the one of least id, null last; of equal ids any one.
 
     Rows get a number of their own when they are written with their fingerprints, so ids may repeat or be null. The
     numbers of the rows that go are a table of one column, whose known size tells the planner whether it is broadcast
     or texts have to be shuffled.
     """
-    rows = materialise(_with_fingerprints(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("first")
-    stay = _rooted(rows.select(F.col("__fp").alias("fp"), order)).groupBy("root").agg(F.min("first")["row"].alias("__row"))
-    go = materialise(rows.select("__row").join(stay.select("__row"), "__row", "left_anti"), "go")
-    return rows.join(go, "__row", "left_anti").select(docs.columns)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = _with_fingerprints(docs.toDF(*names.values()), names["text"])
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(names["doc_id"]).isNull().alias("none"), F.col(names["doc_id"]).alias("id"), "row").alias("first")
+    stay = _rooted(rows.select("fp", order)).groupBy("root").agg(F.min("first")["row"].alias("row"))
+    go = materialise(rows.select("row").join(stay, "row", "left_anti"), "go")
+    return rows.join(go, "row", "left_anti").select(*names.values()).toDF(*names)

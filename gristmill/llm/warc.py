@@ -247,6 +247,9 @@ def records(path: str, wanted) -> Iterator[Found]:
         yield from (_compressed_records if packed else _plain_records)(f, wanted)
 
 
+_MANIFEST = "_manifest-"
+
+
 def _listed(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the archives in a folder that manifests name, or of all if there is none; or of one file."""
     store, at = store_of(path)
@@ -256,7 +259,7 @@ def _listed(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.File:
         return [(path, info.size)]
     inside = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
-    manifests = [x for x in inside if x.base_name.startswith("_manifest-")]
+    manifests = [x for x in inside if x.base_name.startswith(_MANIFEST)]
     named = set()
     for x in manifests:
         with store.open_input_stream(x.path) as f:
@@ -340,8 +343,24 @@ _ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "m
 class WarcWriter(DataSourceArrowWriter):
     """Rows of page_id, url, record_type, refers_to, payload_sha1 (hex), payload_bytes and payload (null for revisits)."""
 
-    def __init__(self, options: dict):
-        self.path, self.limit = options["path"], int(options.get("file_bytes", FILE_BYTES))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.limit, self.overwrite = options["path"], int(options.get("file_bytes", FILE_BYTES)), overwrite
+
+    def prepare(self) -> None:
+        """Called once, before any task: from now on manifests say which archives count, so that files of a failed write don't."""
+        store, at = store_of(self.path)
+        store.create_dir(at, recursive=True)
+        inside = [x.base_name for x in store.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File]
+        if not any(x.startswith(_MANIFEST) for x in inside):
+            self._name([x for x in inside if ".warc" in x])
+
+    def _name(self, names: list[str]) -> str:
+        """Write a manifest of these archives."""
+        store, at = store_of(self.path)
+        manifest = f"{_MANIFEST}{uuid.uuid4().hex}.json"
+        with store.open_output_stream(posixpath.join(at, manifest)) as f:
+            f.write(json.dumps(sorted(names)).encode())
+        return manifest
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = store_of(self.path)
@@ -367,9 +386,13 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, at = store_of(self.path)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(posixpath.join(at, f"_manifest-{uuid.uuid4().hex}.json")) as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.names)).encode())
+        before = [x.path for x in store.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File]
+        new = {x for m in messages if m for x in m.names}
+        self._name(list(new))
+        if self.overwrite:  # manifests first: archives that none names don't count
+            for path in sorted(before, key=lambda x: not posixpath.basename(x).startswith(_MANIFEST)):
+                if posixpath.basename(path) not in new:
+                    store.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, at = store_of(self.path)
@@ -389,11 +412,9 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        if overwrite:
-            store, at = store_of(self.options["path"])
-            if store.get_file_info(at).type == fs.FileType.Directory:
-                store.delete_dir_contents(at)
-        return WarcWriter(self.options)
+        out = WarcWriter(self.options, overwrite)
+        out.prepare()
+        return out
 
 
 def register(spark: SparkSession) -> None:
