@@ -104,10 +104,15 @@ def solve_numeral(rows: DataFrame) -> DataFrame:
     return _closed(df, F.col("__q").isNotNull(), numerals.to_roman(F.col("__q")), F.lit("roman"), steps).drop("__q")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as shuffles have: by a number, since partitions by a column alone are merged again where rows are few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def solve_bits(rows: DataFrame) -> DataFrame:
     """Rows are dealt out first: the search is heavy and a small input would be one task."""
     examples, query = bit_parts(F.col("prompt"))
-    df = rows.repartition(F.col("id")).withColumn("__e", examples).withColumn("__q", query)
+    df = _dealt(rows).withColumn("__e", examples).withColumn("__q", query)
     parsed = (F.size("__e") > 0) & F.col("__q").isNotNull()
     df = df.withColumn("__d", F.when(parsed, bits.derived(F.col("__e"), F.col("__q"))))
     affine = F.coalesce(F.col("__d.affine"), F.array().cast("array<boolean>"))
@@ -192,7 +197,7 @@ def older_candidates(rows: DataFrame) -> DataFrame:
 
 def solve_symbol(rows: DataFrame) -> DataFrame:
     pairs, query = symbol_parts(F.col("prompt"))
-    df = rows.withColumn("__pairs", pairs).withColumn("__q", query).withColumn("__a", by_arithmetic(F.col("__pairs"), F.col("__q")))
+    df = _dealt(rows).withColumn("__pairs", pairs).withColumn("__q", query).withColumn("__a", by_arithmetic(F.col("__pairs"), F.col("__q")))
     df = df.withColumn("__d", symbols.deletion_answer(F.when(F.col("__a.predicted").isNull(), F.col("__pairs")), F.col("__q")))
     each = F.transform("__pairs", lambda p: F.concat(p["inp"], F.lit(" gives "), p["out"]))
     by_rule = F.concat(F.lit("Every operator has a rule that gives all its examples; the query's is "), F.col("__a.rule"), F.lit("."))
