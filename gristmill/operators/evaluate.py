@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,33 +45,26 @@ def accuracy_rollup(rows: DataFrame, by: str) -> DataFrame:
     return df.select(F.when(F.col("g") == 1, "__all__").otherwise(F.col(by)).alias("group"), "total", "n_correct", F.round(F.col("n_correct") / F.col("total"), 6).alias("accuracy"))
 
 
-def bootstrap_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+#: Draws of a bootstrap task at most.
+DRAWS = 4_000_000
+
+
+def bootstrap_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95) -> DataFrame:
     """(lo, hi) of the mean of `correct` by hashed resampling.
 
-    The number of correct rows in a resample of n is Binomial(n, k / n), so a replicate is drawn at once: md5 of seed and
-    replicate gives a number between 0 and 1, and the first count whose cumulative probability reaches it is the draw. So
-    replicates are equal in any engine and the rows are only counted. Probabilities are built up from ratios of neighbours,
-    within nine standard deviations of k: about 18 * sqrt(n / 4) of them at most, one task's sums.
+    Every replicate is n draws with replacement: draw j of replicate r takes place md5(r, j) mod n; the correct rows stand
+    at the first places, as their order tells nothing. So replicates are equal in any engine, need two counts of the rows,
+    and are counted where they are drawn: reps * n draws, in tasks of DRAWS each at most. binomial_interval() needs none.
     """
     r = rows.agg(F.count("*").alias("n"), F.count_if("correct").alias("k")).first()
     if not r.n:
         raise ValueError("no rows to resample")
-    spark, n, k = rows.sparkSession, r.n, r.k
-    reach = 9 * math.sqrt(k * (n - k) / n) + 1 if 0 < k < n else 0
-    low = max(0, math.floor(k - reach))
-    m = F.col("m").cast("double")
-    ratio = F.ln((F.lit(float(n + 1)) - m) * F.lit(float(k)) / (m * F.lit(float(n - k)))) if 0 < k < n else F.lit(0.0)
-    upto = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    odds = spark.range(low, min(n, math.ceil(k + reach)) + 1).select(F.col("id").alias("m")).withColumn("w", F.exp(F.sum(F.when(F.col("m") == low, 0.0).otherwise(ratio)).over(upto)))
-    odds = odds.withColumn("c", F.sum("w").over(upto))
-    odds = odds.select((F.col("c") / F.max("c").over(Window.partitionBy())).alias("x"), "m", F.lit(False).alias("drawn"))
-    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
-    draws = spark.range(reps).select(((hashed + 0.5) / float(1 << 52)).alias("x"), F.lit(None).cast("long").alias("m"), F.lit(True).alias("drawn"))
-    down = Window.orderBy(F.desc("x"), "drawn").rowsBetween(Window.unboundedPreceding, 0)
-    met = odds.unionByName(draws).withColumn("count", F.last("m", ignorenulls=True).over(down)).filter("drawn")
+    spark, total = rows.sparkSession, reps * r.n
+    draws = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // DRAWS))).select(F.floor(F.col("id") / r.n).cast("long").alias("r"), (F.col("id") % r.n).alias("j"))
+    at = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % r.n
+    means = draws.groupBy("r").agg((F.count_if(at < r.k) / r.n).alias("m"))
     a = (1 - level) / 2
-    share = F.col("count") / F.lit(n)
-    return met.agg(F.round(F.percentile(share, F.lit(a)), 6).alias("lo"), F.round(F.percentile(share, F.lit(1 - a)), 6).alias("hi"))
+    return means.agg(F.round(F.percentile("m", F.lit(a)), 6).alias("lo"), F.round(F.percentile("m", F.lit(1 - a)), 6).alias("hi"))
 
 
 def binomial_interval(rows: DataFrame, reps: int = 1000, level: float = 0.95, seed: int = 42) -> tuple[float, float]:

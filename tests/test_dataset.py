@@ -1,7 +1,9 @@
 """Assembly, splits and evaluation against plain Python."""
 
+import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,10 @@ def test_frozen_split_intervals_and_json(spark, tmp_path):
     report.write_json(one, str(tmp_path / "json"))
     written = "".join(p.read_text() for p in (tmp_path / "json").glob("part-*.json"))
     assert json.loads(written)["count"] == 1
+
+
+def test_bootstrap_draws_every_row_of_every_replicate(spark):
+    n, k, reps = 300, 225, 50
+    means = sorted(sum(int(hashlib.md5(f"{r}-{j}".encode()).hexdigest()[:8], 16) % n < k for j in range(n)) / n for r in range(reps))
+    got = evaluate.bootstrap_interval(spark.range(n).select((F.col("id") % 4 != 0).alias("correct")), reps=reps).first()
+    assert (got.lo, got.hi) == tuple(round(float(x), 6) for x in np.percentile(means, [2.5, 97.5]))
