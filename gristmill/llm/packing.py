@@ -16,6 +16,7 @@ gives no pieces; other columns of the input are left alone.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,20 +34,24 @@ from gristmill.llm.common import BoundedCache, map_batches, materialise, text_by
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of each generation of a worker's two token caches.
+#: Entries of each generation of a worker's token cache.
 CACHE = 250_000
+#: Bytes of text whose distinct chunks are looked up together, and ids that are put in place together.
+RUN_BYTES, RUN_IDS = 8_000_000, 1_000_000
 
 
 class Encoder:
-    """Token ids, as bytes of little-endian 32-bit numbers, of white-space separated chunks through bounded caches.
+    """Token ids of texts, from white-space separated chunks and their parts through a bounded cache.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks in order.
     Chunks of plain Latin letters, digits and signs are cut by the tokenizer's own rule and meet its model directly;
-    any other chunk goes through the whole tokenizer.
+    any other chunk goes through the whole tokenizer. Texts are encoded many at a time: each of their distinct chunks is
+    looked at once, and the ids are put in their places by numpy.
     """
 
-    _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+    _ALL_PLAIN = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]*")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -57,21 +63,80 @@ class Encoder:
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in shown else next(rest)) for b in range(256)}
         self.parts = BoundedCache(self._part, CACHE)
-        self.chunks = BoundedCache(self._chunk, CACHE)
 
     def _part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if self._PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.parts.__getitem__, self._PARTS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+        ids = [] if part == "\n" else [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has. A line feed, which no chunk has, parts them."""
+        text = b"\n".join([*chunks, b""]).decode("utf-8", "replace")
+        other = {}
+        if not self._ALL_PLAIN.fullmatch(text) or "<|" in text:
+            words = text.split("\n")[:-1]
+            other = {k: w for k, w in enumerate(words) if not self._PLAIN.fullmatch(w) or "<|" in w}
+            text = "\n".join(["" if k in other else w for k, w in enumerate(words)] + [""])
+        self.parts.turn()
+        found = self._PARTS.findall(text.lower())
+        ids = list(map(self.parts.__getitem__, found))
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)[ends]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if not other:
+            return flat, np.diff(upto, prepend=0)
+        own = np.split(flat, upto[:-1])
+        for k, w in other.items():
+            own[k] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")
+        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (UTF-8 bytes) and the end id."""
+        large = pa.types.is_large_binary(texts.type)
+        split = pc.ascii_split_whitespace(texts.view(pa.large_string() if large else pa.string()))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.view(pa.large_binary() if large else pa.binary()).to_pylist()
+        flat, counts = self._chunks(chunks)
+        flat, counts = np.append(flat, np.uint32(END_ID)), np.append(counts, 1)  # the end id is one chunk more
+        starts = np.cumsum(counts) - counts
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), last, len(chunks))
+        last += np.arange(1, len(last) + 1)
+        bounds = np.concatenate([[0], np.cumsum(counts[codes])[last - 1]])
+        first, of_chunks = 0, np.concatenate([[0], last])
+        while first < len(texts):  # texts of about RUN_IDS ids together
+            to = max(first + 1, int(np.searchsorted(bounds, bounds[first] + RUN_IDS, "right")) - 1)
+            block = codes[of_chunks[first] : of_chunks[to]]
+            each = counts[block]
+            ids = flat[np.repeat(starts[block] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+            yield from np.split(ids, bounds[first + 1 : to] - bounds[first])
+            first = to
 
     def encode(self, text: bytes) -> bytes:
-        self.parts.turn()
-        self.chunks.turn()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        """Ids of one text as bytes of little-endian 32-bit numbers, without the end id."""
+        return next(self.encode_all(pa.array([text], pa.binary())))[:-1].tobytes()
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of all batches again, in tables of about RUN_BYTES of body; a longer body stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(upto):
+            before = upto[at - 1] if at else 0
+            to = int(np.searchsorted(upto, before + RUN_BYTES - size, "right"))
+            if to == at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(upto[to - 1] - before)
+                at = to
+            if at < len(upto):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -93,21 +158,21 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(sent.value)
-        end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for rows in runs_of(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, body in enumerate(batch.column("body")):
-                data = encoder.encode(body.as_py()) + end
-                for p, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
+            texts = rows.column("body").combine_chunks()
+            for k, data in enumerate(encoder.encode_all(texts)):
+                for p, at in enumerate(range(0, len(data), capacity)):
+                    part = data[at : at + capacity]
                     row.append(k)
                     piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
+                    start.append(at)
+                    length.append(len(part))
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+                        ids.append(part.astype(np.int32))
+            doc_ids = rows.column("doc_id").combine_chunks()
+            cols = [doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types
@@ -264,6 +265,26 @@ def test_packing(docs):
     assert texts == {0: [*whole.encode(TEXTS[0], add_special_tokens=False).ids, 0], 3: [0]}
 
 
+def test_texts_are_encoded_together_and_each_chunk_is_looked_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_file())
+    texts = [*(t or "" for t in TEXTS), "", " \t\n", "ﬁ İstanbul é <|endoftext|> don't 12a! 日本 x y", "", "the same, the same", "same the"] * 3
+    batches = [pa.record_batch([pa.array([t.encode() for t in texts[k : k + 5]], pa.binary())], ["body"]) for k in range(0, len(texts), 5)]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    for n_bytes, n_ids in ((1, 1), (40, 7), (8_000_000, 1_000_000)):
+        monkeypatch.setattr(packing, "RUN_BYTES", n_bytes)
+        monkeypatch.setattr(packing, "RUN_IDS", n_ids)
+        encoder = packing.Encoder(open(tokenizer_file(), encoding="utf-8").read())
+        runs = [r.column("body").combine_chunks() for r in packing.runs_of(iter(batches))]
+        assert [ids.tolist() for r in runs for ids in encoder.encode_all(r)] == want
+        assert all(len(r) == 1 or sum(map(len, r.to_pylist())) <= n_bytes for r in runs)
+    seen = Counter()
+    monkeypatch.setattr(encoder, "parts", type("Seen", (dict,), {"__getitem__": lambda self, p: seen.update([p]) or encoder._part(p), "turn": lambda self: None})())
+    list(encoder.encode_all(pa.array([b"alpha beta alpha"] * 50, pa.binary())))
+    assert seen == {"alpha": 1, "beta": 1, "\n": 2}
+
+
 def test_packing_keeps_large_ids_beside_null_ones(spark):
     large = 9007199254740993  # no double has this value
     df = spark.createDataFrame([(large, "a b c"), (None, "d"), (large, "a b c")], "doc_id long, text string").coalesce(1)
